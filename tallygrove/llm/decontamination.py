@@ -155,19 +155,24 @@ def _blocks(benchmark: DataFrame) -> list[list[tuple[int | None, str]]]:
     return [[(r[0], r[1]) for r in parts.where(F.col("__b") == b).orderBy("item_id", "text").collect()] for b in range(n)]
 
 
+def _search(shipped):
+    """A function from texts to the matches of one block of the benchmark."""
+
+    @F.pandas_udf("array<struct<item_id:bigint,start:int,end:int>>")
+    def found(texts: pd.Series) -> pd.Series:
+        index = shipped.value
+        return pd.Series([[{"item_id": i, "start": a, "end": b} for i, a, b in sorted(index.verified(folded(t)), key=str)] for t in texts], dtype=object)
+
+    return found
+
+
 def with_matches(docs: DataFrame, benchmark: DataFrame, name: str) -> DataFrame:
     """docs with `name`: array of (item_id, start, end), empty for clean documents."""
     spark = docs.sparkSession
     out = docs.withColumn(name, F.array().cast("array<struct<item_id:bigint,start:int,end:int>>"))
     for block in _blocks(benchmark):
         shipped = spark.sparkContext.broadcast(QGramIndex(block))  # at most BLOCK_CHARS characters
-
-        @F.pandas_udf("array<struct<item_id:bigint,start:int,end:int>>")
-        def found(texts: pd.Series, shipped=shipped) -> pd.Series:
-            index = shipped.value
-            return pd.Series([[{"item_id": i, "start": a, "end": b} for i, a, b in sorted(index.verified(folded(t)), key=str)] for t in texts], dtype=object)
-
-        out = out.withColumn(name, F.concat(F.col(name), found("text")))
+        out = out.withColumn(name, F.concat(F.col(name), _search(shipped)("text")))
     return out
 
 

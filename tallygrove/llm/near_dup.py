@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallygrove.llm.common import BROADCAST_ROWS, stored
 from tallygrove.llm.text_hash import U, mix, seeds, shingles, windows
@@ -63,7 +64,10 @@ def _bands(sketch: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-@F.pandas_udf("n long, fp binary, bands array<long>")
+_SKETCH = T.StructType().add("n", T.LongType()).add("fp", T.BinaryType()).add("bands", T.ArrayType(T.LongType()))
+
+
+@F.pandas_udf(_SKETCH)
 def _sketch_udf(texts: pd.Series) -> pd.DataFrame:
     n, fp, bands = [], [], []
     for text in texts:
@@ -74,7 +78,7 @@ def _sketch_udf(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"n": pd.Series(n, dtype="int64"), "fp": pd.Series(fp, dtype=object), "bands": pd.Series(bands, dtype=object)})
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _set_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([shingles(t, WIDTH).view(np.int64) for t in texts], dtype=object)
 

@@ -1,0 +1,330 @@
+"""Personal data by weak supervision.
+
+Strict patterns give the base spans, which are always reported. Looser patterns
+give further candidates. Five labelers (format, gazetteer, context, shape and
+boundary) vote on every span; expectation-maximisation over the table of vote
+patterns estimates their reliabilities, and a logistic span classifier, trained
+on the posteriors, decides which further candidates are reported.
+
+Only counts by vote pattern and by feature code reach the driver (at most
+4 x 3^5 and 4 x 3^5 x 6 x 3 rows, whatever the input).
+
+Defined cases: null text counts as empty and has no spans; rows equal in doc_id
+are separate rows; a candidate that overlaps a base span is not reported again;
+without candidates only base spans are reported. Positions are code points,
+ends exclusive. All scans are linear in the text, also on endless words.
+"""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallygrove.llm.common import stored
+
+KINDS = ("email", "ip", "card", "phone")
+LABELERS = ("format", "gazetteer", "context", "shape", "boundary")
+#: Least probability at which a further candidate is reported.
+AT_LEAST = 0.9
+
+_LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+# A digit run is tried from its first digit only: what follows it is the same from each.
+_IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGIT = re.compile(r"[0-9]")
+
+# Further candidates.
+_MAYBE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s?[\[(]\s?at\s?[\])]\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[A-Za-z0-9-]{1,63}){1,4}", re.I)
+_MAYBE_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:\[\.\]|\(\.\))[0-9]{1,3}(?:\[\.\]|\(\.\))[0-9]{1,3}(?:\[\.\]|\(\.\))[0-9]{1,3}(?![0-9])")
+_MAYBE_CARD = re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")
+_MAYBE_PHONE = re.compile(r"(?<![0-9+])(?:00[0-9]{1,3}[\x20.-])?\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
+
+# Gazetteers: fixed values.
+TOP_DOMAINS = frozenset(("com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "eu", "it", "nl", "ch", "us"))
+CARD_PREFIXES = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65")
+CUES = {
+    "email": ("email", "e-mail", "mail", "contact", "write"),
+    "ip": ("ip", "host", "server", "address", "login"),
+    "card": ("card", "visa", "mastercard", "amex", "payment", "pay"),
+    "phone": ("phone", "tel", "call", "mobile", "fax", "contact"),
+}
+AGAINST = ("order", "invoice", "isbn", "version", "page", "sku", "serial", "no.", "ref")
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = ord(c) - 48
+        total += d if i % 2 == 0 else d * 2 - 9 * (d > 4)
+    return total % 10 == 0
+
+
+def _small(part: str) -> bool:
+    part = part.lstrip("0")
+    return len(part) < 3 or len(part) == 3 and part <= "255"
+
+
+def _emails(text: str) -> list[tuple[int, int]]:
+    """Each @ is tried once: with its whole local part, or not at all."""
+    out, done, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            out.append((start, domain.end()))
+            done = domain.end()
+        else:
+            done = max(done, at + 1)
+        at = text.find("@", max(at + 1, done))
+    return out
+
+
+def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
+    """Strict spans per kind, leftmost and non-overlapping within a kind."""
+    out: dict[str, list[tuple[int, int]]] = {"email": _emails(text), "ip": [], "card": [], "phone": []}
+    if _DIGIT.search(text):
+        out["ip"] = [m.span() for m in _IP.finditer(text) if all(map(_small, m.groups()))]
+        for m in _CARD.finditer(text):
+            digits = m[0].replace(" ", "").replace("-", "")
+            if 16 <= len(digits) <= 19 and luhn(digits):
+                out["card"].append(m.span())
+        out["phone"] = [m.span() for m in _PHONE.finditer(text) if 8 <= len(_DIGIT.findall(m[0])) <= 15]
+    return out
+
+
+def further_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of looser candidates that overlap no base span."""
+    found = []
+    if "at" in text and ("[" in text or "(" in text):
+        found += [(0, *m.span()) for m in _MAYBE_EMAIL.finditer(text)]
+    if _DIGIT.search(text):
+        found += [(1, *m.span()) for m in _MAYBE_IP.finditer(text)] if "." in text else []
+        found += [(2, *m.span()) for m in _MAYBE_CARD.finditer(text)]
+        found += [(3, *m.span()) for m in _MAYBE_PHONE.finditer(text)]
+    if not found:
+        return []
+    taken = sorted(s for spans in base.values() for s in spans)
+    starts = np.array([s for s, _ in taken], dtype=np.int64)
+    ends = np.maximum.accumulate(np.array([e for _, e in taken], dtype=np.int64)) if taken else starts
+    out, last = [], {}
+    for kind, start, end in sorted(found, key=lambda x: (x[1], x[0])):
+        before = int(np.searchsorted(starts, end, "left"))
+        if before and ends[before - 1] > start or start < last.get(kind, 0):
+            continue
+        last[kind] = end
+        out.append((kind, start, end))
+    return out
+
+
+def votes(text: str, kind: int, start: int, end: int) -> tuple[list[int], int, int]:
+    """Votes of the labelers (1, -1 or 0), length bin and separator bin of a span."""
+    span, name = text[start:end], KINDS[kind]
+    digits = "".join(_DIGIT.findall(span))
+    left = text[max(0, start - 40) : start].lower()
+    words = re.findall(r"[a-z.-]+", left)[-4:]
+    if name == "email":
+        plain = re.sub(r"\s?[\[(]\s?dot\s?[\])]\s?", ".", re.sub(r"\s?[\[(]\s?at\s?[\])]\s?", "@", span, flags=re.I), flags=re.I)
+        top = plain.rpartition(".")[2].lower()
+        form = 1 if re.fullmatch(r"[^@\s]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", plain) else -1
+        listed = 1 if top in TOP_DOMAINS else 0 if 2 <= len(top) <= 6 and top.isalpha() else -1
+        shape = 1 if any(c.isalpha() for c in plain.partition("@")[0]) else -1
+    elif name == "ip":
+        parts = re.findall("[0-9]+", span)
+        form = 1 if len(parts) == 4 and all(map(_small, parts)) else -1
+        listed = 0 if parts[0] in ("0", "255") else 1
+        shape = -1 if len(set(parts)) == 1 else 1
+    elif name == "card":
+        form = 1 if 13 <= len(digits) <= 19 and luhn(digits) else -1
+        listed = 1 if digits.startswith(CARD_PREFIXES) else -1
+        shape = -1 if len(set(digits)) < 4 else 1 if len(digits) in (15, 16) else 0
+    else:
+        form = 1 if 8 <= len(digits) <= 15 else -1
+        listed = 1 if span[0] == "+" or span[:2] == "00" else 1 if digits[0] not in "01" and digits[-7:-4] != "000" else -1
+        shape = -1 if len(set(digits)) < 4 else 1 if re.search(r"[\x20().-]", span) else 0
+    context = 1 if any(w.strip(".:") in CUES[name] for w in words) else -1 if any(w in AGAINST for w in words) else 0
+    touching = (start > 0 and text[start - 1].isalnum()) + (end < len(text) and text[end].isalnum())
+    return [form, listed, context, shape, -1 if touching else 1], min(5, len(span) // 6), min(2, len(re.findall(r"[^A-Za-z0-9]", span)) // 2)
+
+
+def _code(kind: int, vote: list[int], length: int, seps: int) -> int:
+    code = kind
+    for v in vote:
+        code = code * 3 + v + 1
+    return (code * 6 + length) * 3 + seps
+
+
+_SPAN = T.StructType([T.StructField(c, T.IntegerType()) for c in ("kind", "start", "end", "code")])
+_SCANNED = (
+    T.StructType()
+    .add("counts", T.ArrayType(T.LongType()))
+    .add("base", T.StringType())
+    .add("base_codes", T.ArrayType(T.IntegerType()))
+    .add("more", T.ArrayType(_SPAN))
+)
+
+
+@F.pandas_udf(_SCANNED)
+def _scan(texts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text in texts:
+        text = text or ""
+        base = base_spans(text)
+        listed = [(k, s, e) for k, name in enumerate(KINDS) for s, e in base[name]]
+        rows.append(
+            (
+                [len(base[k]) for k in KINDS],
+                ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in listed),
+                [_code(k, *votes(text, k, s, e)) for k, s, e in listed],
+                [{"kind": k, "start": s, "end": e, "code": _code(k, *votes(text, k, s, e))} for k, s, e in further_spans(text, base)],
+            )
+        )
+    return pd.DataFrame(rows, columns=["counts", "base", "base_codes", "more"])
+
+
+def _decoded(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """kind, votes (one column per labeler), length bin and separator bin of feature codes."""
+    seps, rest = codes % 3, codes // 3
+    length, rest = rest % 6, rest // 6
+    cols = []
+    for _ in LABELERS:
+        cols.append(rest % 3 - 1)
+        rest = rest // 3
+    return rest, np.stack(cols[::-1], axis=1), length, seps
+
+
+def em_posteriors(vote: np.ndarray, count: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, dict]:
+    """Probability that each vote pattern marks personal data, and the estimated reliabilities."""
+    p = np.clip(0.5 + 0.2 * vote.sum(axis=1), 0.05, 0.95)
+    rates: dict = {}
+    for _ in range(rounds):
+        yes, no = (count * p).sum(), (count * (1 - p)).sum()
+        odds = np.full(len(p), np.log((yes + 1) / (no + 1)))
+        for j, name in enumerate(LABELERS):
+            for v in (-1, 0, 1):
+                m = vote[:, j] == v
+                a = ((count * p)[m].sum() + 1 + 2 * (v == 1)) / (yes + 5)
+                b = ((count * (1 - p))[m].sum() + 1 + 2 * (v == -1)) / (no + 5)
+                rates[name, v] = (float(a), float(b))
+                odds[m] += np.log(a) - np.log(b)
+        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    return p, rates
+
+
+def _design(codes: np.ndarray) -> np.ndarray:
+    kind, vote, length, seps = _decoded(codes)
+    cols = [np.ones(len(codes))]
+    cols += [kind == k for k in range(len(KINDS))]
+    cols += [vote[:, j] == v for j in range(len(LABELERS)) for v in (-1, 0, 1)]
+    cols += [length == b for b in range(6)] + [seps == b for b in range(3)]
+    return np.stack([np.asarray(c, dtype=np.float64) for c in cols], axis=1)
+
+
+def train_span_classifier(codes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Weights of the logistic classifier, by Newton steps on EM posteriors."""
+    _, vote, _, _ = _decoded(codes)
+    target, _ = em_posteriors(vote, count)
+    x = _design(codes)
+    w = np.zeros(x.shape[1])
+    share = count / max(count.mean(), 1e-9)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (share * (p - target)) + 0.05 * w
+        h = (x * (share * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 0.05 * np.eye(len(w))
+        step = np.linalg.solve(h, g)
+        w -= np.clip(step, -4, 4)
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def _probability(code: Column, w: np.ndarray) -> Column:
+    """The classifier as a column expression over the feature code."""
+
+    def at(weights: np.ndarray, index: Column) -> Column:
+        return F.element_at(F.array(*(F.lit(float(x)) for x in weights)), index.cast("int") + 1)
+
+    def digit(base: int, size: int) -> Column:
+        return F.floor(code / base) % size
+
+    n = len(KINDS)
+    margin = F.lit(float(w[0])) + at(w[1 : 1 + n], F.floor(code / (18 * 3 ** len(LABELERS))))
+    for j in range(len(LABELERS)):
+        first = 1 + n + 3 * j
+        margin = margin + at(w[first : first + 3], digit(18 * 3 ** (len(LABELERS) - 1 - j), 3))
+    first = 1 + n + 3 * len(LABELERS)
+    margin = margin + at(w[first : first + 6], digit(3, 6)) + at(w[first + 6 :], code % 3)
+    return 1 / (1 + F.exp(-margin))
+
+
+def find_pii(docs: DataFrame, at_least: float = AT_LEAST, keep_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep_columns, counts and base (strict spans), and added: further spans that the classifier accepts."""
+    scanned = stored(docs.select(*keep_columns, _scan("text").alias("__s")).select(*keep_columns, "__s.*"), "pii")
+    codes = scanned.select(F.explode(F.concat("base_codes", "more.code")).alias("code"))
+    table = codes.groupBy("code").count().orderBy("code").collect()  # at most 17,496 codes
+    if not any(True for _ in table):
+        return scanned.withColumn("added", F.col("more")).drop("more", "base_codes")
+    code, count = (np.array(x) for x in zip(*table, strict=True))
+    w = train_span_classifier(code, count.astype(np.float64))
+    return scanned.withColumn("added", F.filter("more", lambda c: _probability(c["code"], w) >= at_least)).drop("more", "base_codes")
+
+
+def pii_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, counts of base spans, base_sha256, spans (base and added) and n_added of every document."""
+    found = find_pii(docs.select("doc_id", "text"))
+    names = F.array(*map(F.lit, KINDS))
+
+    def listed(kind: int) -> Column:
+        base = F.filter(F.split("base", ","), lambda s: F.substring_index(s, ":", 1) == KINDS[kind])
+        keyed = F.transform(base, lambda s: F.struct(F.split_part(s, F.lit(":"), F.lit(2)).cast("int").alias("start"), s.alias("text")))
+        more = F.transform(
+            F.filter("added", lambda a: a["kind"] == kind),
+            lambda a: F.struct(a["start"].alias("start"), F.concat_ws(":", F.element_at(names, a["kind"] + 1), a["start"], a["end"]).alias("text")),
+        )
+        return F.transform(F.sort_array(F.concat(keyed, more)), lambda x: x["text"])
+
+    return found.select(
+        "doc_id",
+        *(F.element_at("counts", i + 1).alias(f"n_{k}") for i, k in enumerate(KINDS)),
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(F.concat(*(listed(i) for i in range(len(KINDS)))), ",").alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
+def redact(docs: DataFrame, at_least: float = AT_LEAST) -> DataFrame:
+    """docs with every reported span replaced by its kind in brackets."""
+    spark_cols = docs.columns
+    keyed = docs.withColumn("__th", F.xxhash64("text"))
+    found = find_pii(keyed.select("doc_id", "__th", "text"), at_least, ("doc_id", "__th")).select(
+        F.col("doc_id").alias("__d"), F.col("__th").alias("__t"), "base", "added"
+    )
+    found = found.where("base <> '' or size(added) > 0").dropDuplicates(["__d", "__t"])
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, base: pd.Series, added: pd.Series) -> pd.Series:
+        out = []
+        for text, b, more in zip(texts, base, added, strict=True):
+            spans = [(int(s), int(e), k) for k, s, e in (x.split(":") for x in (b or "").split(",") if x)]
+            spans += [(x["start"], x["end"], KINDS[x["kind"]]) for x in (more if more is not None else [])]
+            if text is None or not spans:
+                out.append(text)
+                continue
+            pieces, at = [], 0
+            for s, e, k in sorted(spans):
+                if s >= at:
+                    pieces += [text[at:s], f"[{k}]"]
+                at = max(at, e)
+            out.append("".join(pieces) + text[at:])
+        return pd.Series(out, dtype=object)
+
+    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
+    return joined.withColumn("text", cut("text", "base", "added")).select(*spark_cols)
