@@ -3,7 +3,9 @@
 Rules vote good, bad or abstain on each text. Expectation-maximisation over the
 table of vote patterns (at most 3^8 rows, whatever the input) estimates how
 each rule votes on good and on bad texts; the posterior probability of good
-then decides, in place of "all rules must pass".
+then decides, in place of "all rules must pass". The estimate is made on texts
+that pass the base rules, so that short and repetitive texts, which are out
+already, do not stand for all bad texts.
 
 Defined cases: null text counts as empty; a text without words fails the base
 rules; a rule that cannot be computed abstains; an empty table gives no rows.
@@ -25,6 +27,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Repeated windows up to which a membership test is a scan of the list.
 FEW_REPEATS = 24
+#: Presumed shares of a rule's votes on good and on bad texts.
+GOOD_VOTES, BAD_VOTES = {1: 0.95, 0: 0.048, -1: 0.002}, {1: 0.5, 0: 0.25, -1: 0.25}
 RULES = ("length", "symbols", "repeats", "lines", "word_length", "capitals", "stops", "variety")
 
 
@@ -125,12 +129,14 @@ def rule_votes() -> dict[str, Column]:
 def fit_label_model(votes: DataFrame, rounds: int = 12) -> dict:
     """EM over vote patterns. votes: one int column per rule.
 
-    Each round is one aggregate over the pattern table; only the 6 numbers of
-    each rule reach the driver.
+    Starts from "a single vote against makes a text doubtful", and holds to
+    GOOD_VOTES with half the weight of the data, and to BAD_VOTES with a tenth:
+    rules speak against few good texts. Each round is one aggregate over the pattern table; only the 6
+    numbers of each rule reach the driver.
     """
     patterns = stored(votes.groupBy(*RULES).agg(F.count(F.lit(1)).cast("double").alias("__n")), "patterns")
-    score = sum((F.col(r) for r in RULES[1:]), F.col(RULES[0]))
-    posterior = F.when(score >= 3, 0.9).when(score <= 0, 0.1).otherwise(0.6)
+    against = sum(((F.col(r) == -1).cast("int") for r in RULES[1:]), (F.col(RULES[0]) == -1).cast("int"))
+    posterior = F.when(against == 0, 0.95).when(against == 1, 0.1).otherwise(0.02)
     model: dict = {}
     for _ in range(rounds):
         good, bad = F.col("__n") * posterior, F.col("__n") * (1 - posterior)
@@ -140,12 +146,12 @@ def fit_label_model(votes: DataFrame, rounds: int = 12) -> dict:
             *(F.coalesce(F.sum(F.when(F.col(r) == v, side)), F.lit(0.0)) for r in RULES for v in (1, 0, -1) for side in (good, bad)),
         ).first()
         g, b = row[0], row[1]
-        # One pseudo-count a cell, with three for the side a rule is meant to speak for.
+        held, lean = 1 + (g + b) / 2, 1 + b / 10
         rates = {}
         for k, r in enumerate(RULES):
             for j, v in enumerate((1, 0, -1)):
                 a, c = row[2 + 6 * k + 2 * j], row[3 + 6 * k + 2 * j]
-                rates[r, v] = math.log((a + 1 + 2 * (v == 1)) / (g + 5)) - math.log((c + 1 + 2 * (v == -1)) / (b + 5))
+                rates[r, v] = math.log((a + held * GOOD_VOTES[v]) / (g + held)) - math.log((c + lean * BAD_VOTES[v]) / (b + lean))
         model = {"prior": math.log((g + 1) / (b + 1)), "rates": rates}
         posterior = posterior_quality(model)
     return model
@@ -165,8 +171,8 @@ def score_quality(docs: DataFrame, keep_columns: tuple[str, ...] = ("doc_id",),
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     voted = quality_features(docs).select(*keep_columns, *counts, "__fw", "__flines", "__fcaps", "__fstops").withColumns(rule_votes())
     voted = stored(voted.select(*keep_columns, *counts, *RULES), "votes")
-    model = fit_label_model(voted.select(*RULES))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    model = fit_label_model(voted.where(~failed).select(*RULES))
     return (
         voted.withColumn("base_failed", failed)
         .withColumn("quality", posterior_quality(model))
