@@ -12,16 +12,13 @@ Counting combines on the map side; the join back on the hash meets one row per
 repeated run on the other side, so Spark can split a hot hash's rows.
 
 Defined cases: null and empty texts have no sentences and are returned as they
-are; runs must be equal in their words (case and white space aside); rows equal
+are; runs must be equal in their words (ASCII case and white space aside); rows equal
 in doc_id and text are one place and share one verdict; a repeat within one
 document counts; texts that are removed whole stay as empty texts.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,86 +26,92 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallygrove.llm.common import broadcast_if_small, stored
+from tallygrove.llm.text_hash import U, ascii_lower, run_hashes, to_bytes, windows, word_bounds, word_hashes
 
 RUN = 3
 LEAST_WORDS = 12
-LONGEST = 16
-_SENTENCE = re.compile(r"[^.!?。\n]*(?:[.!?。]+(?=\s|\Z)\s*|[.!?。]+|\n+|\Z)")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def _pieces(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
-    """(start, end, words) of one sentence, cut by content if it is long."""
-    found = [(m.start(), m[0].lower()) for m in _WORD.finditer(text, start, end)]
-    if len(found) <= LONGEST:
-        return [(start, end, " ".join(w for _, w in found))] if found else []
-    out, first = [], 0
-    for i in range(1, len(found)):
-        pair = f"{found[i - 1][1]} {found[i][1]}".encode("utf-8", "replace")
-        if i - first >= 4 and hashlib.blake2b(pair, digest_size=1).digest()[0] % 6 == 0 or i - first >= 4 * LONGEST:
-            out.append((found[first][0] if first else start, found[i][0], " ".join(w for _, w in found[first:i])))
-            first = i
-    out.append((found[first][0] if first else start, end, " ".join(w for _, w in found[first:])))
-    return out
-
-
-def sentences(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, lower-cased words) of the sentences; a sentence ends where the next begins."""
-    text = text or ""
-    out: list[tuple[int, int, str]] = []
-    start = 0
-    for m in _SENTENCE.finditer(text):
-        # A mark inside a word, as in 1.5, ends nothing.
-        inside = m.end() < len(text) and m.end() > m.start() and not text[m.end() - 1].isspace() and not text[m.end()].isspace()
-        if inside or m.end() == start:
-            continue
-        out += _pieces(text, start, m.end())
-        start = m.end()
-    if start < len(text):
-        out += _pieces(text, start, len(text))
-    return out
-
-
-def run_hashes(pieces: list[tuple[int, int, str]], run: int = RUN) -> list[int | None]:
-    """A hash per run of consecutive sentences, by its first; null for a run with too few words."""
-    each = [hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest() for _, _, w in pieces]
-    count = [w.count(" ") + 1 for _, _, w in pieces]
-    return [
-        int.from_bytes(hashlib.blake2b(b"".join(each[i : i + run]), digest_size=8).digest(), "little", signed=True)
-        if sum(count[i : i + run]) >= LEAST_WORDS
-        else None
-        for i in range(len(pieces) - run + 1)
-    ]
+LONGEST = 10
+#: A long sentence is cut before one word in so many.
+CUT = 6
+_STOPS = np.zeros(256, dtype=bool)
+_STOPS[[ord(c) for c in ".!?"]] = True
+_NEWLINE = 10
+_WIDE_STOP = "\u3002".encode()
+
+
+def sentences(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, words, hash) of each sentence of a text's bytes; a sentence ends where the next begins.
+
+    A sentence ends with a word that ends in a stop, or at a line's end. In
+    sentences of over LONGEST words, a word also begins a new one if the hash of
+    it and the word before says so.
+    """
+    first, end = word_bounds(data)
+    n = len(first)
+    if not n:
+        return first, first, np.zeros(0, dtype=U)
+    words = word_hashes(ascii_lower(data))
+    last = data[end - 1]
+    stop = _STOPS[last]
+    wide = np.flatnonzero(last == _WIDE_STOP[2])
+    if len(wide):
+        stop[wide] |= (data[end[wide] - 2] == _WIDE_STOP[1]) & (data[end[wide] - 3] == _WIDE_STOP[0])
+    lines = np.cumsum(data == _NEWLINE)
+    begins = np.ones(n, dtype=bool)
+    begins[1:] = stop[:-1] | (lines[first[1:]] > lines[end[:-1] - 1])
+    at = np.flatnonzero(begins)
+    size = np.diff(at, append=n)
+    if size.max() > LONGEST:
+        begins[1:] |= np.repeat(size > LONGEST, size)[1:] & (windows(words, 2) % U(CUT) == 0)
+        at = np.flatnonzero(begins)
+        size = np.diff(at, append=n)
+    start = first[at]
+    start[0] = 0
+    return start, size, run_hashes(words, at)
+
+
+def runs_of(data: np.ndarray) -> np.ndarray | None:
+    """A hash per run of RUN consecutive sentences, by its first; 0 for a run with too few words."""
+    _, size, hashes = sentences(data)
+    if len(size) < RUN:
+        return None
+    out = windows(hashes, RUN) | U(1)
+    total = np.cumsum(np.concatenate(([0], size)))
+    out[total[RUN:] - total[:-RUN] < LEAST_WORDS] = 0
+    return out.view(np.int64) if out.any() else None
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _runs(texts: pd.Series) -> pd.Series:
-    return pd.Series([run_hashes(sentences(t)) for t in texts], dtype=object)
+    return pd.Series([runs_of(to_bytes(t)) for t in texts], dtype=object)
 
 
 _SPANS = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()))
-_CUT = T.StructType().add("n", T.IntegerType()).add("removed", _SPANS).add("text", T.StringType())
+_CUT = T.StructType().add("removed", _SPANS).add("text", T.StringType())
+
+
+def cut_text(text: str, marks: np.ndarray) -> tuple[list[dict], str]:
+    """Spans (code points) covered by the marked runs, and the text without them."""
+    data = to_bytes(text)
+    start, size, _ = sentences(data)
+    gone = np.zeros(len(size) + 1, dtype=np.int64)
+    for i in range(RUN):
+        np.add.at(gone, np.minimum(np.asarray(marks) + i, len(size)), 1)
+    edge = np.diff(np.concatenate(([0], gone[:-1] > 0, [0])).astype(np.int8))
+    bounds = np.append(start, len(data))
+    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    lo, hi = points[bounds[np.flatnonzero(edge == 1)]], points[bounds[np.flatnonzero(edge == -1)]]
+    kept, at = [], 0
+    for s, e in zip(lo, hi, strict=True):
+        kept.append(text[at:s])
+        at = e
+    return [{"start": int(s), "end": int(e)} for s, e in zip(lo, hi, strict=True)], "".join(kept) + text[at:]
 
 
 @F.pandas_udf(_CUT)
 def _cut(texts: pd.Series, repeated: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text, marks in zip(texts, repeated, strict=True):
-        pieces = sentences(text)
-        gone = np.zeros(len(pieces), dtype=bool)
-        for i in marks if marks is not None else ():
-            gone[i : i + RUN] = True
-        kept, spans, at = [], [], 0
-        for (s, e, _), out in zip(pieces, gone, strict=True):
-            if out:
-                kept.append(text[at:s])
-                if spans and spans[-1]["end"] == s:
-                    spans[-1]["end"] = e
-                else:
-                    spans.append({"start": s, "end": e})
-                at = e
-        rows.append((len(pieces), spans, text if not spans else "".join(kept) + text[at:]))
-    return pd.DataFrame(rows, columns=["n", "removed", "text"])
+    rows = [([], text) if marks is None else cut_text(text, marks) for text, marks in zip(texts, repeated, strict=True)]
+    return pd.DataFrame(rows, columns=["removed", "text"])
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -116,9 +119,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
     Documents without such a run have no row.
     """
-    runs = stored(docs.select("doc_id", F.xxhash64("text").alias("th"), _runs("text").alias("runs")).where(F.size("runs") > 0), "runs")
+    runs = stored(docs.select("doc_id", F.xxhash64("text").alias("th"), _runs("text").alias("runs")).where("runs is not null"), "runs")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "pos")
-    placed = runs.select("doc_id", "th", F.posexplode("runs").alias("pos", "hash")).where("hash is not null")
+    placed = runs.select("doc_id", "th", F.posexplode("runs").alias("pos", "hash")).where("hash <> 0")
     # Copies of a row (equal doc_id and text) share their places, so spread is told by two different ones.
     first = (
         placed.groupBy("hash")
@@ -133,8 +136,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with cleaned text, n_sentences, n_removed (characters) and removed (spans in the old text)."""
-    names = [c for c in docs.columns if c.lower() not in ("n_sentences", "n_removed", "removed")]
+    """docs with cleaned text, n_removed (characters) and removed (spans in the old text)."""
+    names = [c for c in docs.columns if c.lower() not in ("n_removed", "removed")]
     marks = repeated_runs(docs.select("doc_id", "text"))
     marks = broadcast_if_small(marks.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "marks"))
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
@@ -142,12 +145,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     length = F.aggregate("__c.removed", F.lit(0), lambda a, x: a + x["end"] - x["start"])
     return cut.select(
         *(F.col("__c.text").alias("text") if c == "text" else F.col(c) for c in names),
-        F.col("__c.n").alias("n_sentences"),
         length.cast("long").alias("n_removed"),
         F.col("__c.removed").alias("removed"),
     )
 
 
 def repeats_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences, n_removed, removed and the cleaned text of every document."""
-    return remove_repeats(docs.select("doc_id", "text")).select("doc_id", "n_sentences", "n_removed", "removed", "text")
+    """doc_id, n_removed, removed and the cleaned text of every document."""
+    return remove_repeats(docs.select("doc_id", "text")).select("doc_id", "n_removed", "removed", "text")

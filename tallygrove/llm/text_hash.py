@@ -47,24 +47,32 @@ def ascii_lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    """One hash per word (maximal run of bytes that are not ASCII white space)."""
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each word (maximal run of bytes that are not ASCII white space)."""
     if not len(data):
-        return np.zeros(0, dtype=U)
-    inside = ~_SPACE[data]
-    edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
-    first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    edge = np.diff(np.concatenate(([0], (~_SPACE[data]).view(np.int8), [0])))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One hash per run of values; runs begin at `starts` and cover all values."""
+    length = np.diff(starts, append=len(values))
+    at = np.arange(len(values)) - np.repeat(starts, length)
+    with np.errstate(over="ignore"):
+        scaled = values * _POW[at & (_BLOCK - 1)]
+        if length.max() > _BLOCK:
+            scaled *= _POW_HIGH[(at >> 16) & (_BLOCK - 1)]
+        return mix(np.add.reduceat(scaled, starts) + length.astype(U) * U(0x9E3779B97F4A7C15))
+
+
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """One hash per word."""
+    first, end = word_bounds(data)
     if not len(first):
         return np.zeros(0, dtype=U)
     length = end - first
-    offset = np.cumsum(length) - length
-    chars = data[inside]
-    at = np.arange(len(chars)) - np.repeat(offset, length)
-    with np.errstate(over="ignore"):
-        value = _BYTE[chars] * _POW[at & (_BLOCK - 1)]
-        if length.max() > _BLOCK:
-            value *= _POW_HIGH[(at >> 16) & (_BLOCK - 1)]
-        return mix(np.add.reduceat(value, offset) + length.astype(U) * U(0x9E3779B97F4A7C15))
+    return run_hashes(_BYTE[data[~_SPACE[data]]], np.cumsum(length) - length)
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
