@@ -7,11 +7,14 @@ coordinate is filled; each bin keeps its least value. Bands of coordinates
 name candidates, and every link is confirmed on full sets.
 
 Documents of equal sets are one node. In each bucket every node is compared
-with the bucket's first node; links merge nodes into components. Buckets that
-still hold several components then compare what lies across components, so a
-large bucket of copies costs one comparison per member, and no link between
-sets that share a bucket is lost. With 32 bands of 4, a pair at similarity 0.75
-shares no bucket with probability 5e-6.
+with a pivot, the node with the most company in all its buckets; links merge
+nodes into components, and the round is repeated with another pivot where a
+bucket still holds several components. What then lies across components is
+compared in full: small buckets pair by pair, large ones in blocks of sets. So
+a large bucket of copies costs one comparison per member, no pair of a large
+bucket becomes a row, and no link between sets that share a bucket is lost.
+With 32 bands of 4, a pair at similarity 0.75 shares no bucket with
+probability 5e-6.
 
 Defined cases: a document with fewer than five words is one shingle, without
 words its set is empty and it is linked with nothing (its component is its own
@@ -35,6 +38,12 @@ from tallygrove.llm.text_hash import U, mix, seeds, shingles, windows
 WIDTH = 5
 PERCENT = 75
 BINS, BAND_ROWS = 128, 4
+#: Rounds of comparison with one pivot a bucket.
+PIVOTS = 2
+#: Members up to which a bucket's pairs become rows; beyond, they are compared in blocks.
+SMALL = 16
+BLOCK = 128
+PAIRS_AT_ONCE = 4_000_000
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 _SEEDS = seeds(2 * BINS, 101)
 
@@ -125,6 +134,71 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(found.select("node", _set_udf("text").alias("set")).dropDuplicates(["node"]), "sets")
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, n, deg, comp of the buckets whose members are not all in one component yet."""
+    known = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    apart = known.groupBy("key").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).where("__lo <> __hi").select("key")
+    return stored(known.join(apart, "key", "left_semi"), "mixed")
+
+
+def _pairs_within(members: DataFrame) -> DataFrame:
+    """All pairs across components; for buckets of at most SMALL members."""
+    other = members.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    across = (F.col("comp") < F.col("cb")) & _similar(F.col("n"), F.col("nb"))
+    return members.join(other, "key").where(across).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every left set with every right set."""
+    out = np.zeros(len(left) * len(right), dtype=np.int64)
+    x, y = np.concatenate(left), np.concatenate(right)
+    i, j = np.repeat(np.arange(len(left)), [len(v) for v in left]), np.repeat(np.arange(len(right)), [len(v) for v in right])
+    order, back = np.argsort(x, kind="stable"), np.argsort(y, kind="stable")
+    x, i, y, j = x[order], i[order], y[back], j[back]
+    lo, hi = np.searchsorted(y, x, "left"), np.searchsorted(y, x, "right")
+    count = hi - lo
+    ends = np.cumsum(count)
+    start = 0
+    while start < len(x):  # at most about PAIRS_AT_ONCE matches in memory
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS_AT_ONCE, "right")))
+        c = count[start:stop]
+        at = np.repeat(lo[start:stop] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        out += np.bincount(np.repeat(i[start:stop], c) * len(right) + j[at], minlength=len(out))
+        start = stop
+    return out.reshape(len(left), len(right))
+
+
+def _links_in_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links across components between the minor and the other members of one pair of blocks."""
+    sides = [pdf[pdf["minor"]], pdf[~pdf["minor"]]]
+    if not len(sides[0]) or not len(sides[1]):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    left, right = ([np.asarray(v) for v in side["set"]] for side in sides)
+    common = _common(left, right)
+    total = np.array([len(v) for v in left])[:, None] + np.array([len(v) for v in right])[None, :] - common
+    apart = sides[0]["comp"].to_numpy()[:, None] != sides[1]["comp"].to_numpy()[None, :]
+    i, j = np.nonzero((100 * common >= PERCENT * total) & apart)
+    a, b = sides[0]["node"].to_numpy()[i], sides[1]["node"].to_numpy()[j]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _links_by_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components in large buckets, no pair left out and no pair made a row.
+
+    A bucket's members outside its largest component (minor) meet all members,
+    block by block; a block holds about BLOCK of each side.
+    """
+    sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("__m")).groupBy("key").agg(F.sum("__m").alias("__s"), F.max(F.struct("__m", "comp")).alias("__big"))
+    sized = members.join(sizes, "key").withColumn("minor", F.col("comp") != F.col("__big.comp"))
+    all_blocks, minor_blocks = F.ceil(F.col("__s") / BLOCK), F.ceil((F.col("__s") - F.col("__big.__m")) / BLOCK)
+    own = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
+    upto = lambda blocks: F.sequence(F.lit(0), (blocks - 1).cast("int"))
+    left = sized.where("minor").select("key", "node", "comp", "minor", own(minor_blocks).alias("mb"), F.explode(upto(all_blocks)).alias("ab"))
+    right = sized.select("key", "node", "comp", F.lit(False).alias("minor"), F.explode(upto(minor_blocks)).alias("mb"), own(all_blocks).alias("ab"))
+    shipped = left.unionByName(right).join(sets, "node")
+    return shipped.groupBy("key", "mb", "ab").applyInPandas(_links_in_block, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, component_id and kept of every row of docs."""
     docs = docs.select("doc_id", "text")
@@ -138,36 +212,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(full.groupBy("fp").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low")), "classes")
     reps = full.join(classes.select("node"), F.col("rid") == F.col("node"), "left_semi")
     buckets = reps.select(F.col("rid").alias("node"), "n", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("__c")).where("__c > 1").drop("__c")
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1")
     crowded = stored(buckets.join(shared, "key"), "buckets")
-
-    first_n = crowded.where("node = first").select("key", F.col("n").alias("nf"))
-    pairs = (
-        crowded.where("node <> first")
-        .join(first_n, "key")
-        .where(_similar(F.col("n"), F.col("nf")))
-        .select(F.col("first").alias("a"), F.col("node").alias("b"))
-        .distinct()
-    )
-    pairs = stored(pairs, "pairs")
+    degree = crowded.groupBy("node").agg(F.sum("__c").alias("deg"))
+    live = stored(crowded.drop("__c").join(degree, "node").withColumn("comp", F.col("node")), "live")
     wanted = crowded.select("node").distinct()
     nodes = stored(full.join(wanted, F.col("rid") == F.col("node")).select("node", "doc_id", "th"), "nodes")
     sets = _sets(docs, nodes)
-    links = stored(_confirm(pairs, sets), "links")
-    labels = components(links)
-
-    known = crowded.select("key", "node", "n").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    known = stored(known.join(mixed, "key", "left_semi"), "mixed")
-    other = known.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    across = (
-        known.join(other, "key")
-        .where((F.col("comp") < F.col("cb")) & _similar(F.col("n"), F.col("nb")))
-        .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    more = stored(_confirm(across, sets), "links")
+
+    links, labels = None, None
+    for _ in range(PIVOTS):
+        pivot = live.groupBy("key").agg(F.max(F.struct("deg", "node", "n", "comp")).alias("p"))
+        members = live.join(pivot, "key").where("node <> p.node")
+        apart = (F.col("comp") != F.col("p.comp")) & _similar(F.col("n"), F.col("p.n"))
+        pairs = members.where(apart).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+        found = _confirm(stored(pairs, "pairs"), sets)
+        links = stored(found if links is None else links.union(found), "links")
+        labels = components(links)
+        live = _mixed(members.select("key", "node", "n", "deg"), labels)
+
+    sizes = live.groupBy("key").agg((F.count(F.lit(1)) <= SMALL).alias("small"))
+    rest = stored(live.join(sizes, "key"), "rest")
+    more = _confirm(_pairs_within(rest.where("small")), sets).union(_links_by_blocks(rest.where("not small"), sets))
+    more = stored(more, "links")
     if not more.isEmpty():
         labels = components(links.union(more))
 

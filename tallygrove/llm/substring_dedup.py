@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrove.llm.common import broadcast_if_small, stored
+from tallygrove.llm.common import BROADCAST_ROWS, broadcast_if_small, stored
 from tallygrove.llm.text_hash import U, ascii_lower, run_hashes, to_bytes, windows, word_bounds, word_hashes
 
 RUN = 3
@@ -139,7 +139,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with cleaned text, n_removed (characters) and removed (spans in the old text)."""
     names = [c for c in docs.columns if c.lower() not in ("n_removed", "removed")]
     marks = repeated_runs(docs.select("doc_id", "text"))
-    marks = broadcast_if_small(marks.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "marks"))
+    positions = marks.agg(F.coalesce(F.sum(F.size("marks") + 8), F.lit(0))).first()[0]
+    marks = marks.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "marks")
+    marks = F.broadcast(marks) if positions <= 4 * BROADCAST_ROWS else marks  # a few bytes each
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
     cut = docs.select(*names).join(marks, same, "left").withColumn("__c", _cut("text", "marks"))
     length = F.aggregate("__c.removed", F.lit(0), lambda a, x: a + x["end"] - x["start"])
