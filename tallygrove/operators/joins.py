@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrove.functions.columns import GUARD
+from tallygrove.operators.order import with_totals
 
 
 def asof(left: DataFrame, right: DataFrame, at: str, start: str, by: tuple[str, ...] = (), values: tuple[str, ...] = ("value",), end: str | None = None) -> DataFrame:
@@ -72,8 +73,8 @@ def size_band(revenue: Column) -> Column:
 
 def peers_in_band(df: DataFrame, client_band: str, band: str = "band") -> DataFrame:
     """Rows of the client's band; all rows if none is in it."""
-    matches = F.count(F.when(F.col(band) == client_band, 1)).over(Window.partitionBy(F.lit(0)))
-    return df.withColumn("__m", matches).where((F.col("__m") == 0) | (F.col(band) == client_band)).drop("__m")
+    counted = with_totals(df, __m=F.count(F.when(F.col(band) == client_band, 1)))
+    return counted.where((F.col("__m") == 0) | (F.col(band) == client_band)).drop("__m")
 
 
 def observations(client: DataFrame, peers: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrove.functions.columns import GUARD, bands, clip, deviation_pct, score_tier, sigmoid_100, zscore
+from tallygrove.operators.order import with_totals
 
 LOWER_IS_BETTER = "churn|cac|risk|cost"
 
@@ -81,10 +82,9 @@ def category_mean(scores: DataFrame, categories: dict[str, str], weights: dict[s
 
 def benchmark_metrics(frame: DataFrame) -> DataFrame:
     """entity, growth, revenue, risk -> growth index, share proxy, risk divergence, momentum class, against all others."""
-    w = Window.partitionBy(F.lit(0))
-    n = F.count(F.lit(1)).over(w) - 1
-    others = lambda c: F.try_divide(F.sum(c).over(w) - F.col(c), n)
-    out = frame.withColumns({"__g": others("growth"), "__r": others("risk"), "__t": F.sum(F.greatest("revenue", F.lit(0.0))).over(w)})
+    out = with_totals(frame, __n=F.count(F.lit(1)), __sg=F.sum("growth"), __sr=F.sum("risk"), __t=F.sum(F.greatest("revenue", F.lit(0.0))))
+    others = lambda total, c: F.try_divide(F.col(total) - F.col(c), F.col("__n") - 1)
+    out = out.withColumns({"__g": others("__sg", "growth"), "__r": others("__sr", "risk")})
     out = out.withColumns(
         {
             "relative_growth_index": F.try_divide(1 + F.col("growth"), 1 + F.col("__g")),
@@ -99,15 +99,16 @@ def benchmark_metrics(frame: DataFrame) -> DataFrame:
 
 def role_performance(roles: DataFrame, weights=(0.30, 0.25, 0.25, 0.20)) -> DataFrame:
     """role, growth, efficiency, variance, contribution -> score 0..100 of min-max parts; low variance is good."""
-    w = Window.partitionBy(F.lit(0))
+    inputs = {"growth": F.col("growth"), "efficiency": F.col("efficiency"), "variance": -F.col("variance"), "contribution": F.col("contribution")}
+    ends = with_totals(roles, **{f"__{f.__name__}_{n}": f(x) for n, x in inputs.items() for f in (F.min, F.max)})
 
-    def part(x: Column) -> Column:
-        low, high = F.min(x).over(w), F.max(x).over(w)
+    def part(name: str, x: Column) -> Column:
+        low, high = F.col(f"__min_{name}"), F.col(f"__max_{name}")
         return F.when(high - low <= GUARD, F.lit(50.0)).otherwise(F.try_divide(x - low, high - low) * 100)
 
-    parts = [part(F.col("growth")), part(F.col("efficiency")), part(-F.col("variance")), part(F.col("contribution"))]
+    parts = [part(n, x) for n, x in inputs.items()]
     score = sum((k * p for k, p in zip(weights[1:], parts[1:], strict=True)), weights[0] * parts[0])
-    return roles.withColumn("score", score).withColumn("tier", score_tier(F.col("score")))
+    return ends.withColumn("score", score).select(*roles.columns, "score").withColumn("tier", score_tier(F.col("score")))
 
 
 # Risk.

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrove.functions.columns import GUARD, bands, clip, guarded_change, safe_divide
+from tallygrove.operators.order import global_rank, with_totals
 
 KEYS = ("entity", "metric")
 
@@ -46,11 +47,8 @@ def competition_rank(df: DataFrame, keys, value: str = "value", higher_is_better
 def overall_rank(ranked: DataFrame, entity: str = "entity") -> DataFrame:
     """Mean percentile over an entity's metrics, its rank, and the tier by percentile of that rank."""
     mean = ranked.groupBy(entity).agg(F.avg("percentile").alias("mean_percentile"), F.count(F.lit(1)).alias("metrics"))
-    everyone = Window.partitionBy(F.lit(1))
-    rank = F.rank().over(everyone.orderBy(F.round("mean_percentile", 9).desc()))
-    n = F.count(F.lit(1)).over(everyone)
     tier = bands(F.col("overall_percentile"), [(75.0, "leader"), (50.0, "strong"), (25.0, "average")], "weak")
-    placed = mean.withColumns({"overall_rank": rank, "participants": n})
+    placed = with_totals(global_rank(mean, F.round("mean_percentile", 9), "overall_rank"), participants=F.count(F.lit(1)))
     pct = F.when(F.col("participants") <= 1, F.lit(100.0)).otherwise(F.try_divide((F.col("participants") - F.col("overall_rank")).cast("double"), F.col("participants") - 1) * 100)
     return placed.withColumn("overall_percentile", pct).withColumn("tier", tier)
 
