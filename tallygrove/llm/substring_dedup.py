@@ -31,6 +31,8 @@ from tallygrove.llm.text_hash import U, ascii_lower, run_hashes, to_bytes, windo
 RUN = 3
 LEAST_WORDS = 12
 LONGEST = 10
+#: Words of a piece of one word over and over.
+REPEATED = 8
 #: A long sentence is cut before one word in so many.
 CUT = 6
 _STOPS = np.zeros(256, dtype=bool)
@@ -44,7 +46,7 @@ def sentences(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     A sentence ends with a word that ends in a stop, or at a line's end. In
     sentences of over LONGEST words, a word also begins a new one if the hash of
-    it and the word before says so.
+    it and the word before says so; one word over and over is cut by count.
     """
     first, end = word_bounds(data)
     n = len(first)
@@ -62,7 +64,10 @@ def sentences(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(begins)
     size = np.diff(at, append=n)
     if size.max() > LONGEST:
-        begins[1:] |= np.repeat(size > LONGEST, size)[1:] & (windows(words, 2) % U(CUT) == 0)
+        again = words[1:] == words[:-1]
+        place = np.arange(n) - np.maximum.accumulate(np.where(np.concatenate(([True], ~again)), np.arange(n), 0))
+        cut = np.where(again, place[1:] % REPEATED == 0, windows(words, 2) % U(CUT) == 0)
+        begins[1:] |= np.repeat(size > LONGEST, size)[1:] & cut
         at = np.flatnonzero(begins)
         size = np.diff(at, append=n)
     start = first[at]

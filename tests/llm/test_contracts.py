@@ -251,6 +251,12 @@ def test_repeated_passages(spark):
         assert sum(e - s for s, e in spans) == got[k]["n_removed"] > 400
 
 
+def test_one_word_over_and_over(spark):
+    data = [(1, "start here " + "of " * 100), (2, "of " * 300 + "end"), (3, "of of of of of")]
+    got = {r["doc_id"]: r["text"] for r in remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[1].count("of") < 40 and got[2].count("of") < 40 and got[3] == data[2][1]
+
+
 def test_repeats_on_documents(docs, rows):
     """Brute force over run hashes of all documents."""
     from tallygrove.llm.substring_dedup import RUN, runs_of, sentences, to_bytes
