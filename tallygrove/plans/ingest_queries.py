@@ -141,10 +141,10 @@ register(
 )
 
 # Scalar rules over real columns.
-_RATE = F.col("p_retailprice") / 10 - 60
+_RATE = "p_retailprice / 10 - 60"
 register(
     "percent_to_ratio_rules",
-    on_table("part", lambda p: p.select("p_partkey", C.rate_open(_RATE).alias("open_rule"), C.rate_closed(_RATE).alias("closed_rule"), C.rate_strict(_RATE).alias("strict_rule"))),
+    on_table("part", lambda p: p.select("p_partkey", C.rate_open(F.expr(_RATE)).alias("open_rule"), C.rate_closed(F.expr(_RATE)).alias("closed_rule"), C.rate_strict(F.expr(_RATE)).alias("strict_rule"))),
     """WITH r AS (SELECT p_partkey, p_retailprice / 10 - 60 AS v FROM part)
 SELECT p_partkey, round(CASE WHEN abs(v) > 1 AND abs(v) <= 100 THEN v / 100 ELSE v END, 6) AS open_rule, round(CASE WHEN abs(v) >= 1 AND abs(v) <= 500 THEN v / 100 ELSE v END, 6) AS closed_rule,
   round(CASE WHEN abs(v) > 100 THEN NULL WHEN abs(v) > 1 THEN v / 100 ELSE v END, 6) AS strict_rule FROM r""",

@@ -10,39 +10,39 @@ from tallygrove.plans.registry import on_monthly, on_series, register, rounded,
 from tallygrove.sources import packs, star
 from tallygrove.sources.packs import PACKS
 
-#: Extra inputs derived from each window, so that every formula has something to work on.
+#: Extra inputs derived from each window, so that every formula has something to work on; both engines take them.
 EXTRAS = {
-    "gross_margin": (F.lit(0.7), "0.7::DOUBLE"),
-    "total_visitors": (F.col("n_values") * 10, "n_values * 10"),
-    "marketing_spend": (F.col("revenue") * 0.1, "revenue * 0.1::DOUBLE"),
-    "new_customers": (F.col("active") / 2, "active / 2.0::DOUBLE"),
-    "project_revenue": (F.col("revenue") * 0.25, "revenue * 0.25::DOUBLE"),
-    "billable_hours": (F.col("active") * 20, "active * 20"),
-    "available_hours": (F.col("active") * 32, "active * 32"),
-    "total_employees": (F.col("active") / 4, "active / 4.0::DOUBLE"),
-    "average_client_lifespan_months": (F.lit(18.0), "18.0::DOUBLE"),
-    "deviation": (F.col("revenue") / 8, "revenue / 8"),
-    "risk_free_rate": (F.lit(0.05), "0.05::DOUBLE"),
-    "baseline_target": (F.lit(1e6), "1e6"),
-    "occupied_beds": (F.col("active"), "active"),
-    "total_beds": (F.col("active") + F.col("churned"), "active + churned"),
-    "staff_hours": (F.col("active") * 40, "active * 40"),
-    "ad_spend": (F.col("revenue") * 0.2, "revenue * 0.2::DOUBLE"),
-    "impressions": (F.col("n_values") * 1000, "n_values * 1000"),
-    "clicks": (F.col("n_values") * 31, "n_values * 31"),
-    "labor_hours": (F.col("active") * 160, "active * 160"),
-    "downtime_hours": (F.col("churned"), "churned"),
-    "capacity_hours": (F.col("active") * 4, "active * 4"),
-    "footfall": (F.col("n_values") * 7, "n_values * 7"),
-    "orders_in": (F.col("n_values"), "n_values"),
-    "cogs": (F.col("revenue") * 0.6, "revenue * 0.6::DOUBLE"),
+    "gross_margin": "0.7",
+    "total_visitors": "n_values * 10",
+    "marketing_spend": "revenue * 0.1",
+    "new_customers": "active / 2.0",
+    "project_revenue": "revenue * 0.25",
+    "billable_hours": "active * 20",
+    "available_hours": "active * 32",
+    "total_employees": "active / 4.0",
+    "average_client_lifespan_months": "18.0",
+    "deviation": "revenue / 8",
+    "risk_free_rate": "0.05",
+    "baseline_target": "1e6",
+    "occupied_beds": "active",
+    "total_beds": "active + churned",
+    "staff_hours": "active * 40",
+    "ad_spend": "revenue * 0.2",
+    "impressions": "n_values * 1000",
+    "clicks": "n_values * 31",
+    "labor_hours": "active * 160",
+    "downtime_hours": "churned",
+    "capacity_hours": "active * 4",
+    "footfall": "n_values * 7",
+    "orders_in": "n_values",
+    "cogs": "revenue * 0.6",
 }
 
 _WIN = (
     """
 , win0 AS (SELECT entity, month, revenue, orders::DOUBLE AS n_values, active::DOUBLE AS active, churned::DOUBLE AS churned, coalesce(lag(revenue) OVER (PARTITION BY entity ORDER BY month), 0) AS previous FROM monthly)
 , win AS (SELECT *, """
-    + ", ".join(f"{sql} AS {name}" for name, (_, sql) in EXTRAS.items())
+    + ", ".join(f"({sql})::DOUBLE AS {name}" for name, sql in EXTRAS.items())
     + " FROM win0)"
 )
 _GROWTH = "(revenue - previous) / nullif(previous, 0) AS growth_rate"
@@ -66,7 +66,7 @@ FORMULA_SQL = {
 
 
 def inputs(months):
-    return K.windows_of(months).withColumns({n: c for n, (c, _) in EXTRAS.items()})
+    return K.windows_of(months).withColumns({n: F.expr(sql).cast("double") for n, sql in EXTRAS.items()})
 
 
 def _rounded_sql(body: str) -> str:

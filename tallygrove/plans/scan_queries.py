@@ -11,8 +11,10 @@ from tallygrove.plans.registry import on_facts, on_monthly, on_series, register,
 from tallygrove.sources import scans as C
 from tallygrove.sources import star
 
-_START, _END = "1997-01-01", "1997-12-31"
-_A, _B = (F.lit(d).cast("timestamp_ntz") for d in (_START, _END))
+
+def _year():
+    """Start and end of the scanned period."""
+    return (F.lit(d).cast("timestamp_ntz") for d in ("1997-01-01", "1997-12-31"))
 
 
 def _meta(f: DataFrame) -> DataFrame:
@@ -27,17 +29,17 @@ _M = """
 _IN = "ts >= TIMESTAMP '1997-01-01' AND ts <= TIMESTAMP '1997-12-31'"
 register(
     "scan_dimension_rows",
-    on_facts(lambda f: C.dimension_rows(_meta(f), "saas", _A, _B).select("entity", "ts", "value", "team", "channel", "product_line")),
+    on_facts(lambda f: C.dimension_rows(_meta(f), "saas", *_year()).select("entity", "ts", "value", "team", "channel", "product_line")),
     with_facts(_M + f"\nSELECT entity, ts, round(value, 6) AS value, segment AS team, mchannel AS channel, NULL::VARCHAR AS product_line FROM mf WHERE {_IN}"),
 )
 register(
     "scan_cohort_rows",
-    on_facts(lambda f: C.cohort_rows(_meta(f), "saas", _A, _B).groupBy("acquisition_channel", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"))),
+    on_facts(lambda f: C.cohort_rows(_meta(f), "saas", *_year()).groupBy("acquisition_channel", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"))),
     with_facts(_M + "\nSELECT mchannel AS acquisition_channel, segment, count(*) AS n, min(ts) AS first FROM mf WHERE ts >= TIMESTAMP '1997-01-01' - INTERVAL 365 DAY AND ts <= TIMESTAMP '1997-12-31' GROUP BY ALL"),
 )
 register(
     "scan_macro_rows",
-    on_facts(lambda f: C.macro_rows(f.withColumn("category", F.when(F.col("id") % 4 == 0, "macro").otherwise("sales")), _A, _B).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"))),
+    on_facts(lambda f: C.macro_rows(f.withColumn("category", F.when(F.col("id") % 4 == 0, "macro").otherwise("sales")), *_year()).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"))),
     with_facts("SELECT count(*) AS n, min(ts) AS first FROM facts WHERE id % 4 = 0 AND ts >= TIMESTAMP '1997-01-01' - INTERVAL 730 DAY AND ts <= TIMESTAMP '1997-12-31'"),
 )
 register(
@@ -49,7 +51,7 @@ SELECT entity, arg_min(band, r) FILTER (WHERE band IS NOT NULL) AS band FROM r W
 )
 register(
     "scan_peer_rows",
-    on_facts(lambda f: C.peer_rows(_meta(f), "saas", "NATION_7", _A, _B).groupBy("entity", "band").agg(F.count(F.lit(1)).alias("n"))),
+    on_facts(lambda f: C.peer_rows(_meta(f), "saas", "NATION_7", *_year()).groupBy("entity", "band").agg(F.count(F.lit(1)).alias("n"))),
     with_facts(_M + f"\nSELECT entity, band, count(*) AS n FROM mf WHERE {_IN} AND entity <> 'NATION_7' AND band = 'small' GROUP BY ALL"),
 )
 register(

@@ -27,26 +27,27 @@ def facts(spark):
     return spark.createDataFrame(rows, "id int, source_type string, entity string, category string, metric string, value double, ts timestamp, role string, region string, metadata string")
 
 
-A, B = (F.lit(T(2024, 1, d)) for d in (1, 31))
+def period():
+    return (F.lit(T(2024, 1, d)) for d in (1, 31))
 
 
 def test_dimension_scan_is_closed(facts):
-    got = sorted((r["entity"], r["value"], r["team"]) for r in C.dimension_rows(facts, "saas", A, B).collect())
+    got = sorted((r["entity"], r["value"], r["team"]) for r in C.dimension_rows(facts, "saas", *period()).collect())
     assert got == [("a", 10.0, "red"), ("b", 5.0, None), ("c", 6.0, None)]
-    assert {r["id"] for r in C.base_rows(facts, "saas", A, B).collect()} == {1, 2, 4}
+    assert {r["id"] for r in C.base_rows(facts, "saas", *period()).collect()} == {1, 2, 4}
 
 
 def test_cohort_and_macro_scans(facts):
-    got = {r["entity"]: r["acquisition_channel"] for r in C.cohort_rows(facts, "saas", A, B).collect()}
+    got = {r["entity"]: r["acquisition_channel"] for r in C.cohort_rows(facts, "saas", *period()).collect()}
     assert got == {"a": None, "b": "web", "c": None}
-    assert [r["id"] for r in C.macro_rows(facts, A, B).collect()] == [6]
+    assert [r["id"] for r in C.macro_rows(facts, *period()).collect()] == [6]
 
 
 def test_bands_and_peers(facts):
     assert {r["entity"]: r["band"] for r in C.entity_band(facts).collect()} == {"a": "small", "b": "small", "c": "large", "de": None}
-    assert {r["entity"] for r in C.peer_rows(facts, "saas", "a", A, B).collect()} == {"b"}
-    assert {r["entity"] for r in C.peer_rows(facts.where("id <> 3"), "saas", "a", A, B).collect()} == {"c"}
-    assert {r["entity"] for r in C.peer_rows(facts, "saas", "nobody", A, B).collect()} == {"a", "b", "c"}
+    assert {r["entity"] for r in C.peer_rows(facts, "saas", "a", *period()).collect()} == {"b"}
+    assert {r["entity"] for r in C.peer_rows(facts.where("id <> 3"), "saas", "a", *period()).collect()} == {"c"}
+    assert {r["entity"] for r in C.peer_rows(facts, "saas", "nobody", *period()).collect()} == {"a", "b", "c"}
 
 
 def test_signal_deltas(spark, series):
