@@ -53,7 +53,7 @@ def validate_upload(name: str, size: int, most: int = 50 * 1024 * 1024, extensio
 
 def scan_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings, blanks kept as blanks, the byte-order mark off the first header; no columns is an error."""
-    df = spark.read.option("header", True).option("inferSchema", False).option("emptyValue", "").option("nullValue", "\u0000").option("mode", "PERMISSIVE").csv(path)
+    df = spark.read.option("header", True).option("inferSchema", False).option("quote", "\"").option("escape", "\"").option("emptyValue", "").option("nullValue", "\u0000").option("mode", "PERMISSIVE").csv(path)
     df = df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))
     if not df.columns or df.columns == [""]:
         raise IngestError("empty_header", path)

@@ -36,6 +36,8 @@ class _Reader(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag in _VOID:
+            if not self.hidden:
+                self.text.append(" ")
             return
         if self.hidden or tag in SKIPPED or any(k in ("class", "id") and _AD.search(v or "") for k, v in attrs):
             self.hidden.append(tag)
