@@ -19,7 +19,7 @@ def with_lateness(df: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataF
 
 
 def tumbling(df: DataFrame, width: str = "1 day", keys=("event_type",), ts: str = "ts") -> DataFrame:
-    """Per window and key: events, distinct is left to sketches on streams; sum and mean of value."""
+    """Per window and key: number of events, sum and mean of value."""
     w = df.groupBy(F.window(ts, width), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.avg("value").alias("mean"))
     return w.select(F.col("window.start").alias("window_start"), *keys, "n", "total", "mean")
 
