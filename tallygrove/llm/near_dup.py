@@ -16,6 +16,10 @@ bucket becomes a row, and no link between sets that share a bucket is lost.
 With 32 bands of 4, a pair at similarity 0.75 shares no bucket with
 probability 5e-6.
 
+What a bucket's members are joined with (its size, its pivot) is written first,
+so both sides of such a join are plain shuffles and Spark can split the rows of
+a hot bucket.
+
 Defined cases: a document with fewer than five words is one shingle, without
 words its set is empty and it is linked with nothing (its component is its own
 doc_id); doc_id may be null (component_id is then the smallest id of its
@@ -137,8 +141,9 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
     """key, node, n, deg, comp of the buckets whose members are not all in one component yet."""
     known = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    known = stored(known, "known")
     apart = known.groupBy("key").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).where("__lo <> __hi").select("key")
-    return stored(known.join(apart, "key", "left_semi"), "mixed")
+    return stored(known.join(stored(apart, "apart"), "key", "left_semi"), "mixed")
 
 
 def _pairs_within(members: DataFrame) -> DataFrame:
@@ -189,7 +194,7 @@ def _links_by_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     block by block; a block holds about BLOCK of each side.
     """
     sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("__m")).groupBy("key").agg(F.sum("__m").alias("__s"), F.max(F.struct("__m", "comp")).alias("__big"))
-    sized = members.join(sizes, "key").withColumn("minor", F.col("comp") != F.col("__big.comp"))
+    sized = members.join(stored(sizes, "sizes"), "key").withColumn("minor", F.col("comp") != F.col("__big.comp"))
     all_blocks, minor_blocks = F.ceil(F.col("__s") / BLOCK), F.ceil((F.col("__s") - F.col("__big.__m")) / BLOCK)
     own = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
     upto = lambda blocks: F.sequence(F.lit(0), (blocks - 1).cast("int"))
@@ -213,7 +218,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = full.join(classes.select("node"), F.col("rid") == F.col("node"), "left_semi")
     buckets = reps.select(F.col("rid").alias("node"), "n", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1")
-    crowded = stored(buckets.join(shared, "key"), "buckets")
+    crowded = stored(buckets.join(stored(shared, "shared"), "key"), "buckets")
     degree = crowded.groupBy("node").agg(F.sum("__c").alias("deg"))
     live = stored(crowded.drop("__c").join(degree, "node").withColumn("comp", F.col("node")), "live")
     wanted = crowded.select("node").distinct()
@@ -222,7 +227,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     links, labels = None, None
     for _ in range(PIVOTS):
-        pivot = live.groupBy("key").agg(F.max(F.struct("deg", "node", "n", "comp")).alias("p"))
+        pivot = stored(live.groupBy("key").agg(F.max(F.struct("deg", "node", "n", "comp")).alias("p")), "pivots")
         members = live.join(pivot, "key").where("node <> p.node")
         apart = (F.col("comp") != F.col("p.comp")) & _similar(F.col("n"), F.col("p.n"))
         pairs = members.where(apart).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
@@ -232,7 +237,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         live = _mixed(members.select("key", "node", "n", "deg"), labels)
 
     sizes = live.groupBy("key").agg((F.count(F.lit(1)) <= SMALL).alias("small"))
-    rest = stored(live.join(sizes, "key"), "rest")
+    rest = stored(live.join(stored(sizes, "sizes"), "key"), "rest")
     more = _confirm(_pairs_within(rest.where("small")), sets).union(_links_by_blocks(rest.where("not small"), sets))
     more = stored(more, "links")
     if not more.isEmpty():
