@@ -1,9 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences; a sentence of over `LONGEST` words is cut further
-where its own words say so, so a passage is cut alike wherever it stands. Every
-run of `RUN` consecutive sentences with at least `LEAST_WORDS` words is hashed.
-Run hashes are aggregated over all documents, which gives the first place of
+where its own words say so, so a passage is cut alike wherever it stands. A run
+begins at every sentence and goes on for `RUN` sentences, and further until it
+holds `LEAST_WORDS` words; each is hashed. Run hashes are aggregated over all documents, which gives the first place of
 each repeated run; sentences covered by a repeated run at any other place are
 removed.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallygrove.llm.common import broadcast_if_small, stored
-from tallygrove.llm.text_hash import U, ascii_lower, run_hashes, to_bytes, windows, word_bounds, word_hashes
+from tallygrove.llm.text_hash import U, ascii_lower, mix, run_hashes, to_bytes, windows, word_bounds, word_hashes
 
 RUN = 3
 LEAST_WORDS = 12
@@ -75,14 +75,28 @@ def sentences(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, size, run_hashes(words, at)
 
 
+def run_lengths(size: np.ndarray) -> np.ndarray:
+    """Sentences of the run that begins at each; 0 where the text ends before the run is complete."""
+    total = np.cumsum(np.concatenate(([0], size)))
+    begin = np.arange(len(size))
+    end = np.maximum(begin + RUN, np.searchsorted(total, total[:-1] + LEAST_WORDS))
+    return np.where(end <= len(size), end - begin, 0)
+
+
 def runs_of(data: np.ndarray) -> np.ndarray | None:
-    """A hash per run of RUN consecutive sentences, by its first; 0 for a run with too few words."""
+    """A hash per run, by its first sentence; 0 for a run that the text's end cuts short."""
     _, size, hashes = sentences(data)
     if len(size) < RUN:
         return None
-    out = windows(hashes, RUN) | U(1)
-    total = np.cumsum(np.concatenate(([0], size)))
-    out[total[RUN:] - total[:-RUN] < LEAST_WORDS] = 0
+    length = run_lengths(size)
+    out = np.zeros(len(size), dtype=U)
+    for n in np.unique(length[length > 0]):  # a sentence has a word at least, so few lengths occur
+        at = np.flatnonzero(length == n)
+        run = np.zeros(len(at), dtype=U)
+        with np.errstate(over="ignore"):
+            for j in range(n):
+                run = run * U(0xD6E8FEB86659FD93) + hashes[at + j]
+            out[at] = mix(run + U(n)) | U(1)
     return out.view(np.int64) if out.any() else None
 
 
@@ -99,9 +113,9 @@ def cut_text(text: str, marks: np.ndarray) -> tuple[list[dict], str]:
     """Spans (code points) covered by the marked runs, and the text without them."""
     data = to_bytes(text)
     start, size, _ = sentences(data)
-    gone = np.zeros(len(size) + 1, dtype=np.int64)
-    for i in range(RUN):
-        np.add.at(gone, np.minimum(np.asarray(marks) + i, len(size)), 1)
+    marks = np.asarray(marks)
+    ends = np.bincount(marks + run_lengths(size)[marks], minlength=len(size) + 1)
+    gone = np.cumsum(np.bincount(marks, minlength=len(size) + 1) - ends)
     edge = np.diff(np.concatenate(([0], gone[:-1] > 0, [0])).astype(np.int8))
     bounds = np.append(start, len(data))
     points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
