@@ -1,7 +1,11 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences; a sentence of over `LONGEST` words is cut further
-where its own words say so, so a passage is cut alike wherever it stands. A run
+before the word whose hash (with the word before it) is least among any `WINDOW`
+in a row. So a cut falls among any `WINDOW` words, and a passage is cut alike
+wherever it stands but for `WINDOW` words at its ends: of 50 words in a row that
+are repeated, a whole run is always inside. A character of a script written
+without spaces is a word by itself and counts as half a one. A run
 begins at every sentence and goes on for `RUN` sentences, and further until it
 holds `LEAST_WORDS` words; each is hashed. Run hashes are aggregated over all documents, which gives the first place of
 each repeated run; sentences covered by a repeated run at any other place are
@@ -26,60 +30,109 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallygrove.llm.common import broadcast_if_small, stored
-from tallygrove.llm.text_hash import U, ascii_lower, mix, run_hashes, to_bytes, windows, word_bounds, word_hashes
+from tallygrove.llm.text_hash import _BYTE, _SPACE, U, ascii_lower, mix, run_hashes, to_bytes, windows, word_bounds
 
 RUN = 3
 LEAST_WORDS = 12
 LONGEST = 10
-#: Words of a piece of one word over and over.
-REPEATED = 8
-#: A long sentence is cut before one word in so many.
-CUT = 6
+#: A long sentence is cut at least once among so many words.
+WINDOW = 6
 _STOPS = np.zeros(256, dtype=bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
 _NEWLINE = 10
-_WIDE_STOP = "\u3002".encode()
+_WIDE_STOPS = [np.frombuffer(c.encode(), dtype=np.uint8) for c in "\u3002\uff01\uff1f\uff0e\uff61"]
+
+
+def _unspaced() -> np.ndarray:
+    """By the first two bytes of a character: is its script written without spaces between words?"""
+    table = np.zeros((256, 256), dtype=bool)
+    table[0xE3:0xEA] = True  # CJK signs, kana, Han
+    table[0xE0, 0xB8:] = True  # Thai, Lao, Tibetan
+    table[0xE1, [0x80, 0x81, 0x82, 0x9E, 0x9F]] = True  # Burmese, Khmer
+    table[0xE2, 0xBA:] = True  # radicals
+    table[0xEF, [*range(0xA4, 0xAC), *range(0xBC, 0xBF)]] = True  # compatibility and wide forms
+    table[0xF0, 0xA0:0xB4] = True  # rarer Han
+    return table
+
+
+_UNSPACED = _unspaced()
+
+
+def tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end, half words) of each word; a character of an unspaced script is a word and counts half."""
+    first, end = word_bounds(data)
+    if not len(first) or data.max() < 0xE0:
+        return first, end, np.full(len(first), 2)
+    alone = _UNSPACED[data, np.append(data[1:], np.uint8(0))]
+    at = np.flatnonzero(alone)
+    if not len(at):
+        return first, end, np.full(len(first), 2)
+    mark = np.zeros(len(data) + 1, dtype=bool)
+    mark[first] = mark[at] = mark[np.minimum(at + np.where(data[at] >= 0xF0, 4, 3), len(data))] = True
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[end] = True
+    # A mark on white space or at the end of the text is the end of a word already.
+    mark &= ~edge
+    begin = np.flatnonzero(mark)
+    mark[first] = False
+    return begin, np.flatnonzero(edge | mark), np.where(alone[begin], 1, 2)
+
+
+def least_in_window(values: np.ndarray, width: int) -> np.ndarray:
+    """Which values are the least (or equal to it) of some `width` in a row."""
+    n = len(values) - width + 1
+    if n < 1:
+        return np.zeros(len(values), dtype=bool)
+    least = values[:n]
+    for j in range(1, width):
+        least = np.minimum(least, values[j : j + n])
+    padded = np.zeros(len(values) + width - 1, dtype=values.dtype)
+    padded[width - 1 : width - 1 + n] = least
+    most = padded[: len(values)]
+    for j in range(1, width):
+        most = np.maximum(most, padded[j : j + len(values)])
+    return values == most
 
 
 def sentences(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, words, hash) of each sentence of a text's bytes; a sentence ends where the next begins.
+    """(first byte, half words, hash) of each sentence of a text's bytes; a sentence ends where the next begins.
 
-    A sentence ends with a word that ends in a stop, or at a line's end. In
-    sentences of over LONGEST words, a word also begins a new one if the hash of
-    it and the word before says so; one word over and over is cut by count.
+    A sentence ends with a word that ends in a stop, or at a line's end; one of
+    over LONGEST words is also cut at the least hashes of pairs of words.
     """
-    first, end = word_bounds(data)
+    first, end, half = tokens(data)
     n = len(first)
     if not n:
         return first, first, np.zeros(0, dtype=U)
-    words = word_hashes(ascii_lower(data))
+    length = end - first
+    low = ascii_lower(data)
+    words = run_hashes(_BYTE[low[~_SPACE[low]]], np.cumsum(length) - length)
     last = data[end - 1]
     stop = _STOPS[last]
-    wide = np.flatnonzero(last == _WIDE_STOP[2])
-    if len(wide):
-        stop[wide] |= (data[end[wide] - 2] == _WIDE_STOP[1]) & (data[end[wide] - 3] == _WIDE_STOP[0])
+    for wide in _WIDE_STOPS if data.max() >= 0xE0 else ():
+        at = np.flatnonzero((last == wide[2]) & (length > 2))
+        stop[at] |= (data[end[at] - 2] == wide[1]) & (data[end[at] - 3] == wide[0])
     lines = np.cumsum(data == _NEWLINE)
     begins = np.ones(n, dtype=bool)
     begins[1:] = stop[:-1] | (lines[first[1:]] > lines[end[:-1] - 1])
     at = np.flatnonzero(begins)
     size = np.diff(at, append=n)
     if size.max() > LONGEST:
-        again = words[1:] == words[:-1]
-        place = np.arange(n) - np.maximum.accumulate(np.where(np.concatenate(([True], ~again)), np.arange(n), 0))
-        cut = np.where(again, place[1:] % REPEATED == 0, windows(words, 2) % U(CUT) == 0)
-        begins[1:] |= np.repeat(size > LONGEST, size)[1:] & cut
+        # A sentence's begin is the least of any window it is in, so windows do not reach across it.
+        pair = np.concatenate((np.zeros(1, dtype=U), windows(words, 2) | U(1)))
+        pair[at] = 0
+        begins |= np.repeat(size > LONGEST, size) & least_in_window(pair, WINDOW)
         at = np.flatnonzero(begins)
-        size = np.diff(at, append=n)
     start = first[at]
     start[0] = 0
-    return start, size, run_hashes(words, at)
+    return start, np.add.reduceat(half, at), run_hashes(words, at)
 
 
 def run_lengths(size: np.ndarray) -> np.ndarray:
     """Sentences of the run that begins at each; 0 where the text ends before the run is complete."""
     total = np.cumsum(np.concatenate(([0], size)))
     begin = np.arange(len(size))
-    end = np.maximum(begin + RUN, np.searchsorted(total, total[:-1] + LEAST_WORDS))
+    end = np.maximum(begin + RUN, np.searchsorted(total, total[:-1] + 2 * LEAST_WORDS))
     return np.where(end <= len(size), end - begin, 0)
 
 

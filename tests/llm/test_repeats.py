@@ -6,6 +6,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+
 from tallygrove.llm.substring_dedup import remove_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -41,3 +43,42 @@ def test_short_sentences_on_documents(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     left = untouched(spark, rows)
     assert [w for w, _ in left if sum(x[-1] in ".!?" for x in w) >= 8] == []
+
+
+def test_passages_without_stops(spark):
+    """51 words in other surroundings each time: found always, and few of the words stay."""
+    rnd = random.Random(4)
+    data, kept = [], 0
+    passages = [prose(rnd, 51).replace("w", f"p{k}x") for k in range(300)]
+    for k, x in enumerate(passages):
+        data += [(2 * k + i, f"{prose(rnd, rnd.randrange(40))} {x} {prose(rnd, rnd.randrange(40))}") for i in range(2)]
+    assert untouched(spark, data) == []
+    for r in remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect():
+        if r["doc_id"] % 2:
+            left = r["text"].count(f"p{r['doc_id'] // 2}x")
+            assert left < 40
+            kept += left
+    assert kept < 0.25 * 51 * len(passages)
+
+
+def test_passages_in_texts_without_spaces(spark):
+    rnd = random.Random(5)
+    han = lambda n: "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(n))
+    stops = "".join(han(rnd.randrange(5, 15)) + "。" for _ in range(12))
+    plain = han(120)
+    data = [(k, han(rnd.randrange(30)) + x + han(rnd.randrange(30))) for k, x in enumerate([stops, plain] * 2)]
+    got = {r["doc_id"]: r["text"] for r in remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[0] == data[0][1] and got[1] == data[1][1]
+    assert stops[25:80] not in got[2] and plain[25:80] not in got[3]
+    assert len(got[2]) < len(data[2][1]) - 70 and len(got[3]) < len(data[3][1]) - 70
+
+
+def test_tokens_against_a_pattern():
+    from tallygrove.llm.substring_dedup import tokens
+
+    for text in ("", "ab 文字x。 y", "文", "é文 字\nสวัส ok", "a𠀀b 𠀀", "x。", "…“q”"):
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        first, end, half = tokens(data)
+        want = re.findall(r"[⺀-鿿฀-࿿＀-﾿\U00020000-\U00033fff]|[^\s⺀-鿿฀-࿿＀-﾿\U00020000-\U00033fff]+", text)
+        assert [bytes(data[a:b]).decode() for a, b in zip(first, end, strict=True)] == want
+        assert len(half) == len(want)
