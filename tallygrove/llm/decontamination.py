@@ -1,33 +1,42 @@
 """Benchmark decontamination by the q-gram lemma.
 
-A benchmark item is searched as segments of at most `SEGMENT` characters. A
-segment of L characters that occurs in a text with at most k edits shares at
+A benchmark item is searched as segments of at most `SEGMENT` characters, and
+as excerpts of `EXCERPT` characters at every `EXCERPT_STRIDE`, so an excerpt of
+EXCERPT + EXCERPT_STRIDE - 1 characters (about 14 words) in a row is found
+wherever it is taken from. An item under `MIN_ITEM` characters is searched whole,
+between spaces (an edit may fall on one). A segment of L characters that occurs in a text with at most k edits shares at
 least L - q + 1 - k*q of its q-grams with it, all within k diagonals. Shared
 q-grams are counted in overlapping diagonal bands; bands that reach the bound
 are verified by an alignment restricted to the band. A document with a
 verified segment is contaminated.
 
 Defined cases: null and empty texts are clean; benchmark items that are null
-or shorter than `MIN_ITEM` characters are not searched; repeated rows and
+or of fewer than `LEAST_ITEM` characters (a word) are not searched; repeated rows and
 items are each judged alone; an empty benchmark leaves every document clean.
 Case and kinds of white space are ignored; positions are in the text itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallygrove.llm.common import broadcast_if_small, stored
 from tallygrove.llm.text_hash import U, windows
 
 Q = 10
 EDIT_SHARE = 0.08
 SEGMENT, STRIDE = 160, 80
+EXCERPT, EXCERPT_STRIDE = 72, 8
 MIN_ITEM = 40
-#: Characters of benchmark text that one block may hold; more are searched in blocks.
-BLOCK_CHARS = 4_000_000
+#: With the spaces around it, an item has a q-gram at least.
+LEAST_ITEM = Q - 2
+#: Characters of benchmark text that one block may hold; more are searched in blocks. A character is in up to 11 segments.
+BLOCK_CHARS = 700_000
 _BITS = 22
 
 
@@ -48,16 +57,30 @@ def folded(text: str | None) -> np.ndarray:
     return np.where(points < len(_FOLD), _FOLD[np.minimum(points, len(_FOLD) - 1)], points)
 
 
-def segments(item: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(offset, characters): overlapping pieces of an item; a short item is one piece."""
-    if len(item) <= SEGMENT:
+def trimmed(text: str | None) -> np.ndarray:
+    """An item's folded characters; a short one without white space around it."""
+    points = folded(text)
+    inner = folded((text or "").strip())
+    return inner if len(inner) < MIN_ITEM else points
+
+
+def _cut(item: np.ndarray, size: int, stride: int) -> list[tuple[int, np.ndarray]]:
+    if len(item) <= size:
         return [(0, item)]
-    starts = [*range(0, len(item) - SEGMENT, STRIDE), len(item) - SEGMENT]
-    return [(s, item[s : s + SEGMENT]) for s in starts]
+    starts = [*range(0, len(item) - size, stride), len(item) - size]
+    return [(s, item[s : s + size]) for s in starts]
+
+
+def segments(item: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(offset, characters): overlapping pieces of an item, long and short; a short item is one piece."""
+    if len(item) < MIN_ITEM:
+        return [(-1, np.concatenate(([32], item, [32])).astype(item.dtype))]
+    return _cut(item, SEGMENT, STRIDE) + (_cut(item, EXCERPT, EXCERPT_STRIDE) if len(item) > EXCERPT else [])
 
 
 def edit_budget(length: int) -> int:
-    return int(EDIT_SHARE * length)
+    """Edits allowed in a segment; so many that it still shares a q-gram."""
+    return max(0, min(int(EDIT_SHARE * length), (length - Q) // Q))
 
 
 class QGramIndex:
@@ -67,7 +90,7 @@ class QGramIndex:
         self.item, self.text = [], []
         grams, owner, at = [], [], []
         for item_id, text in items:
-            for _, piece in segments(folded(text)):
+            for _, piece in segments(trimmed(text)):
                 g = windows(piece.astype(U), Q)
                 grams.append(g)
                 owner.append(np.full(len(g), len(self.item)))
@@ -81,7 +104,7 @@ class QGramIndex:
         self.seen = np.zeros(1 << _BITS, dtype=bool)
         self.seen[self.grams >> U(64 - _BITS)] = True
         lengths = np.array([len(t) for t in self.text], dtype=np.int64)
-        self.k = (EDIT_SHARE * lengths).astype(np.int64)
+        self.k = np.array([edit_budget(n) for n in lengths], dtype=np.int64)
         self.bound = np.maximum(1, lengths - Q + 1 - Q * self.k)
 
     def regions(self, points: np.ndarray) -> list[tuple[int, int, int]]:
@@ -109,10 +132,12 @@ class QGramIndex:
     def verified(self, points: np.ndarray) -> list[tuple[int | None, int, int]]:
         """(item, start, end) of the verified regions, merged per item."""
         found: dict = {}
+        size = len(points)
+        points = np.concatenate(([32], points, [32])).astype(points.dtype)  # words at a text's ends have spaces beside them too
         for s, first, last in self.regions(points):
             span = aligned(self.text[s], points, first, last, int(self.k[s]))
             if span:
-                found.setdefault(self.item[s], []).append(span)
+                found.setdefault(self.item[s], []).append((max(0, span[0] - 1), min(size, span[1] - 1)))
         return [(i, min(a for a, _ in x), max(b for _, b in x)) for i, x in found.items()]
 
 
@@ -146,13 +171,14 @@ def aligned(piece: np.ndarray, points: np.ndarray, first: int, last: int, k: int
     return (max(lo, end - n - k), min(hi, end)) if row[best] <= k else None
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int | None, str]]]:
-    """The benchmark in blocks of at most BLOCK_CHARS characters (or one item)."""
-    rows = benchmark.select("item_id", "text").where(F.length("text") >= MIN_ITEM)
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[bool, list[tuple[int | None, str]]]]:
+    """The benchmark in blocks of at most about BLOCK_CHARS characters (or one item), one at a time; and if it is the only one."""
+    rows = benchmark.select("item_id", "text").where(F.length(F.trim("text")) >= LEAST_ITEM)
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = 1 + 2 * size // BLOCK_CHARS
     parts = rows.withColumn("__b", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-    return [[(r[0], r[1]) for r in parts.where(F.col("__b") == b).orderBy("item_id", "text").collect()] for b in range(n)]
+    for b in range(n):
+        yield n == 1, [(r[0], r[1]) for r in parts.where(F.col("__b") == b).orderBy("item_id", "text").collect()]
 
 
 def _search(shipped):
@@ -169,11 +195,22 @@ def _search(shipped):
 def with_matches(docs: DataFrame, benchmark: DataFrame, name: str) -> DataFrame:
     """docs with `name`: array of (item_id, start, end), empty for clean documents."""
     spark = docs.sparkSession
-    out = docs.withColumn(name, F.array().cast("array<struct<item_id:bigint,start:int,end:int>>"))
-    for block in _blocks(benchmark):
-        shipped = spark.sparkContext.broadcast(QGramIndex(block))  # at most BLOCK_CHARS characters
-        out = out.withColumn(name, F.concat(F.col(name), _search(shipped)("text")))
-    return out
+    none = F.array().cast("array<struct<item_id:bigint,start:int,end:int>>")
+    hits = None
+    for k, (only, block) in enumerate(_blocks(benchmark)):
+        shipped = spark.sparkContext.broadcast(QGramIndex(block))  # at most about BLOCK_CHARS characters
+        if only:
+            return docs.withColumn(name, _search(shipped)("text"))
+        found = docs.select(F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__t"), _search(shipped)("text").alias("__f"))
+        found = stored(found.where(F.size("__f") > 0).select("__d", "__t", F.lit(k).alias("__k"), "__f"), "leaks")
+        shipped.unpersist()
+        hits = found if hits is None else hits.union(found)
+    # Rows equal in doc_id and text have the same matches.
+    pairs = F.array_sort(F.collect_set(F.struct("__k", "__f")))
+    hits = stored(hits.groupBy("__d", "__t").agg(F.flatten(F.transform(pairs, lambda x: x["__f"])).alias("__f")), "leaks")
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.xxhash64("text").eqNullSafe(F.col("__t"))
+    joined = docs.join(broadcast_if_small(hits), same, "left").withColumn(name, F.coalesce("__f", none))
+    return joined.drop("__d", "__t", *(["__f"] if name != "__f" else []))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
