@@ -86,7 +86,7 @@ def fit(docs: DataFrame) -> dict | None:
         spread.mapInPandas(_count_grams, schema)
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= F.greatest(F.lit(2.0), LEAST_SHARE * total[F.col("lang")]))
+        .where(F.col("n") >= F.ceil(LEAST_SHARE * total[F.col("lang")]))
         .select(number[F.col("lang")].alias("lang"), "gram")
     )
     kept = stored(kept, "langgrams")
