@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrove.llm.common import BROADCAST_ROWS, stored
+from tallygrove.llm.common import BROADCAST_ROWS, broadcast_if_small, stored
 from tallygrove.llm.text_hash import U, mix, seeds, shingles, windows
 
 WIDTH = 5
@@ -204,8 +204,8 @@ def _links_by_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     return shipped.groupBy("key", "mb", "ab").applyInPandas(_links_in_block, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, component_id and kept of every row of docs."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), n, comp (null for an empty set) and component_id of every row of docs."""
     docs = docs.select("doc_id", "text")
     rows = stored(
         docs.select("doc_id", F.xxhash64("text").alias("th"), _sketch_udf("text").alias("s"))
@@ -245,18 +245,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     grouped = classes.join(labels, "node", "left").select("fp", "low", F.coalesce("comp", "node").alias("comp"))
     lowest = grouped.groupBy("comp").agg(F.min("low").alias("component_id"))
-    answer = grouped.join(lowest, "comp").select("fp", "component_id")
-    empty = rows.where("n = 0").select("doc_id", "th", "n", F.col("doc_id").alias("component_id"))
-    found = full.join(answer, "fp").select("doc_id", "th", "n", "component_id").union(empty)
-    return found.select(
+    answer = grouped.join(lowest, "comp").select("fp", "comp", "component_id")
+    empty = rows.where("n = 0").select("doc_id", "th", "n", F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id"))
+    return full.join(answer, "fp").select("doc_id", "th", "n", "comp", "component_id").union(empty)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, component_id and kept of every row of docs."""
+    return _grouped(docs).select(
         "doc_id", "th", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the rows that near_duplicates() does not keep."""
-    dropped = stored(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__d"), F.col("th").alias("__th")).distinct(), "dropped")
-    few = dropped.count() <= BROADCAST_ROWS
-    side = F.broadcast(dropped) if few else dropped
+    """docs with one row of each component: of the least doc_id (null last), then the least hash of the text.
+
+    Rows without words are in no component and all stay.
+    """
+    rows = stored(_grouped(docs).where("comp is not null").select(F.col("doc_id").alias("__d"), F.col("th").alias("__th"), "comp"), "grouped")
+    best = rows.groupBy("comp").agg(F.min(F.struct(F.col("__d").isNull().alias("none"), "__d", "__th")).alias("best"))
+    own = F.col("__d").eqNullSafe(F.col("best.__d")) & (F.col("__th") == F.col("best.__th"))
+    dropped = stored(rows.join(stored(best, "best"), "comp").where(~own).select("__d", "__th").distinct(), "dropped")
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.xxhash64("text").eqNullSafe(F.col("__th"))
-    return docs.join(side, same, "left_anti")
+    left = docs.join(broadcast_if_small(dropped), same, "left_anti")
+    again = stored(rows.groupBy("__d", "__th").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__d", "__th"), "again")
+    if again.isEmpty():
+        return left
+    # Only rows that are there again, with the same doc_id and text, are grouped.
+    again = broadcast_if_small(again)
+    one = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, same, "left_anti").unionByName(one)
