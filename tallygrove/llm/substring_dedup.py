@@ -7,9 +7,10 @@ wherever it stands but for `WINDOW` words at its ends: of 50 words in a row that
 are repeated, a whole run is always inside. A character of a script written
 without spaces is a word by itself and counts as half a one. A run
 begins at every sentence and goes on for `RUN` sentences, and further until it
-holds `LEAST_WORDS` words; each is hashed. Run hashes are aggregated over all documents, which gives the first place of
-each repeated run; sentences covered by a repeated run at any other place are
-removed.
+holds `LEAST_WORDS` words; each is hashed. A text too short for such a run is one
+run as a whole, so it is compared with other whole texts. Run hashes are aggregated
+over all documents, which gives the first place of each repeated run; sentences
+covered by a repeated run at any other place are removed.
 
 Places are ordered by doc_id (null last), hash of the text, and position.
 Counting combines on the map side; the join back on the hash meets one row per
@@ -129,17 +130,23 @@ def sentences(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def run_lengths(size: np.ndarray) -> np.ndarray:
-    """Sentences of the run that begins at each; 0 where the text ends before the run is complete."""
+    """Sentences of the run that begins at each; 0 where the text ends before the run is complete.
+
+    If no run is complete, the whole text is one.
+    """
     total = np.cumsum(np.concatenate(([0], size)))
     begin = np.arange(len(size))
     end = np.maximum(begin + RUN, np.searchsorted(total, total[:-1] + 2 * LEAST_WORDS))
-    return np.where(end <= len(size), end - begin, 0)
+    out = np.where(end <= len(size), end - begin, 0)
+    if len(out) and not out.any():
+        out[0] = len(out)
+    return out
 
 
 def runs_of(data: np.ndarray) -> np.ndarray | None:
     """A hash per run, by its first sentence; 0 for a run that the text's end cuts short."""
     _, size, hashes = sentences(data)
-    if len(size) < RUN:
+    if not len(size):
         return None
     length = run_lengths(size)
     out = np.zeros(len(size), dtype=U)
@@ -150,7 +157,7 @@ def runs_of(data: np.ndarray) -> np.ndarray | None:
             for j in range(n):
                 run = run * U(0xD6E8FEB86659FD93) + hashes[at + j]
             out[at] = mix(run + U(n)) | U(1)
-    return out.view(np.int64) if out.any() else None
+    return out.view(np.int64)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))

@@ -257,26 +257,6 @@ def test_one_word_over_and_over(spark):
     assert got[1].count("of") < 40 and got[2].count("of") < 40 and got[3] == data[2][1]
 
 
-def test_repeats_on_documents(docs, rows):
-    """Brute force over run hashes of all documents."""
-    from tallygrove.llm.substring_dedup import RUN, runs_of, sentences, to_bytes
-
-    first = {}
-    runs = {d: runs_of(to_bytes(t)) for d, t, _ in rows}
-    for d in sorted(runs):
-        for i, h in enumerate(runs[d] if runs[d] is not None else ()):
-            if h:
-                first.setdefault(int(h), (d, i))
-    for r in repeats_digest(docs).collect():
-        d = r["doc_id"]
-        gone = set()
-        for i, h in enumerate(runs[d] if runs[d] is not None else ()):
-            if h and first[int(h)] != (d, i):
-                gone |= set(range(i, i + RUN))
-        start = list(sentences(to_bytes(dict((a, b) for a, b, _ in rows)[d]))[0])
-        assert bool(r["removed"]) == bool(gone) and len(gone) <= len(start)
-
-
 # Decontamination.
 def test_decontamination(spark, sf_dir, docs):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")

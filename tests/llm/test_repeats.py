@@ -82,3 +82,54 @@ def test_tokens_against_a_pattern():
         want = re.findall(r"[⺀-鿿฀-࿿＀-﾿\U00020000-\U00033fff]|[^\s⺀-鿿฀-࿿＀-﾿\U00020000-\U00033fff]+", text)
         assert [bytes(data[a:b]).decode() for a, b in zip(first, end, strict=True)] == want
         assert len(half) == len(want)
+
+
+def test_copies_of_short_texts(spark):
+    """Texts of one or two sentences, or of few words, are compared whole, and only with whole texts."""
+    shorts = ["The cat sat on the mat. It was a sunny day today.", "Yes.", "One. Two. Three. Four.", "lonely words here"]
+    data = [(10 * c + k, x) for c in range(2) for k, x in enumerate(shorts)] + [(50, f"{shorts[0]} Then there came a dog along the road. It barked."), (51, "Yes. No."), (52, " THE cat sat on the mat. It was  a sunny day today.")]
+    got = {r["doc_id"]: r["text"] for r in remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(4)] == shorts and [got[10 + k] for k in range(4)] == [""] * 4
+    assert got[50] == data[8][1] and got[51] == "Yes. No." and got[52] == ""
+
+
+def brute_runs(text):
+    """(start, end, words) of every run, in plain Python: sentences by stops and line ends, for texts whose sentences have at most ten words."""
+    sentences, begin, count = [], 0, []
+    for line in re.finditer(r"[^\n]+", text):
+        for m in WORD.finditer(line[0]):
+            count.append(m[0].lower())
+            if m[0][-1] in ".!?" or not line[0][m.end() :].strip():
+                sentences.append((begin, line.start() + m.end(), tuple(count)))
+                begin, count = line.start() + m.end(), []
+    runs = []
+    for i in range(len(sentences)):
+        for j in range(i + 3, len(sentences) + 1):
+            if sum(len(s[2]) for s in sentences[i:j]) >= 12:
+                runs.append((i, j))
+                break
+    return sentences, runs or ([(0, len(sentences))] if sentences else [])
+
+
+def test_against_plain_runs(spark):
+    """Which sentences go, by a brute force of its own over word tuples."""
+    rnd = random.Random(6)
+    pool = [[" ".join(f"w{rnd.randrange(60)}" for _ in range(rnd.randrange(1, 10))) + rnd.choice(".!?") for _ in range(rnd.randrange(2, 9))] for _ in range(25)]
+    data = []
+    for d in range(80):
+        parts = [s for _ in range(rnd.randrange(1, 4)) for s in rnd.choice(pool)]
+        parts += [f"own{d} " + " ".join(f"z{rnd.randrange(9999)}" for _ in range(5)) + "." for _ in range(rnd.randrange(3))]
+        data.append((d, rnd.choice([" ", "\n"]).join(parts)))
+    first, cut = {}, {}
+    for d, text in data:
+        sentences, runs = brute_runs(text)
+        for i, j in runs:
+            first.setdefault(tuple(s[2] for s in sentences[i:j]), (d, i))
+    for d, text in data:
+        sentences, runs = brute_runs(text)
+        cut[d] = {k for i, j in runs if first[tuple(s[2] for s in sentences[i:j])] != (d, i) for k in range(i, j)}
+    assert sum(map(bool, cut.values())) > 30 and not all(cut.values())
+    for r in remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect():
+        sentences, _ = brute_runs(data[r["doc_id"]][1])
+        kept = [w for k, s in enumerate(sentences) if k not in cut[r["doc_id"]] for w in s[2]]
+        assert [w.lower() for w in WORD.findall(r["text"])] == kept
