@@ -4,15 +4,15 @@ A benchmark item is searched as segments of at most `SEGMENT` characters, and
 as excerpts of `EXCERPT` characters at every `EXCERPT_STRIDE`, so an excerpt of
 EXCERPT + EXCERPT_STRIDE - 1 characters (about 14 words) in a row is found
 wherever it is taken from. An item under `MIN_ITEM` characters is searched whole,
-between spaces (an edit may fall on one). A segment of L characters that occurs in a text with at most k edits shares at
+between spaces (an edit may fall on one); one under `LEAST_ITEM` characters (a
+word or a number) counts where it is a whole line, by equality. A segment of L characters that occurs in a text with at most k edits shares at
 least L - q + 1 - k*q of its q-grams with it, all within k diagonals. Shared
 q-grams are counted in overlapping diagonal bands; bands that reach the bound
 are verified by an alignment restricted to the band. A document with a
 verified segment is contaminated.
 
 Defined cases: null and empty texts are clean; benchmark items that are null
-or of fewer than `LEAST_ITEM` characters (a word) are not searched; repeated rows and
-items are each judged alone; an empty benchmark leaves every document clean.
+or blank are not searched; repeated rows and items are each judged alone; an empty benchmark leaves every document clean.
 Case and kinds of white space are ignored; positions are in the text itself.
 """
 
@@ -33,7 +33,7 @@ EDIT_SHARE = 0.08
 SEGMENT, STRIDE = 160, 80
 EXCERPT, EXCERPT_STRIDE = 72, 8
 MIN_ITEM = 40
-#: With the spaces around it, an item has a q-gram at least.
+#: Items from here on have, with the spaces around them, a q-gram at least.
 LEAST_ITEM = Q - 2
 #: Characters of benchmark text that one block may hold; more are searched in blocks. A character is in up to 11 segments.
 BLOCK_CHARS = 700_000
@@ -89,8 +89,13 @@ class QGramIndex:
     def __init__(self, items: list[tuple[int | None, str]]):
         self.item, self.text = [], []
         grams, owner, at = [], [], []
+        self.lines: dict[bytes, list] = {}
         for item_id, text in items:
-            for _, piece in segments(trimmed(text)):
+            points = trimmed(text)
+            if len(points) < LEAST_ITEM:
+                self.lines.setdefault(points.tobytes(), []).append(item_id)
+                continue
+            for _, piece in segments(points):
                 g = windows(piece.astype(U), Q)
                 grams.append(g)
                 owner.append(np.full(len(g), len(self.item)))
@@ -129,9 +134,23 @@ class QGramIndex:
         good = n >= self.bound[seg]
         return [(int(s), int(b * (self.k[s] + 1) - SEGMENT), int((b + 2) * (self.k[s] + 1) - SEGMENT - 1)) for s, b in zip(seg[good], band[good], strict=True)]
 
-    def verified(self, points: np.ndarray) -> list[tuple[int | None, int, int]]:
+    def equal_lines(self, text: str) -> Iterator[tuple[int | None, int, int]]:
+        """(item, start, end) of the lines that equal an item of under LEAST_ITEM characters."""
+        at = 0
+        for line in text.split("\n") if self.lines else ():
+            inner = line.strip()
+            if 0 < len(inner) < LEAST_ITEM:
+                start = at + line.index(inner)
+                for item in self.lines.get(folded(inner).tobytes(), ()):
+                    yield item, start, start + len(inner)
+            at += len(line) + 1
+
+    def verified(self, text: str | None) -> list[tuple[int | None, int, int]]:
         """(item, start, end) of the verified regions, merged per item."""
         found: dict = {}
+        for item, start, end in self.equal_lines(text or ""):
+            found.setdefault(item, []).append((start, end))
+        points = folded(text)
         size = len(points)
         points = np.concatenate(([32], points, [32])).astype(points.dtype)  # words at a text's ends have spaces beside them too
         for s, first, last in self.regions(points):
@@ -173,7 +192,7 @@ def aligned(piece: np.ndarray, points: np.ndarray, first: int, last: int, k: int
 
 def _blocks(benchmark: DataFrame) -> Iterator[tuple[bool, list[tuple[int | None, str]]]]:
     """The benchmark in blocks of at most about BLOCK_CHARS characters (or one item), one at a time; and if it is the only one."""
-    rows = benchmark.select("item_id", "text").where(F.length(F.trim("text")) >= LEAST_ITEM)
+    rows = benchmark.select("item_id", "text").where(F.regexp_like("text", F.lit(r"\S")))
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = 1 + 2 * size // BLOCK_CHARS
     parts = rows.withColumn("__b", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
@@ -187,7 +206,7 @@ def _search(shipped):
     @F.pandas_udf("array<struct<item_id:bigint,start:int,end:int>>")
     def found(texts: pd.Series) -> pd.Series:
         index = shipped.value
-        return pd.Series([[{"item_id": i, "start": a, "end": b} for i, a, b in sorted(index.verified(folded(t)), key=str)] for t in texts], dtype=object)
+        return pd.Series([[{"item_id": i, "start": a, "end": b} for i, a, b in sorted(index.verified(t), key=str)] for t in texts], dtype=object)
 
     return found
 
