@@ -11,6 +11,7 @@ N-grams are runs of 3 and 4 characters of the lower-cased text with each run of
 other characters as one space, and whole words. The model is fit on at most
 about `SAMPLE` texts a language; the n-grams of a language are at most
 (n-grams of a text) / LEAST_SHARE, so the filter does not grow with the input.
+Tasks fill the filter block by block of its positions.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; a
 text that hits nothing gets the most frequent learned language with score 0;
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrove.llm.common import crc32_mod, stored, uniform
+from tallygrove.llm.common import broadcast_if_small, crc32_mod, stored, uniform
 from tallygrove.llm.text_hash import U, mix, windows, word_hashes
 
 SAMPLE = 4000
@@ -38,6 +39,10 @@ UNDETERMINED = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
 _BITS = 62
+#: Positions of the filter that one task fills.
+_BLOCK = 1 << 12
+#: N-grams counted together in a task before their counts are handed on.
+_AT_ONCE = 2_000_000
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -56,47 +61,73 @@ def _positions(hashes: np.ndarray) -> list[np.ndarray]:
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    """text and lang of the rows that are not held out, at most about SAMPLE a language."""
+    """text and lang of the rows that are not held out, at most about SAMPLE a language. Texts are not shuffled."""
     rows = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(crc32_mod(F.col("doc_id"), 4) != 2)
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))  # one row a language
+    sizes = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__n")), "langs")
     chosen = uniform(F.lit(4), F.col("doc_id"), F.col("text")) < F.lit(float(SAMPLE)) / F.col("__n")
-    return rows.join(sizes, "lang").where(chosen).select("lang", "text")
+    return rows.join(broadcast_if_small(sizes), "lang").where(chosen).select("lang", "text")
+
+
+def _counted(lang: str, arrays: list[np.ndarray]) -> pd.DataFrame:
+    found, n = np.unique(np.concatenate(arrays), return_counts=True)
+    return pd.DataFrame({"lang": lang, "gram": found.view(np.int64), "n": n})
 
 
 def _count_grams(frames):
-    """Per batch: texts of each language that have each n-gram."""
+    """Texts of each language that have each n-gram, in parts of about _AT_ONCE n-grams."""
     for pdf in frames:
         for lang, texts in pdf.groupby("lang")["text"]:
-            found, n = np.unique(np.concatenate([grams(t) for t in texts]), return_counts=True)
-            yield pd.DataFrame({"lang": lang, "gram": found.view(np.int64), "n": n})
+            arrays, held = [], 0
+            for text in texts:
+                arrays.append(grams(text))
+                held += len(arrays[-1])
+                if held >= _AT_ONCE:
+                    yield _counted(lang, arrays)
+                    arrays, held = [], 0
+            if arrays:
+                yield _counted(lang, arrays)
+
+
+def _fill_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    masks = np.zeros(_BLOCK, dtype=np.int64)
+    masks[pdf["at"].to_numpy() % _BLOCK] = pdf["mask"].to_numpy()
+    return pd.DataFrame({"plane": [pdf["plane"].iloc[0]], "block": [pdf["block"].iloc[0]], "masks": [masks.tobytes()]})
+
+
+def _filter_blocks(kept: DataFrame) -> DataFrame:
+    """plane, block and masks of the filter from (plane, bit, gram)."""
+    low = lambda c: c.bitwiseAND(POSITIONS - 1)
+    first, step = low(F.col("gram")), low(F.shiftrightunsigned("gram", 32).bitwiseOR(F.lit(1)))
+    at = F.explode(F.array(*(low(first + i * step) for i in range(HASHES))))
+    masks = kept.select("plane", "bit", at.alias("at")).groupBy("plane", "at").agg(F.bit_or("bit").alias("mask")).withColumn("block", F.floor(F.col("at") / _BLOCK).cast("int"))
+    return masks.groupBy("plane", "block").applyInPandas(_fill_block, "plane int, block int, masks binary")
 
 
 def fit(docs: DataFrame) -> dict | None:
     """The filter: languages, planes of masks and the chance of a false hit per language."""
     train = stored(training_rows(docs), "langtrain")
-    sizes = dict(sorted((r[0], r[1]) for r in train.groupBy("lang").count().collect()))
-    if not sizes:
+    sizes = stored(train.groupBy("lang").count(), "langs")
+    counted = dict(sorted(map(tuple, sizes.collect())))  # one row a language
+    if not counted:
         return None
-    langs = list(sizes)
-    number = F.create_map(*(x for i, name in enumerate(langs) for x in (F.lit(name), F.lit(i))))
-    total = F.create_map(*(x for name, n in sizes.items() for x in (F.lit(name), F.lit(n))))
+    langs = list(counted)
+    bits = [(i // _BITS, 1 << i % _BITS, name) for i, name in enumerate(langs)]
+    numbers = train.sparkSession.createDataFrame(bits, "plane int, bit long, lang string").join(sizes, "lang")
     schema = "lang string, gram long, n long"
-    spread = train.repartition(max(8, train.rdd.getNumPartitions()))
     kept = (
-        spread.mapInPandas(_count_grams, schema)
+        train.repartition(max(8, train.rdd.getNumPartitions()))
+        .mapInPandas(_count_grams, schema)
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= F.ceil(LEAST_SHARE * total[F.col("lang")]))
-        .select(number[F.col("lang")].alias("lang"), "gram")
+        .join(broadcast_if_small(numbers), "lang")
+        .where(F.col("n") >= F.ceil(LEAST_SHARE * F.col("count")))
+        .select("plane", "bit", "gram")
     )
-    kept = stored(kept, "langgrams")
     planes = np.zeros((1 + (len(langs) - 1) // _BITS, POSITIONS), dtype=np.int64)
-    for r in kept.groupBy("lang").agg(F.collect_list("gram").alias("grams")).toLocalIterator():  # bounded by LEAST_SHARE, one language at a time
-        plane, bit = divmod(r["lang"], _BITS)
-        for p in _positions(np.array(r["grams"], dtype=np.int64).view(U)):
-            planes[plane, p] |= np.int64(1 << bit)
+    for r in _filter_blocks(kept).toLocalIterator():  # POSITIONS longs for each 62 languages in all
+        planes[r["plane"], r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["masks"], dtype=np.int64)
     filled = np.array([np.mean((planes[i // _BITS] >> np.int64(i % _BITS)) & 1) for i in range(len(langs))])
-    common = max(sizes, key=sizes.get)
+    common = max(counted, key=counted.get)
     return {"langs": langs, "planes": planes, "chance": filled**HASHES, "common": langs.index(common)}
 
 
