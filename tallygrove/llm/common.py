@@ -23,27 +23,40 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set."""
+    """The folder all executors share; where none is set, a temporary one if all runs on this machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="spark-")
     return _own_dirs[app]
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
-    Cuts the lineage with columnar files that survive lost executors.
+    Cuts the lineage with columnar files that survive lost executors. The
+    tables stay, as results read them later, until `discard_stored`.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{_tables(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def discard_stored(spark: SparkSession) -> None:
+    """Delete all tables that `stored` wrote in this application; results that were not written out are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that df has at most `limit` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
