@@ -28,7 +28,7 @@ def test_a_cluster_needs_a_shared_folder():
 def test_tables_are_kept_until_they_are_discarded(spark, tmp_path, monkeypatch):
     import tallygrove.llm.common as C
 
-    monkeypatch.setitem(C._own_dirs, spark.sparkContext.applicationId, str(tmp_path))
+    monkeypatch.setattr(C, "shared_dir", lambda _: str(tmp_path))
     table = stored(spark.range(5), "five")
     assert sorted(r[0] for r in table.collect()) == list(range(5))
     assert len(list(tmp_path.glob("tables-*/five-*"))) == 1
