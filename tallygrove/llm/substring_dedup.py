@@ -8,22 +8,26 @@ are repeated, a whole run is always inside. A character of a script written
 without spaces is a word by itself and counts as half a one. A run
 begins at every sentence and goes on for `RUN` sentences, and further until it
 holds `LEAST_WORDS` words; each is hashed. A text too short for such a run is one
-run as a whole, so it is compared with other whole texts. Run hashes are aggregated
-over all documents, which gives the first place of each repeated run; sentences
-covered by a repeated run at any other place are removed.
+run as a whole, so it is compared with other whole texts. Run hashes are joined
+over all documents, which gives the first document of each run; sentences
+covered by a run that was in an earlier document, or earlier in the same one,
+are removed.
 
-Places are ordered by doc_id (null last), hash of the text, and position.
+Documents are ordered by doc_id (null last) and hash of the text. A task sorts
+out the repeats within a document itself and hands on each of its hashes once.
 Counting combines on the map side; the join back on the hash meets one row per
 repeated run on the other side, so Spark can split a hot hash's rows.
 
 Defined cases: null and empty texts have no sentences and are returned as they
 are; runs must be equal in their words (ASCII case and white space aside); rows equal
-in doc_id and text are one place and share one verdict; a repeat within one
+in doc_id and text are one document and share one verdict; a repeat within one
 document counts; texts that are removed whole stay as empty texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,12 +39,14 @@ from tallygrove.llm.text_hash import _BYTE, _SPACE, U, ascii_lower, mix, run_has
 
 RUN = 3
 LEAST_WORDS = 12
-LONGEST = 10
+LONGEST = 12
 #: A long sentence is cut at least once among so many words.
-WINDOW = 6
+WINDOW = 8
 _STOPS = np.zeros(256, dtype=bool)
 _STOPS[[ord(c) for c in ".!?"]] = True
 _NEWLINE = 10
+#: Bytes of text that are worked on together.
+_TOGETHER = 1 << 19
 _WIDE_STOPS = [np.frombuffer(c.encode(), dtype=np.uint8) for c in "\u3002\uff01\uff1f\uff0e\uff61"]
 
 
@@ -129,89 +135,146 @@ def sentences(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.add.reduceat(half, at), run_hashes(words, at)
 
 
-def run_lengths(size: np.ndarray) -> np.ndarray:
-    """Sentences of the run that begins at each; 0 where the text ends before the run is complete.
+class Runs:
+    """The runs of several texts at once: texts are joined by line ends, which no sentence crosses.
 
-    If no run is complete, the whole text is one.
+    doc, first, last (byte, and end of the text's bytes): of each sentence; length:
+    sentences of the run that begins at it, 0 where the text ends before the run is
+    complete (if no run is complete, the whole text is one); hash: of that run;
+    again: was the run in the same text before?
     """
-    total = np.cumsum(np.concatenate(([0], size)))
-    begin = np.arange(len(size))
-    end = np.maximum(begin + RUN, np.searchsorted(total, total[:-1] + 2 * LEAST_WORDS))
-    out = np.where(end <= len(size), end - begin, 0)
-    if len(out) and not out.any():
-        out[0] = len(out)
-    return out
-
-
-def runs_of(data: np.ndarray) -> np.ndarray | None:
-    """A hash per run, by its first sentence; 0 for a run that the text's end cuts short."""
-    _, size, hashes = sentences(data)
-    if not len(size):
-        return None
-    length = run_lengths(size)
-    out = np.zeros(len(size), dtype=U)
-    for n in np.unique(length[length > 0]):  # a sentence has a word at least, so few lengths occur
-        at = np.flatnonzero(length == n)
-        run = np.zeros(len(at), dtype=U)
-        with np.errstate(over="ignore"):
-            for j in range(n):
-                run = run * U(0xD6E8FEB86659FD93) + hashes[at + j]
-            out[at] = mix(run + U(n)) | U(1)
-    return out.view(np.int64)
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _runs(texts: pd.Series) -> pd.Series:
-    return pd.Series([runs_of(to_bytes(t)) for t in texts], dtype=object)
+
+    def __init__(self, texts: list[np.ndarray]):
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+        self.base = np.cumsum(size + 1) - size - 1
+        self.data = np.full(int((size + 1).sum()), _NEWLINE, dtype=np.uint8)
+        for t, at in zip(texts, self.base, strict=True):
+            self.data[at : at + len(t)] = t
+        self.first, words, hashes = sentences(self.data)
+        n = len(self.first)
+        self.doc = np.searchsorted(self.base, self.first, "right") - 1
+        count = np.bincount(self.doc, minlength=len(texts))
+        self.until = np.repeat(np.cumsum(count), count)
+        self.first[np.cumsum(count)[count > 0] - count[count > 0]] = self.base[count > 0]
+        total, begin = np.cumsum(np.concatenate(([0], words))), np.arange(n)
+        end = np.maximum(begin + RUN, np.searchsorted(total, total[:-1] + 2 * LEAST_WORDS))
+        self.length = np.where(end <= self.until, end - begin, 0)
+        whole = np.flatnonzero((count > 0) & (np.bincount(self.doc, self.length, len(texts)) == 0))
+        self.length[(np.cumsum(count) - count)[whole]] = count[whole]
+        self.hash = np.zeros(n, dtype=U)
+        for m in np.unique(self.length[self.length > 0]):  # a sentence has a word at least, so few lengths occur
+            at = np.flatnonzero(self.length == m)
+            run = np.zeros(len(at), dtype=U)
+            with np.errstate(over="ignore"):
+                for j in range(m):
+                    run = run * U(0xD6E8FEB86659FD93) + hashes[at + j]
+                self.hash[at] = mix(run + U(m)) | U(1)
+        self.hash = self.hash.view(np.int64)
+        # In the order of documents and hashes, the first of equal ones is the first in the text.
+        self.order = np.lexsort((self.hash, self.doc))
+        same = (self.doc[self.order][1:] == self.doc[self.order][:-1]) & (self.hash[self.order][1:] == self.hash[self.order][:-1])
+        self.again = np.zeros(n, dtype=bool)
+        self.again[self.order[1:]] = same
+        self.again &= self.length > 0
+
+    def distinct(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """The hashes of each text, once each, and whether the text repeats a run of its own."""
+        keep = self.order[(self.length > 0)[self.order] & ~self.again[self.order]]
+        per_text = np.bincount(self.doc[keep], minlength=len(self.base))
+        return np.split(self.hash[keep], np.cumsum(per_text)[:-1]), np.bincount(self.doc, self.again, len(self.base)) > 0
+
+    def gone(self, repeated: list[np.ndarray | None]) -> list[list[tuple[int, int]]]:
+        """Spans (code points) of each text that lie in its `repeated` runs or in runs it had before."""
+        of = np.repeat(np.arange(len(repeated)), [0 if r is None else len(r) for r in repeated])
+        known = [np.asarray(r, dtype=np.int64) for r in repeated if r is not None and len(r)]
+        pair = lambda doc, h: mix(h.view(U) ^ mix(doc.astype(U)))
+        marked = self.again.copy()
+        if known:
+            marked |= (self.length > 0) & np.isin(pair(self.doc, self.hash), pair(of, np.concatenate(known)))
+        at = np.flatnonzero(marked)
+        n = len(self.first)
+        cover = np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(at + self.length[at], minlength=n + 1))[:n] > 0
+        edge = np.ones(n, dtype=bool)
+        edge[1:] = (cover[1:] != cover[:-1]) | (self.doc[1:] != self.doc[:-1])
+        starts = np.flatnonzero(edge)
+        ends = np.append(starts[1:], n)
+        points = np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))
+        out: list[list[tuple[int, int]]] = [[] for _ in repeated]
+        for i, j in zip(starts[cover[starts]], ends[cover[starts]], strict=True):
+            d = self.doc[i]
+            stop = self.first[j] if j < n and self.doc[j] == d else (self.base[d + 1] if d + 1 < len(self.base) else len(self.data)) - 1
+            origin = points[self.base[d]]
+            out[d].append((int(points[self.first[i]] - origin), int(points[stop] - origin)))
+        return out
+
+
+def in_chunks(texts: pd.Series) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Texts as bytes, some at a time, each time with the number of the first."""
+    held, size, at = [], 0, 0
+    for k, text in enumerate(texts):
+        held.append(to_bytes(text))
+        size += len(held[-1])
+        if size >= _TOGETHER:
+            yield at, held
+            held, size, at = [], 0, k + 1
+    if held:
+        yield at, held
+
+
+@F.pandas_udf(T.StructType().add("hashes", T.ArrayType(T.LongType())).add("again", T.BooleanType()))
+def _runs(texts: pd.Series) -> pd.DataFrame:
+    hashes, again = [], []
+    for _, chunk in in_chunks(texts):
+        h, a = Runs(chunk).distinct()
+        hashes += h
+        again += a.tolist()
+    return pd.DataFrame({"hashes": pd.Series(hashes, dtype=object), "again": pd.Series(again, dtype=bool)})
 
 
 _SPANS = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()))
 _CUT = T.StructType().add("removed", _SPANS).add("text", T.StringType())
 
 
-def cut_text(text: str, marks: np.ndarray) -> tuple[list[dict], str]:
-    """Spans (code points) covered by the marked runs, and the text without them."""
-    data = to_bytes(text)
-    start, size, _ = sentences(data)
-    marks = np.asarray(marks)
-    ends = np.bincount(marks + run_lengths(size)[marks], minlength=len(size) + 1)
-    gone = np.cumsum(np.bincount(marks, minlength=len(size) + 1) - ends)
-    edge = np.diff(np.concatenate(([0], gone[:-1] > 0, [0])).astype(np.int8))
-    bounds = np.append(start, len(data))
-    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    lo, hi = points[bounds[np.flatnonzero(edge == 1)]], points[bounds[np.flatnonzero(edge == -1)]]
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
     kept, at = [], 0
-    for s, e in zip(lo, hi, strict=True):
+    for s, e in spans:
         kept.append(text[at:s])
         at = e
-    return [{"start": int(s), "end": int(e)} for s, e in zip(lo, hi, strict=True)], "".join(kept) + text[at:]
+    return "".join(kept) + text[at:]
 
 
 @F.pandas_udf(_CUT)
 def _cut(texts: pd.Series, repeated: pd.Series) -> pd.DataFrame:
-    rows = [([], text) if marks is None else cut_text(text, marks) for text, marks in zip(texts, repeated, strict=True)]
-    return pd.DataFrame(rows, columns=["removed", "text"])
+    marked = np.flatnonzero([m is not None for m in repeated])
+    removed, cut = [[] for _ in texts], texts.to_list()
+    for at, chunk in in_chunks(texts.iloc[marked]):
+        rows = marked[at : at + len(chunk)]
+        for row, spans in zip(rows, Runs(chunk).gone([repeated.iloc[r] for r in rows]), strict=True):
+            removed[row] = [{"start": s, "end": e} for s, e in spans]
+            cut[row] = _without(cut[row], spans)
+    return pd.DataFrame({"removed": pd.Series(removed, dtype=object), "text": pd.Series(cut, dtype=object)})
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, th and marks: positions of the first sentences of non-first repeated runs.
+    """doc_id, th and marks: hashes of the runs that an earlier document has.
 
-    Documents without such a run have no row.
+    Documents with neither such a run nor one that they repeat themselves have no row.
     """
-    runs = stored(docs.select("doc_id", F.xxhash64("text").alias("th"), _runs("text").alias("runs")).where("runs is not null"), "runs")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "pos")
-    placed = runs.select("doc_id", "th", F.posexplode("runs").alias("pos", "hash")).where("hash <> 0")
-    # Copies of a row (equal doc_id and text) share their places, so spread is told by two different ones.
+    runs = docs.select("doc_id", F.xxhash64("text").alias("th"), _runs("text").alias("r")).where("text is not null")
+    runs = stored(runs.select("doc_id", "th", "r.*"), "runs")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    placed = runs.select("doc_id", "th", F.explode("hashes").alias("hash"))
     first = (
         placed.groupBy("hash")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where("first <> last")
-        .select("hash", F.col("first.doc_id").alias("__d"), F.col("first.th").alias("__t"), F.col("first.pos").alias("__p"))
+        .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+        .select("hash", F.col("first.doc_id").alias("__d"), F.col("first.th").alias("__t"))
     )
     first = broadcast_if_small(stored(first, "repeated"))
-    own = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__t")) & (F.col("pos") == F.col("__p"))
-    later = placed.join(first, "hash").where(~own)
-    return stored(later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("marks")), "marks")
+    own = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("th") == F.col("__t"))
+    later = placed.join(first, "hash").where(~own).groupBy("doc_id", "th").agg(F.collect_set("hash").alias("marks"))  # of one document's runs
+    again = runs.where("again").select("doc_id", "th", F.array().cast("array<long>").alias("marks"))
+    return stored(later.unionByName(again).groupBy("doc_id", "th").agg(F.flatten(F.collect_set("marks")).alias("marks")), "marks")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
