@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallygrove.functions.columns import clip
 from tallygrove.operators import confidence as G
 from tallygrove.operators import joins as J
 from tallygrove.operators import scenarios as N
@@ -105,27 +104,54 @@ def peer_snapshot(series: DataFrame, most: int = 10) -> DataFrame:
 
 
 def risk_with_snapshots(base: DataFrame) -> DataFrame:
-    """entity, risk_score, growth, decay, worst_growth, forecast_ok -> risk blended with what the snapshots say.
-
-    A falling growth, a retention decay and a bad worst case raise the score; an
-    insight with fewer than two real dimensions of five is held back.
+    """Risk of an entity with forecast inputs met by, or filled from, the growth, scenario and cohort snapshots.
+
+    base: entity, confidence; forecast (is there a usable one), slope, deviation,
+    acceleration; revenue_delta, churn_delta; short_growth, mid_growth,
+    long_growth, trend_acceleration; best_growth, worst_growth; cohort_acceleration.
+    A usable forecast's slope is averaged with the middle growth, its deviation
+    is at least the spread of the growths and of the scenarios, its acceleration
+    at least the slowing of growth; without one the snapshots stand in. With
+    fewer than two of five real dimensions the confidence falls by 0.4 (none:
+    0.5), to 0.05 at least.
     """
-    real = sum((F.col(c).isNotNull().cast("int") for c in ("risk_score", "growth", "decay", "worst_growth")), F.coalesce(F.col("forecast_ok").cast("int"), F.lit(0)))
-    zero = F.lit(0.0)
-    extra = 10 * clip(-F.coalesce("growth", zero), 0.0, 1.0) + 10 * clip(F.coalesce("decay", zero), 0.0, 1.0) + 10 * clip(-F.coalesce("worst_growth", zero), 0.0, 1.0)
-    score = clip(F.coalesce(F.col("risk_score").cast("double"), F.lit(50.0)) + extra, 0.0, 100.0)
-    held = F.when(real < 2, 50 + (score - 50) * 0.5).otherwise(score)
-    out = base.withColumns({"dimensions": real, "score": held})
-    return out.select("entity", "dimensions", "score", R.risk_level(F.col("score")).alias("level"))
+    z, own = F.lit(0.0), F.coalesce("forecast", F.lit(False))
+    mid, worst, cohort = F.col("mid_growth"), F.col("worst_growth"), F.col("cohort_acceleration")
+    spread = F.abs(F.col("short_growth") - F.col("long_growth"))
+    scenario = F.abs(F.col("best_growth") - F.col("worst_growth"))
+    slowing = F.greatest(z, -F.col("trend_acceleration"))
+    has_growth = F.coalesce("short_growth", "mid_growth", "long_growth").isNotNull()
+    has_scenario = F.coalesce("best_growth", "worst_growth").isNotNull()
+    proxy = ~own & (cohort.isNotNull() | has_growth | has_scenario)
+    # A growth of exactly 0 gives way to the next, as a missing one does.
+    stand_in = F.coalesce(F.when(mid != 0, mid), F.when(worst != 0, worst), z)
+    slope = F.when(own, F.when(mid.isNotNull(), (F.coalesce("slope", z) + mid) / 2).otherwise(F.coalesce("slope", z))).otherwise(stand_in)
+    deviation = F.greatest(F.when(own, F.coalesce("deviation", z)).otherwise(z), F.coalesce(spread, z), F.coalesce(scenario, z))
+    acceleration = F.greatest(F.when(own, F.coalesce("acceleration", z)).otherwise(F.coalesce(cohort, z)), F.coalesce(slowing, z))
+    growth_used = F.when(own, mid.isNotNull() | spread.isNotNull() | F.col("trend_acceleration").isNotNull()).otherwise(has_growth)
+    scenario_used = F.when(own, scenario.isNotNull()).otherwise(has_scenario)
+    dimensions = (F.col("revenue_delta").isNotNull() | F.col("churn_delta").isNotNull() | F.col("short_growth").isNotNull(), own, ~own & cohort.isNotNull(), growth_used, scenario_used)
+    real = sum((F.coalesce(d, F.lit(False)).cast("int") for d in dimensions[1:]), F.coalesce(dimensions[0], F.lit(False)).cast("int"))
+    out = base.withColumns({
+        "source": F.when(own, "forecast").when(proxy & has_scenario, "scenario_growth_cohort_proxy").when(proxy & has_growth, "growth_cohort_proxy").when(proxy, "cohort_proxy").otherwise("insufficient_data"),
+        "risk_score": R.risk_score(F.coalesce("short_growth", "revenue_delta"), F.col("churn_delta"), slope, deviation, acceleration, own | proxy),
+        "dimensions": real,
+    })
+    less = F.when(F.col("dimensions") < 2, F.greatest(F.lit(0.05), F.col("confidence") - (0.3 + 0.1 * (2 - F.col("dimensions"))))).otherwise(F.col("confidence"))
+    return out.select("entity", "source", "dimensions", "risk_score", R.risk_level(F.col("risk_score")).alias("level"), less.alias("confidence"))
 
 
 def data_quality(parts: DataFrame) -> DataFrame:
-    """entity, component, status, confidence -> per entity: usable components, mean confidence, and a grade."""
-    ok = F.col("status").isin("success", "ok", "partial")
-    a = parts.groupBy("entity").agg(F.count(F.lit(1)).alias("components"), F.count(F.when(ok, 1)).alias("usable"), F.coalesce(F.avg(F.when(ok, F.col("confidence"))), F.lit(0.0)).alias("confidence"))
-    share = F.col("usable") / F.col("components")
-    grade = F.when((share >= 0.75) & (F.col("confidence") >= 0.6), "good").when((share >= 0.5) & (F.col("confidence") >= 0.3), "fair").otherwise("poor")
-    return a.withColumn("grade", grade)
+    """entity, component, status, confidence -> per component: available, partial (too little data) or unavailable (failed, skipped), and its confidence."""
+    out = F.col("status").isin("failed", "skipped")
+    state = F.when(out, "unavailable").when(F.col("status") == "insufficient_data", "partial").otherwise("available")
+    return parts.select("entity", "component", state.alias("state"), F.when(out, 0.0).otherwise(F.col("confidence")).alias("confidence"))
+
+
+def missing_components(quality: DataFrame) -> DataFrame:
+    """Per entity of data_quality(): how many components there are, and the unavailable ones by name."""
+    gone = F.sort_array(F.collect_list(F.when(F.col("state") == "unavailable", F.col("component"))))  # a few components
+    return quality.groupBy("entity").agg(F.count(F.lit(1)).alias("components"), gone.alias("missing"))
 
 
 def kpi_rows_for(payload: DataFrame, metrics: tuple[str, ...], start: Column | None = None, end: Column | None = None) -> DataFrame:
@@ -152,8 +178,13 @@ def macro_context(series: DataFrame, inflation: DataFrame, benchmark: DataFrame)
     rev = series.where("metric = 'recurring_revenue'")
     season = S.month_seasonality(rev).select("entity", "seasonal")
     span = rev.groupBy("entity").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.max_by("value", "seq").alias("last"))
-    w = Window.partitionBy(F.lit(0)).orderBy("period_end").rowsBetween(Window.unboundedPreceding, 0)
-    run = inflation.select("period_end", F.sum("value").over(w).alias("__s"), F.count("value").over(w).alias("__n"))
+    # Running sums by month, so that no task holds more than one month beside the sums of all.
+    monthly = inflation.where("value is not null").withColumn("__month", F.trunc("period_end", "month"))
+    within = Window.partitionBy("__month").orderBy("period_end").rowsBetween(Window.unboundedPreceding, 0)
+    sums = monthly.groupBy("__month").agg(F.sum("value").alias("__ms"), F.count("value").alias("__mn"))
+    earlier = Window.orderBy("__month").rowsBetween(Window.unboundedPreceding, -1)  # one row a month
+    sums = sums.select("__month", F.coalesce(F.sum("__ms").over(earlier), F.lit(0.0)).alias("__ms"), F.coalesce(F.sum("__mn").over(earlier), F.lit(0)).alias("__mn"))
+    run = monthly.join(F.broadcast(sums), "__month").select("period_end", (F.sum("value").over(within) + F.col("__ms")).alias("__s"), (F.count("value").over(within) + F.col("__mn")).alias("__n"))
     upto = J.asof(span, run, "b", "period_end", (), ("__s", "__n"))
     before = J.asof(span.select("entity", "a"), run.withColumn("period_end", F.date_add("period_end", 1)), "a", "period_end", (), ("__s", "__n")).select("entity", F.col("__s").alias("__s0"), F.col("__n").alias("__n0"))
     zero = F.lit(0)

@@ -207,15 +207,15 @@ def cusum_shifts(df: DataFrame, keys=KEYS, sigmas: float = 4.0) -> DataFrame:
     return stats.select(*keys, F.when(enough, hits).otherwise(F.array().cast("array<int>")).alias("shifts"))
 
 
-def two_sided_cusum(df: DataFrame, keys=KEYS, sigmas: float = 4.0, drift: float = 0.5, apart: int = 4, most: int = 5) -> DataFrame:
-    """Per series: change points of separate upward and downward sums, at least `apart` apart, at most `most`."""
+def two_sided_cusum(df: DataFrame, keys=KEYS, sigmas: float = 4.0, apart: int = 4, most: int = 5) -> DataFrame:
+    """Per series: change points of separate upward and downward sums from the second value on, at least `apart` apart, at most `most`."""
     stats = packed(df, keys).join(df.groupBy(*keys).agg(F.avg("value").alias("__m"), F.stddev_pop("value").alias("__s")), list(keys))
-    start = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.array().cast("array<int>").alias("hits"), F.lit(0).alias("i"))
-    slack, limit = drift * F.col("__s"), sigmas * F.col("__s")
+    start = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.array().cast("array<int>").alias("hits"), F.lit(1).alias("i"))
+    limit = sigmas * F.col("__s")
 
     def step(acc: Column, x: Column) -> Column:
-        up = F.greatest(F.lit(0.0), acc["up"] + x - F.col("__m") - slack)
-        down = F.least(F.lit(0.0), acc["down"] + x - F.col("__m") + slack)
+        up = F.greatest(F.lit(0.0), acc["up"] + x - F.col("__m"))
+        down = F.least(F.lit(0.0), acc["down"] + x - F.col("__m"))
         hit = (up > limit) | (down < -limit)
         return F.struct(
             F.when(hit, F.lit(0.0)).otherwise(up).alias("up"),
@@ -224,8 +224,8 @@ def two_sided_cusum(df: DataFrame, keys=KEYS, sigmas: float = 4.0, drift: float
             (acc["i"] + 1).alias("i"),
         )
 
-    hits = F.aggregate("xs", start, step, lambda a: a["hits"])
-    found = F.when(F.col("__s") > GUARD, hits).otherwise(F.array().cast("array<int>"))
+    hits = F.aggregate(F.slice("xs", 2, F.greatest(F.size("xs") - 1, F.lit(0))), start, step, lambda a: a["hits"])
+    found = F.when((F.col("__s") > GUARD) & (F.size("xs") >= 2 * apart), hits).otherwise(F.array().cast("array<int>"))
     return stats.select(*keys, F.slice(merge_nearby(found, apart), 1, most).alias("changepoints"))
 
 
@@ -311,19 +311,20 @@ def detect_seasonality(df: DataFrame, keys=KEYS, periods: tuple[int, ...] = (3,
 
 # Change points.
 def structural_break(df: DataFrame, keys=KEYS, least: int = 6, score: float = 0.95, least_shift: float = 5.0) -> DataFrame:
-    """Per series: the split with the largest difference of mean residuals, in deviations."""
+    """Per series: the split with the largest difference of mean residuals, in deviations, and the difference of its raw means."""
     r = detrended(df, keys)
-    w = along(keys)
-    n = F.count(F.lit(1)).over(whole(keys))
-    left_n = F.row_number().over(w) - 1
-    left = F.sum("residual").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    total = F.sum("residual").over(whole(keys))
-    cut = r.withColumns({"__n": n, "__ln": left_n, "__l": left, "__t": total, "__s": F.stddev_pop("residual").over(whole(keys))})
+    w, all_ = along(keys), whole(keys)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    cut = r.withColumns({
+        "__n": F.count(F.lit(1)).over(all_), "__ln": F.row_number().over(w) - 1, "__s": F.stddev_pop("residual").over(all_),
+        "__l": F.sum("residual").over(before), "__t": F.sum("residual").over(all_), "__rl": F.sum("value").over(before), "__rt": F.sum("value").over(all_),
+    })
     cut = cut.where((F.col("__ln") >= least) & (F.col("__n") - F.col("__ln") >= least))
-    shift = (F.col("__t") - F.col("__l")) / (F.col("__n") - F.col("__ln")) - F.col("__l") / F.col("__ln")
-    cut = cut.withColumn("__d", shift).withColumn("__score", F.abs(F.col("__d")) / F.greatest(F.col("__s"), F.lit(GUARD)))
-    best = cut.groupBy(*keys).agg(F.max_by(F.struct("seq", "__d", "__score"), F.struct(F.col("__score"), -F.col("seq"))).alias("b"))
-    return best.select(*keys, F.col("b.seq").alias("break_at"), F.col("b.__score").alias("score"), F.col("b.__d").alias("shift"), ((F.col("b.__score") >= score) & (F.abs("b.__d") >= least_shift)).alias("is_break"))
+    gap = lambda left, total: F.abs((total - left) / (F.col("__n") - F.col("__ln")) - left / F.col("__ln"))
+    cut = cut.withColumns({"__score": gap(F.col("__l"), F.col("__t")) / F.greatest(F.col("__s"), F.lit(GUARD)), "__d": gap(F.col("__rl"), F.col("__rt"))})
+    # Scores that differ by rounding only are ties; the first split wins.
+    best = cut.groupBy(*keys).agg(F.max_by(F.struct("seq", "__d", "__score"), F.struct(F.round("__score", 9), -F.col("seq"))).alias("b"))
+    return best.select(*keys, F.col("b.seq").alias("break_at"), F.col("b.__score").alias("score"), F.col("b.__d").alias("shift"), ((F.col("b.__score") >= score) & (F.col("b.__d") >= least_shift)).alias("is_break"))
 
 
 def _split(x: np.ndarray, lo: int, hi: int, least: int) -> tuple[float, int | None]:
@@ -341,40 +342,53 @@ def _split(x: np.ndarray, lo: int, hi: int, least: int) -> tuple[float, int | No
     return float(gain[best]), lo + int(k[best])
 
 
-def binary_segmentation(df: DataFrame, keys=KEYS, least: int = 4, most: int = 5, least_share: float = 0.15) -> DataFrame:
-    """Per series: change points by recursive best splits.
+def binary_segmentation(df: DataFrame, keys=KEYS, least: int = 4, most: int = 5, least_share: float = 0.15, penalty: float = 2.0) -> DataFrame:
+    """Per series: change points by recursive best splits, left part first, until there are `most`.
 
-    A split must beat the penalty 2 ln(n) x variance and `least_share` of the
-    segment's squared error.
+    A split's drop in squared error, less `penalty` x ln(length of the segment),
+    must be `least_share` of the segment's squared error.
     """
     keys = list(keys)
 
     def points(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("seq")["value"].to_numpy(dtype=np.float64)
-        penalty = 2 * np.log(max(len(x), 2)) * max(float(x.var()), 1e-12)
+        x = x - x.mean()
         found: list[int] = []
         open_parts = [(0, len(x))]
         while open_parts and len(found) < most:
-            lo, hi = open_parts.pop(0)
+            lo, hi = open_parts.pop()
             gain, at = _split(x, lo, hi, least)
-            error = float(((x[lo:hi] - x[lo:hi].mean()) ** 2).sum())
-            if at is not None and gain > penalty and gain >= least_share * error:
+            error = float(((x[lo:hi] - x[lo:hi].mean()) ** 2).sum()) if hi > lo else 0.0
+            if at is None or error < GUARD:
+                continue
+            net = gain - penalty * np.log(max(hi - lo, 2))
+            if net > 0 and net >= least_share * error:
                 found.append(at)
-                open_parts += [(lo, at), (at, hi)]
+                open_parts += [(at, hi), (lo, at)]
         return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), sorted(found)]], columns=[*keys, "changepoints"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
     return df.groupBy(*keys).applyInPandas(points, f"{schema}, changepoints array<int>")
 
 
-def changepoints(df: DataFrame, keys=KEYS, within: int = 2) -> DataFrame:
-    """Change points of both methods, merged; a point confirmed by both is marked."""
+def changepoints(df: DataFrame, keys=KEYS, within: int = 2, beside: int = 4) -> DataFrame:
+    """A row per change point of either method, merged: the methods within `within` of it, confirmed by both, and the level shift.
+
+    The shift is the difference of the means of up to `beside` values on either
+    side; relative to the left one it is an increase or a decrease beyond 2%.
+    """
     a = two_sided_cusum(df, keys).select(*keys, F.col("changepoints").alias("__a"))
     b = binary_segmentation(df, keys).select(*keys, F.col("changepoints").alias("__b"))
-    both = a.join(b, list(keys))
-    merged = merge_nearby(F.array_union("__a", "__b"), within + 1)
-    agree = F.filter("__b", lambda x: F.exists("__a", lambda y: F.abs(x - y) <= within))
-    return both.select(*keys, merged.alias("changepoints"), F.size(agree).alias("confirmed"))
+    both = a.join(b, list(keys)).join(packed(df, keys), list(keys)).where(F.size("xs") >= 2 * beside)
+    each = both.withColumn("at", F.explode(merge_nearby(F.array_union("__a", "__b"), max(2, beside // 2))))
+    near = lambda c: F.exists(c, lambda y: F.abs(y - F.col("at")) <= within)
+    mean = lambda part: F.aggregate(part, F.lit(0.0), lambda acc, v: acc + v) / F.size(part)
+    left = F.slice("xs", F.greatest(F.col("at") - beside, F.lit(0)) + 1, F.least(F.col("at"), F.lit(beside)))
+    right = F.slice("xs", F.col("at") + 1, beside)
+    each = each.withColumns({"cusum": near("__a"), "segmentation": near("__b"), "left_mean": mean(left), "right_mean": mean(right)})
+    shift = F.col("right_mean") - F.col("left_mean")
+    relative = shift / F.greatest(F.abs("left_mean"), F.lit(GUARD))
+    return each.select(*keys, "at", "cusum", "segmentation", (F.col("cusum") & F.col("segmentation")).alias("confirmed"), "left_mean", "right_mean", shift.alias("shift"), relative.alias("relative"), F.when(relative > 0.02, "increase").when(relative < -0.02, "decrease").otherwise("stable").alias("direction"))
 
 
 # Exponential smoothing.

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.operators import aggregates as A
 from tallygrove.operators import confidence as G
 from tallygrove.operators import contexts as X
 from tallygrove.operators import kpis as K
-from tallygrove.operators import scoring as R
-from tallygrove.operators import series as S
 from tallygrove.operators import windows as W
 from tallygrove.plans import jobs
 from tallygrove.plans.kpi_queries import _WIN, FORMULA_SQL, inputs
@@ -64,23 +62,55 @@ register("multivariate_scenarios", on_series(X.multivariate_scenarios))
 register("peer_snapshot", on_series(X.peer_snapshot))
 
 
+def _k() -> Column:
+    """A number of each entity, so that inputs differ from entity to entity."""
+    return F.substring("entity", 8, 10).cast("int")
+
+
 def _risk(s: DataFrame) -> DataFrame:
-    d = W.deltas(s.where("metric = 'recurring_revenue'")).select("entity", F.col("mom").alias("growth"))
-    f = S.implied_churn(s.where("metric = 'recurring_revenue'")).select("entity", F.col("implied_churn").alias("decay"))
-    w = G.scenario_snapshot(X.multivariate_scenarios(s)).select("entity", "worst_growth")
-    base = d.join(f, "entity").join(w, "entity")
-    return X.risk_with_snapshots(base.withColumns({"risk_score": R.risk_score(F.col("growth"), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(False)), "forecast_ok": F.lit(True)}))
+    """Growths from the series; forecasts, scenarios and cohorts are there for some entities only."""
+    g = W.latest(W.growth_signals(s.where("metric = 'recurring_revenue'")))
+    some = lambda n, x: F.when(_k() % n != 0, x)
+    mid = F.col("mid_growth")
+    return X.risk_with_snapshots(g.select(
+        "entity", (0.5 + _k() / 100).alias("confidence"), (_k() % 3 == 0).alias("forecast"), ((_k() - 12) / 20).alias("slope"), (_k() / 50).alias("deviation"), some(2, F.lit(0.1)).alias("acceleration"),
+        some(4, F.lit(-0.1)).alias("revenue_delta"), some(5, F.lit(0.2)).alias("churn_delta"), some(7, F.col("short_growth")).alias("short_growth"), some(5, mid).alias("mid_growth"), some(7, F.col("long_growth")).alias("long_growth"),
+        some(7, F.col("acceleration")).alias("trend_acceleration"), some(4, mid + 0.2).alias("best_growth"), some(4, mid - 0.3).alias("worst_growth"), some(5, F.lit(0.15)).alias("cohort_acceleration"),
+    ))
 
 
-register("risk_with_snapshots", on_series(_risk))
 register(
-    "data_quality_components",
-    on_series(lambda s: X.data_quality(s.groupBy("entity", F.col("metric").alias("component")).agg(F.count(F.lit(1)).alias("n")).select(
-        "entity", "component", F.when(F.col("component") == "arpu", "failed").otherwise("success").alias("status"), F.least(F.lit(1.0), F.col("n") / 100).alias("confidence")))),
-    with_series("""
-, n AS (SELECT entity, metric, least(1, count(*) / 100.0) AS c FROM series GROUP BY entity, metric)
-, a AS (SELECT entity, count(*) AS components, count(CASE WHEN metric <> 'arpu' THEN 1 END) AS usable, avg(CASE WHEN metric <> 'arpu' THEN c END) AS c FROM n GROUP BY entity)
-SELECT entity, components, usable, round(c, 6)::DOUBLE AS confidence, CASE WHEN usable / components::DOUBLE >= 0.75 AND c >= 0.6 THEN 'good' WHEN usable / components::DOUBLE >= 0.5 AND c >= 0.3 THEN 'fair' ELSE 'poor' END AS grade FROM a"""),
+    "risk_with_snapshots",
+    on_series(_risk),
+    with_series(f"""
+, l AS (SELECT entity, CAST(substr(entity, 8) AS INT) AS k, (value - lag(value, 3) OVER w) / greatest(abs(lag(value, 3) OVER w), 1e-9) AS s, (value - lag(value, 6) OVER w) / greatest(abs(lag(value, 6) OVER w), 1e-9) AS m,
+    (value - lag(value, 12) OVER w) / greatest(abs(lag(value, 12) OVER w), 1e-9) AS g FROM series WHERE metric = 'recurring_revenue' WINDOW w AS ({_S}) QUALIFY row_number() OVER (PARTITION BY entity ORDER BY seq DESC) = 1)
+, x AS (SELECT entity, k, 0.5 + k / 100.0 AS conf, k % 3 = 0 AS f, (k - 12) / 20.0 AS slope, k / 50.0 AS dev, CASE WHEN k % 2 <> 0 THEN 0.1 END AS acc, CASE WHEN k % 4 <> 0 THEN -0.1 END AS rd, CASE WHEN k % 5 <> 0 THEN 0.2 END AS cd,
+    CASE WHEN k % 7 <> 0 THEN s END AS sg, CASE WHEN k % 5 <> 0 THEN m END AS mg, CASE WHEN k % 7 <> 0 THEN g END AS lg, CASE WHEN k % 7 <> 0 THEN s - 2 * m + g END AS ta, CASE WHEN k % 4 <> 0 THEN m + 0.2 END AS bg, CASE WHEN k % 4 <> 0 THEN m - 0.3 END AS wg, CASE WHEN k % 5 <> 0 THEN 0.15 END AS ca FROM l)
+, y AS (SELECT *, abs(sg - lg) AS spread, abs(bg - wg) AS scen, greatest(0, -ta) AS slowing, coalesce(sg, mg, lg) IS NOT NULL AS hg, coalesce(bg, wg) IS NOT NULL AS hs FROM x)
+, z AS (SELECT *, NOT f AND (ca IS NOT NULL OR hg OR hs) AS proxy, CASE WHEN f THEN CASE WHEN mg IS NULL THEN slope ELSE (slope + mg) / 2 END ELSE coalesce(nullif(mg, 0), nullif(wg, 0), 0) END AS fs,
+    greatest(CASE WHEN f THEN dev ELSE 0 END, coalesce(spread, 0), coalesce(scen, 0)) AS fd, greatest(CASE WHEN f THEN coalesce(acc, 0) ELSE coalesce(ca, 0) END, coalesce(slowing, 0)) AS fa,
+    (rd IS NOT NULL OR cd IS NOT NULL OR sg IS NOT NULL)::INT + f::INT + (NOT f AND ca IS NOT NULL)::INT + (CASE WHEN f THEN mg IS NOT NULL OR spread IS NOT NULL OR ta IS NOT NULL ELSE hg END)::INT + (CASE WHEN f THEN scen IS NOT NULL ELSE hs END)::INT AS dims FROM y)
+, r AS (SELECT *, f OR proxy AS av, 0.25 * (1 - coalesce(sg, rd, 0)) / 2 + 0.25 * (1 + coalesce(cd, 0)) / 2 + CASE WHEN f OR proxy THEN 0.2 * least(1, greatest(0, -fs)) + 0.15 * least(1, greatest(0, fd)) + 0.15 * least(1, greatest(0, fa)) ELSE 0 END AS t FROM z)
+, q AS (SELECT *, least(100, round_even(least(100, greatest(0, t * 100)), 0) / CASE WHEN av THEN 1 ELSE 0.5 END)::INT AS risk FROM r)
+SELECT entity, CASE WHEN f THEN 'forecast' WHEN proxy AND hs THEN 'scenario_growth_cohort_proxy' WHEN proxy AND hg THEN 'growth_cohort_proxy' WHEN proxy THEN 'cohort_proxy' ELSE 'insufficient_data' END AS source, dims AS dimensions, risk AS risk_score,
+  CASE WHEN risk <= 30 THEN 'low' WHEN risk <= 60 THEN 'moderate' WHEN risk <= 80 THEN 'high' ELSE 'critical' END AS level, round(CASE WHEN dims < 2 THEN greatest(0.05, conf - (0.3 + 0.1 * (2 - dims))) ELSE conf END, 6)::DOUBLE AS confidence FROM q"""),
+)
+
+
+def _quality(s: DataFrame) -> DataFrame:
+    status = F.element_at(F.array(*map(F.lit, ("success", "insufficient_data", "failed", "skipped", "ok"))), (1 + (_k() + F.length("metric")) % 5).cast("int"))
+    return X.data_quality(s.groupBy("entity", F.col("metric")).agg(F.avg("seq").alias("n")).select("entity", F.col("metric").alias("component"), status.alias("status"), (F.col("n") / 100).alias("confidence")))
+
+
+_QUALITY = """
+, n AS (SELECT entity, metric AS component, avg(seq) / 100 AS c, ['success', 'insufficient_data', 'failed', 'skipped', 'ok'][1 + (CAST(substr(entity, 8) AS INT) + length(metric)) % 5] AS st FROM series GROUP BY entity, metric)
+, dq AS (SELECT entity, component, CASE WHEN st IN ('failed', 'skipped') THEN 'unavailable' WHEN st = 'insufficient_data' THEN 'partial' ELSE 'available' END AS state, round(CASE WHEN st IN ('failed', 'skipped') THEN 0 ELSE c END, 6)::DOUBLE AS confidence FROM n)"""
+register("data_quality_components", on_series(_quality), with_series(_QUALITY + "\nSELECT * FROM dq"))
+register(
+    "data_quality_missing",
+    on_series(lambda s: X.missing_components(_quality(s)).withColumn("missing", F.array_join("missing", ","))),
+    with_series(_QUALITY + "\nSELECT entity, count(*) AS components, coalesce(string_agg(CASE WHEN state = 'unavailable' THEN component END, ',' ORDER BY component), '') AS missing FROM dq GROUP BY entity"),
 )
 register(
     "kpi_branch_rows",

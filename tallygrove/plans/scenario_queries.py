@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.functions import columns as C
@@ -221,62 +221,176 @@ register(
     on_series(_gated),
     with_series(_GATED + "\nSELECT entity, metric, n, round(p, 6)::DOUBLE AS confidence FROM pr"),
 )
+
+def _k() -> Column:
+    """A number of each entity, so that inputs differ from entity to entity."""
+    return F.substring("entity", 8, 10).cast("int")
+
+
+_LAYERS = {"recurring_revenue": "kpi", "order_count": "forecast", "active_customer_count": "competitive", "arpu": "cohort"}
+
+
+def _signals(s: DataFrame) -> DataFrame:
+    """entity, metric, layer, score, status and gate of signals of every kind of status, none for some."""
+    status = (
+        F.when((F.col("metric") == "arpu") & (_k() % 2 == 0), "insufficient_data").when((F.col("metric") == "order_count") & (_k() % 5 == 0), "failed")
+        .when(_k() % 3 == 0, "Partial ").otherwise("success")
+    )
+    score = F.greatest(F.lit(0.0), F.col("confidence") - (_k() % 12) / 12)
+    layer = F.element_at(F.create_map(*(F.lit(x) for kv in _LAYERS.items() for x in kv)), F.col("metric"))
+    x = _gated(s).where(~((F.col("metric") == "active_customer_count") & (_k() % 4 == 1))).select("entity", "metric", layer.alias("layer"), score.alias("score"), status.alias("status"))
+    return x.withColumn("gate", G.gate(F.col("status"), F.col("score")))
+
+
+_SIGNALS = _GATED + """
+, kk AS (SELECT *, CAST(substr(entity, 8) AS INT) AS k FROM pr)
+, sg AS (SELECT entity, metric, k, CASE metric WHEN 'recurring_revenue' THEN 'kpi' WHEN 'order_count' THEN 'forecast' WHEN 'active_customer_count' THEN 'competitive' ELSE 'cohort' END AS layer, greatest(0, p - (k % 12) / 12.0) AS s,
+    CASE WHEN metric = 'arpu' AND k % 2 = 0 THEN 'insufficient_data' WHEN metric = 'order_count' AND k % 5 = 0 THEN 'failed' WHEN k % 3 = 0 THEN 'partial' ELSE 'success' END AS st FROM kk WHERE NOT (metric = 'active_customer_count' AND k % 4 = 1))
+, gt AS (SELECT *, CASE WHEN st = 'failed' THEN 'block' WHEN s < 0.2 AND st <> 'success' THEN 'isolate' WHEN st = 'insufficient_data' OR s < 0.3 THEN 'degrade' ELSE 'pass' END AS gate FROM sg)"""
 register(
     "signal_gates",
-    on_series(lambda s: _gated(s).select("entity", "metric", G.gate(F.when(F.col("metric") == "arpu", "partial").otherwise("success"), F.col("confidence") - F.length("entity") / 20).alias("gate"))),
-    with_series(_GATED + """
-SELECT entity, metric, CASE WHEN p - length(entity) / 20.0 < 0.15 THEN 'isolate' WHEN p - length(entity) / 20.0 < 0.4 OR metric = 'arpu' THEN 'degrade' ELSE 'pass' END AS gate FROM pr"""),
+    on_series(lambda s: _signals(s).select("entity", "metric", "gate", G.eligible(F.col("gate")).alias("eligible"))),
+    with_series(_SIGNALS + "\nSELECT entity, metric, gate, gate IN ('pass', 'degrade') AS eligible FROM gt"),
+)
+register(
+    "layer_states",
+    on_series(lambda s: G.layer_states(_signals(s).select("entity", "layer", "score", "gate"))),
+    with_series(_SIGNALS + """
+SELECT e.entity, l.layer, CASE WHEN gate IS NULL THEN 'missing' WHEN gate IN ('block', 'isolate') THEN 'isolated' WHEN gate = 'degrade' THEN 'degraded' WHEN s >= 0.01 THEN 'valid' ELSE 'inactive' END AS state
+FROM (SELECT DISTINCT entity FROM gt) e CROSS JOIN (SELECT unnest(['kpi', 'cohort', 'segmentation', 'competitive', 'forecast']) AS layer) l LEFT JOIN gt ON gt.entity = e.entity AND gt.layer = l.layer"""),
 )
-_LAYERS = {"recurring_revenue": "kpi", "order_count": "forecast", "active_customer_count": "competitive", "arpu": "cohort"}
 
 
 def _integrity(s: DataFrame) -> DataFrame:
-    layer = F.element_at(F.create_map(*(F.lit(x) for kv in _LAYERS.items() for x in kv)), F.col("metric"))
-    x = _gated(s).select("entity", layer.alias("layer"), (F.col("confidence") - F.length("entity") / 20).alias("score"))
-    return G.unified_integrity(x.withColumn("state", G.gate(F.lit("success"), F.col("score"))))
+    x = _signals(s).select("entity", "layer", "score", "gate")
+    return G.unified_integrity(x, x.select("entity", (_k() % 6).alias("missing")).distinct())
 
 
+_INTEGRITY = _SIGNALS + """
+, lw AS (SELECT *, gate IN ('pass', 'degrade') AND s >= 0.01 AS v, CASE layer WHEN 'kpi' THEN 1.0 WHEN 'cohort' THEN 0.8 WHEN 'competitive' THEN 0.5 ELSE 0.4 END::DOUBLE * CASE WHEN gate = 'degrade' THEN 0.5 ELSE 1 END AS w FROM gt)
+, la AS (SELECT entity, any_value(k) AS k, coalesce(sum(CASE WHEN v THEN w * s END) / sum(CASE WHEN v THEN w END), 0) AS raw, count(CASE WHEN v THEN 1 END)::INT AS valid, max(CASE WHEN layer = 'kpi' THEN s END) AS kpi,
+    bool_or(layer = 'kpi' AND gate = 'degrade') AS kd, bool_or(layer = 'forecast' AND gate IN ('pass', 'degrade')) AS fu FROM lw GROUP BY entity)
+, lc AS (SELECT *, least(1, raw * CASE WHEN kpi < 0.3 THEN (kpi / 0.3) ** 2 ELSE 1 END) AS x FROM la)
+, it AS (SELECT *, least(x, CASE WHEN kd THEN 0.35 ELSE 1 END, CASE WHEN fu THEN 1 ELSE 0.30 END, CASE WHEN valid < 3 THEN 0.25 ELSE 1 END) * greatest(0.5, 1 - 0.15 * (k % 6)) AS integrity,
+    CASE WHEN valid = 0 OR kpi = 0 THEN 'blocked' WHEN valid < 3 THEN 'partial_insight' ELSE 'full_insight' END AS quality FROM lc)"""
 register(
     "unified_integrity",
     on_series(_integrity),
-    with_series(_GATED + """
-, ly AS (SELECT entity, CASE metric WHEN 'recurring_revenue' THEN 'kpi' WHEN 'order_count' THEN 'forecast' WHEN 'active_customer_count' THEN 'competitive' ELSE 'cohort' END AS layer,
-    CASE metric WHEN 'recurring_revenue' THEN 0.40 WHEN 'order_count' THEN 0.25 WHEN 'active_customer_count' THEN 0.15 ELSE 0.12 END::DOUBLE AS w, p - length(entity) / 20.0 AS s FROM pr)
-, us AS (SELECT *, CASE WHEN s < 0.15 THEN 0 WHEN s < 0.4 THEN s * 0.5 ELSE s END AS u FROM ly)
-, tt AS (SELECT entity, sum(w * u) AS t, sum(w) AS sw, coalesce(max(CASE WHEN layer = 'kpi' THEN s END), 0) AS k, count(CASE WHEN s < 0.15 THEN 1 END) AS blocked, count(*) AS layers FROM us GROUP BY entity)
-SELECT entity, layers, blocked, round(least(t / sw * CASE WHEN k < 0.5 THEN 1 - (0.5 - k) * (0.5 - k) ELSE 1 END * (0.7 + 0.3 * layers / 5.0), CASE WHEN blocked >= 3 THEN 0.25 WHEN blocked = 2 THEN 0.30 WHEN blocked = 1 THEN 0.35 ELSE 1.0 END), 6)::DOUBLE AS integrity FROM tt"""),
+    with_series(_INTEGRITY + """
+SELECT entity, valid AS valid_layers, kpi >= 0.3 AS kpi_gate_passed, kd AS kpi_degraded, fu AS forecast_usable, quality, round(integrity, 6)::DOUBLE AS integrity FROM it"""),
 )
+
+
+def _audited(s: DataFrame) -> DataFrame:
+    coverage, severity = (_k() % 5) / 4, (_k() % 7) * 0.3
+    caps = G.capped(F.lit(0.9), F.col("kpi_degraded"), F.col("forecast_usable"), F.col("valid_layers"))
+    return _integrity(s).select("entity", G.audit(_k() % 4, F.col("valid_layers"), coverage, severity).alias("audit"), G.blocking_conflicts(severity, severity / 2, _k() % 5).alias("conflicts_block"), caps.alias("capped"))
+
+
 register(
     "synthesis_audit",
-    on_series(lambda s: _integrity(s).select("entity", G.audit(F.col("integrity"), F.col("blocked")).alias("audit"), G.final_cap(F.lit(0.9), F.col("integrity")).alias("capped"))),
+    on_series(_audited),
+    with_series(_INTEGRITY + """
+SELECT entity, CASE WHEN k % 4 = 0 OR valid = 0 OR k % 5 = 0 THEN 'blocked' WHEN k % 4 < 3 OR (k % 5) / 4.0 < 0.5 OR (k % 7) * 0.3 > 1.0 OR valid < 3 THEN 'degraded' ELSE 'pass' END AS audit,
+  ((k % 7) * 0.15 >= 0.8 AND (k % 7) * 0.3 >= 1.0) OR k % 5 >= 3 AS conflicts_block,
+  round(least(0.9, CASE WHEN kd THEN 0.35 ELSE 1 END, CASE WHEN fu THEN 1 ELSE 0.30 END, CASE WHEN valid < 3 THEN 0.25 ELSE 1 END), 6)::DOUBLE AS capped FROM it"""),
 )
+
+# Inputs of a forecast's checks: fit from the series, the rest by entity.
+_FIT = """
+, ft AS (SELECT entity, metric, CAST(substr(entity, 8) AS INT) AS k, coalesce(regr_slope(value, seq), 0) AS slope, var_pop(value) AS vy, var_pop(seq) AS vx FROM series GROUP BY entity, metric)
+, fr AS (SELECT *, CASE WHEN vy < 1e-9 THEN 0 ELSE greatest(0, 1 - (vy - slope * slope * vx) / greatest(vy, 1e-9)) END AS r2, ['low', 'normal', 'high', 'insufficient_history', 'strange'][1 + k % 5] AS regime,
+    ['ok', 'ok', 'ok', 'insufficient_data', 'failed'][1 + (k + length(metric)) % 5] AS st, (k % 11) / 10.0 AS c FROM ft)"""
+
+
+def _fits(s: DataFrame) -> DataFrame:
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (1 + i % len(values)).cast("int"))
+    return S.ols(s).select(
+        "entity", "metric", "slope", "r_squared", pick(("low", "normal", "high", "insufficient_history", "strange"), _k()).alias("regime"),
+        pick(("ok", "ok", "ok", "insufficient_data", "failed"), _k() + F.length("metric")).alias("status"), ((_k() % 11) / 10).alias("c"),
+    )
+
+
 register(
     "forecast_guardrail",
-    on_series(lambda s: S.tiered_forecast(s).join(W.volatility_regime(s).select("entity", "metric", "regime"), ["entity", "metric"], "left").join(S.ols(s).select("entity", "metric", "r_squared"), ["entity", "metric"]).select(
-        "entity", "metric", G.forecast_guardrail(F.lit("ok"), F.col("n"), F.col("tier"), F.col("r_squared"), F.col("confidence"), F.col("regime")).alias("decision"))),
+    on_series(lambda s: _fits(s).select("entity", "metric", G.forecast_guardrail(F.col("status"), _k() % 9 + 3, F.when(_k() % 8 == 7, "minimal").otherwise("standard"), F.col("r_squared") * 20, F.col("c"), F.col("regime")).alias("decision"))),
+    with_series(_FIT + """
+, ad AS (SELECT *, c * CASE regime WHEN 'low' THEN 1.0 WHEN 'normal' THEN 0.92 WHEN 'high' THEN 0.75 WHEN 'insufficient_history' THEN 0.80 ELSE 0.85 END AS a FROM fr)
+SELECT entity, metric, CASE WHEN st <> 'ok' THEN 'status_not_ok' WHEN k % 9 + 3 < 6 THEN 'below_reliable_datapoint_threshold' WHEN k % 8 = 7 THEN 'minimal_tier_rejected' WHEN r2 * 20 < 0.30 THEN 'poor_regression_fit'
+  WHEN a < CASE WHEN regime = 'high' THEN 0.40 ELSE 0.30 END THEN 'volatility_adjusted_low_confidence' ELSE 'accepted' END AS decision FROM ad"""),
+)
+
+
+def _layer_scores(s: DataFrame) -> DataFrame:
+    x = _fits(s).where("metric in ('arpu', 'order_count')")
+    horizon, growth = F.when(_k() % 2 == 0, _k() % 7), (_k() % 3 - 1).cast("double")
+    parts = {
+        "forecast": G.forecast_layer(F.col("status"), _k() % 9 + 3, F.col("r_squared") * 6, F.when(_k() % 4 == 0, F.col("c")), horizon, F.col("slope"), growth),
+        "competitive": G.competitive_layer(_k() % 6, _k() % 5 + 1, F.element_at(F.array(F.lit("local_db"), F.lit("external_fetch"), F.lit("other")), (1 + _k() % 3).cast("int")), G.competitive_completeness(_k() % 4, _k() * 3, _k() % 4 + 1)),
+        "kpi": G.kpi_layer(_k() % 6, F.lit(5), (_k() % 4) / 3, _k() % 5),
+        "cohort": G.cohort_layer(_k() % 3),
+        "segmentation": G.cohort_layer(_k() % 3, 0.4),
+    }
+    rows = F.array(*(F.struct(F.lit(n).alias("layer"), c.alias("x")) for n, c in parts.items()))
+    return x.select("entity", "metric", F.inline(rows)).select("entity", "metric", "layer", "x.*")
+
+
+_LSAT = "ln(greatest({0}, 1)::DOUBLE) / ln(greatest({0}, 1)::DOUBLE + 1)"
+register(
+    "integrity_layers",
+    on_series(_layer_scores),
+    with_series(_FIT + f"""
+, f AS (SELECT *, k % 9 + 3 AS pts, least(1, r2 * 6) AS fit, sign(slope) * (k % 3 - 1) < 0 AND r2 * 6 < 0.5 AS ag, CASE WHEN k % 4 = 0 THEN c ELSE {_LSAT.format("(k % 9 + 3)")} * least(1, r2 * 6) / (1 + ln(1 + CASE WHEN k % 2 = 0 THEN k % 7 ELSE 3 END)) END AS own FROM fr WHERE metric IN ('arpu', 'order_count'))
+, q AS (SELECT *, CASE WHEN k % 4 > 0 THEN ln(1.0 + k % 4) / ln(2.0 + k % 4) WHEN k > 0 THEN sqrt(least(1, ln(1.0 + 3 * k) / ln(25.0 + 3 * k)) * {_LSAT.format("(k % 4 + 2)")}) ELSE 0 END AS cc FROM f)
+, l AS (
+  SELECT entity, metric, 'forecast' AS layer, CASE WHEN st = 'failed' OR st = 'insufficient_data' OR pts < 6 THEN 0 WHEN fit < 0.10 THEN fit ELSE own END AS score, CASE WHEN st = 'failed' THEN 'block' WHEN st = 'insufficient_data' OR pts < 6 THEN 'degrade' WHEN fit < 0.10 OR ag THEN 'isolate' WHEN fit < 0.30 THEN 'degrade' ELSE 'pass' END AS gate,
+    CASE WHEN st = 'failed' THEN 'failed' WHEN st = 'insufficient_data' OR pts < 6 THEN 'insufficient_data' WHEN fit < 0.10 THEN 'isolated_low_r2' WHEN ag THEN 'isolated_direction_conflict' WHEN fit < 0.30 THEN 'degraded_low_r2' ELSE 'success' END AS status FROM q
+  UNION ALL SELECT entity, metric, 'competitive', CASE WHEN k % 6 < 2 OR k % 5 + 1 < 2 THEN 0 ELSE sqrt({_LSAT.format("(k % 6)")} * {_LSAT.format("(k % 5 + 1)")}) * CASE k % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.5 END * cc END, CASE WHEN k % 6 < 2 OR k % 5 + 1 < 2 THEN 'degrade' ELSE 'pass' END, CASE WHEN k % 6 < 2 OR k % 5 + 1 < 2 THEN 'insufficient_data' ELSE 'success' END FROM q
+  UNION ALL SELECT entity, metric, 'kpi', (k % 6) / 5.0 * ((k % 4) / 3.0 + 0.7 * (1 - (k % 4) / 3.0)) * least((k % 5) / 3.0, 1), 'pass', 'success' FROM q
+  UNION ALL SELECT entity, metric, n, CASE k % 3 WHEN 0 THEN 0 WHEN 1 THEN m ELSE 1 END, CASE WHEN k % 3 = 0 THEN 'degrade' ELSE 'pass' END, CASE WHEN k % 3 = 0 THEN 'insufficient_data' ELSE 'success' END FROM q CROSS JOIN (VALUES ('cohort', 0.3), ('segmentation', 0.4)) v(n, m))
+SELECT entity, metric, layer, round(least(1, greatest(0, score)), 6)::DOUBLE AS score, gate, status FROM l"""),
 )
+
+
 def _complete(s: DataFrame) -> DataFrame:
-    have = s.groupBy("entity").agg(F.collect_set("metric").alias("h"))
-    status, score = G.completeness(F.col("h"), ("recurring_revenue", "active_customer_count"), ("arpu", "ltv"))
+    """Entities lack a required metric, optional ones, or none, by their number."""
+    lacking = F.element_at(F.array(F.lit("none"), F.lit("arpu"), F.lit("recurring_revenue"), F.lit("order_count")), (1 + _k() % 4).cast("int"))
+    have = s.where(F.col("metric") != lacking).groupBy("entity").agg(F.collect_set("metric").alias("h"))
+    status, score = G.completeness(F.col("h"), ("recurring_revenue", "active_customer_count"), ("arpu", "order_count", "ltv"))
     return have.select("entity", status.alias("status"), score.alias("score"))
 
 
+_LACKING = "CASE CAST(substr(entity, 8) AS INT) % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'arpu' WHEN 2 THEN 'recurring_revenue' ELSE 'order_count' END"
 register(
     "kpi_completeness",
     on_series(_complete),
-    with_series("SELECT entity, 'partial' AS status, 0.8 AS score FROM series GROUP BY entity"),
+    with_series(f"""
+, h AS (SELECT entity, list(DISTINCT metric) AS h FROM series WHERE metric <> {_LACKING} GROUP BY entity)
+, c AS (SELECT entity, NOT list_contains(h, 'recurring_revenue') OR NOT list_contains(h, 'active_customer_count') AS bad, list_contains(h, 'arpu')::INT + list_contains(h, 'order_count')::INT + list_contains(h, 'ltv')::INT AS o FROM h)
+SELECT entity, CASE WHEN bad THEN 'failed' WHEN o < 3 THEN 'partial' ELSE 'success' END AS status, round(CASE WHEN bad THEN 0 ELSE 0.6 + 0.4 * o / 3.0 END, 6)::DOUBLE AS score FROM c"""),
 )
 
 
+def _ready(s: DataFrame) -> DataFrame:
+    """The order count stands for lost customers, arpu for conversions, for as many months as the entity's number says."""
+    name = F.when(F.col("metric") == "order_count", "lost_customers").when(F.col("metric") == "arpu", "signup_rate").otherwise(F.col("metric"))
+    return G.readiness(s.where((F.col("metric") == "recurring_revenue") | (F.col("seq") < _k() % 5)).withColumn("metric", name))
+
+
 register(
     "kpi_readiness",
-    on_series(G.readiness),
-    with_series("SELECT entity, true AS has_revenue, false AS has_churn, false AS has_conversion, false AS ready FROM series GROUP BY entity"),
+    on_series(_ready),
+    with_series("""
+, c AS (SELECT entity, metric, count(value) AS n FROM series WHERE metric = 'recurring_revenue' OR seq < CAST(substr(entity, 8) AS INT) % 5 GROUP BY ALL)
+, h AS (SELECT entity, bool_or(metric = 'recurring_revenue' AND n >= 2) AS r, bool_or(metric = 'order_count' AND n >= 2) AS l, bool_or(metric = 'arpu' AND n >= 2) AS s FROM c GROUP BY entity)
+SELECT entity, r AS has_revenue, l AS has_churn, s AS has_conversion, r AND l AND s AS ready FROM h"""),
 )
 register(
     "kpi_coverage",
-    on_series(lambda s: G.coverage(s, ("recurring_revenue", "arpu", "ltv", "cac"))),
-    with_series("SELECT entity, 0.5 AS coverage, true AS sufficient FROM series GROUP BY entity"),
+    on_series(lambda s: G.coverage(s.where(F.col("seq") + F.length("metric") < _k() * 4), ("recurring_revenue", "arpu", "order_count", "ltv", "cac"))),
+    with_series("""
+, h AS (SELECT entity, count(DISTINCT CASE WHEN metric IN ('recurring_revenue', 'arpu', 'order_count') THEN metric END) AS n FROM series WHERE seq + length(metric) < CAST(substr(entity, 8) AS INT) * 4 GROUP BY entity)
+SELECT entity, round(n / 5.0, 6)::DOUBLE AS coverage, n / 5.0 >= 0.5 AS sufficient FROM h"""),
 )
 register(
     "pipeline_status",
@@ -288,21 +402,44 @@ SELECT entity, CASE WHEN max(CASE WHEN metric = 'arpu' AND n % 7 = 0 THEN 1 ELSE
 )
 register(
     "kpi_insight_rows",
-    on_series(G.insight_rows),
+    on_series(lambda s: G.insight_rows(s.where(F.col("seq") < 1 + _k() % 20))),
     with_series(f"""
-, g AS (SELECT *, (value - lag(value) OVER ({_S})) / greatest(abs(lag(value) OVER ({_S})), 1e-9) AS g FROM series)
-, a AS (SELECT entity, metric, count(value) AS n, arg_max(g, seq) AS ch, stddev_pop(value) / greatest(abs(avg(value)), 1e-9) AS cv FROM g GROUP BY entity, metric)
-SELECT entity, metric, n, round(ch, 6) AS change, round(cv, 6) AS cv, CASE WHEN n < 2 THEN 'insufficient' WHEN ch > 0.02 THEN 'improving' WHEN ch < -0.02 THEN 'worsening' ELSE 'steady' END AS status,
-  round(CASE WHEN n < 3 THEN 0 ELSE least(1, ln(n::DOUBLE) / ln(12::DOUBLE)) END * greatest(0.3, least(1, 1 - cv / 2)), 6)::DOUBLE AS confidence FROM a"""),
+, g AS (SELECT *, lag(value) OVER ({_S}) AS p FROM series WHERE seq < 1 + CAST(substr(entity, 8) AS INT) % 20)
+, a AS (SELECT entity, metric, count(*) AS n, arg_max(value, seq) AS latest, arg_max_null(p, seq) AS previous, avg(value) AS m, stddev_pop(value) AS sd, regr_slope(value, seq) AS b FROM g GROUP BY entity, metric)
+, i AS (SELECT *, CASE WHEN previous <> 0 THEN (latest - previous) / abs(previous) END AS ch, CASE WHEN n >= 2 THEN CASE WHEN abs(m) < 1e-12 THEN 0 ELSE sd / abs(m) END END AS cv FROM a)
+SELECT entity, metric, n, round(latest, 6) AS latest, round(previous, 6) AS previous, round(ch, 6) AS change, CASE WHEN ch IS NULL THEN 'unknown' WHEN ch > 0.05 THEN 'growing' WHEN ch < -0.05 THEN 'declining' ELSE 'stable' END AS status,
+  round(CASE WHEN n >= 3 THEN b / CASE WHEN abs(m) < 1e-12 THEN 1 ELSE abs(m) END END, 6) AS trend, round(cv, 6) AS cv, CASE WHEN cv IS NULL THEN 'unknown' WHEN cv > 0.30 THEN 'high' WHEN cv > 0.10 THEN 'medium' ELSE 'low' END AS volatility,
+  round(greatest(0.1, least(1, n / 12.0) - least(0.3, 0.3 * coalesce(cv, 0))), 6)::DOUBLE AS confidence FROM i"""),
 )
+
+
+def _blended(s: DataFrame) -> DataFrame:
+    x = G.series_confidence(s).select("entity", "metric", "confidence", "outliers").join(_fits(s), ["entity", "metric"])
+    return x.select("entity", "metric", G.engine_confidence(F.col("confidence"), F.when(F.col("status") != "failed", F.col("c")), F.col("status"), F.col("regime"), F.col("outliers") > 0, (_k() % 4) / 20).alias("confidence"))
+
+
 register(
     "engine_confidence_blend",
-    on_series(lambda s: G.series_confidence(s).join(S.tiered_forecast(s).select("entity", "metric", F.col("confidence").alias("f")), ["entity", "metric"]).select(
-        "entity", "metric", G.engine_confidence(F.col("confidence"), F.col("f"), F.col("cv") > 0.3, F.col("outliers") > 0, F.lit(0.12)).alias("confidence"))),
+    on_series(_blended),
+    with_series(_CONF + _FIT + """
+, b AS (SELECT entity, metric, k, st, regime, CASE WHEN depth = 0 THEN 0 ELSE exp((ln(greatest(depth, 1e-9)) + ln(greatest(vol, 1e-9)) + ln(greatest(ano, 1e-9))) / 4) END AS x, CASE WHEN st <> 'failed' THEN c END AS c, outliers,
+    CASE regime WHEN 'low' THEN 0.35 WHEN 'normal' THEN 0.35 WHEN 'high' THEN 0.20 WHEN 'insufficient_history' THEN 0.15 ELSE 0.25 END AS w FROM sc JOIN fr USING (entity, metric))
+, m AS (SELECT *, CASE WHEN c IS NULL THEN 0.85 * x ELSE (1 - w) * x + w * c END - CASE WHEN outliers > 0 THEN 0.08 ELSE 0 END - CASE WHEN (k % 4) / 20.0 >= 0.1 THEN 0.12 ELSE 0 END AS y FROM b)
+SELECT entity, metric, round(least(0.99, greatest(0, least(y, CASE WHEN st = 'insufficient_data' THEN 0.45 ELSE 9 END, CASE WHEN c IS NOT NULL AND regime = 'high' THEN 0.80 ELSE 9 END))), 6)::DOUBLE AS confidence FROM m"""),
 )
+
+
+def _parts(s: DataFrame) -> DataFrame:
+    """The three parts of a composite confidence, each missing for some entities."""
+    part = lambda i, x: F.when(_k() % (i + 2) != 0, x / 100)
+    return s.select("entity").distinct().select("entity", G.composite_confidence(part(0, _k() * 3), part(1, 90 - _k()), part(2, 40 + _k())).alias("confidence"))
+
+
 register(
     "composite_confidence_parts",
-    on_series(lambda s: W.latest(s).groupBy("entity").agg(F.max(F.when(F.col("metric") == "arpu", F.lit(0.8))).alias("a"), F.max(F.when(F.col("metric") == "ltv", F.lit(0.5))).alias("b"), F.max(F.lit(0.6)).alias("c")).select(
-        "entity", G.composite_confidence(F.col("a"), F.col("b"), F.col("c")).alias("confidence"))),
-    with_series("SELECT entity, round((0.8 * 0.40 + 0.6 * 0.25) / 0.65, 6)::DOUBLE AS confidence FROM series GROUP BY entity"),
+    on_series(_parts),
+    with_series("""
+, e AS (SELECT DISTINCT entity, CAST(substr(entity, 8) AS INT) AS k FROM series)
+, p AS (SELECT entity, CASE WHEN k % 2 <> 0 THEN 3 * k / 100.0 END AS a, CASE WHEN k % 3 <> 0 THEN (90 - k) / 100.0 END AS b, CASE WHEN k % 4 <> 0 THEN (40 + k) / 100.0 END AS c FROM e)
+SELECT entity, round(coalesce((coalesce(a * 0.40, 0) + coalesce(b * 0.35, 0) + coalesce(c * 0.25, 0)) / nullif(CASE WHEN a IS NULL THEN 0 ELSE 0.40 END + CASE WHEN b IS NULL THEN 0 ELSE 0.35 END + CASE WHEN c IS NULL THEN 0 ELSE 0.25 END, 0), 0), 6)::DOUBLE AS confidence FROM p"""),
 )

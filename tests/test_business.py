@@ -180,15 +180,6 @@ def test_erosion_raises_no_share(spark):
     assert N.erosion_impact(N.erosion(df, 8)).first()["impact_pct"] > 0
 
 
-def test_gates(spark):
-    df = spark.createDataFrame([("failed", 0.9), ("success", 0.1), ("success", 0.3), ("partial", 0.9), ("success", 0.9)], "s string, c double")
-    assert [r[0] for r in df.select(G.gate(F.col("s"), F.col("c"))).collect()] == ["block", "isolate", "degrade", "degrade", "pass"]
-    caps = [r[0] for r in spark.createDataFrame([(0.1,), (0.25,), (0.35,), (0.9,)], "i double").select(G.final_cap(F.lit(0.8), F.col("i"))).collect()]
-    assert caps == [0.25, 0.30, 0.35, 0.8]
-    guard = spark.range(1).select(G.forecast_guardrail(F.lit("ok"), F.lit(12), F.lit("robust"), F.lit(0.2), F.lit(0.9), F.lit("low"))).first()[0]
-    assert guard == "fit"
-
-
 def test_dimension_shares_ignore_losses(spark):
     df = spark.createDataFrame([("d", "a", 30.0), ("d", "b", 10.0), ("d", "c", -5.0)], "dimension string, name string, total double")
     got = {r["name"]: (r["share"], r["place"]) for r in A.with_shares(df, ["dimension"]).collect()}

@@ -79,11 +79,34 @@ def test_exports(spark):
         jobs.export_rows(maps, "everything")
 
 
-def test_risk_with_snapshots_holds_back(spark):
-    rows = [("thin", None, None, None, None, None), ("full", 60, -0.5, 0.5, -0.5, True)]
-    df = spark.createDataFrame(rows, "entity string, risk_score int, growth double, decay double, worst_growth double, forecast_ok boolean")
-    got = {r["entity"]: (r["dimensions"], r["score"], r["level"]) for r in X.risk_with_snapshots(df).collect()}
-    assert got == {"thin": (0, 50.0, "moderate"), "full": (5, 75.0, "high")}
+def test_risk_with_snapshots(spark):
+    """Nothing at all, cohorts only, growth standing in for a forecast, and a forecast met by growth and scenarios."""
+    cols = "entity string, confidence double, forecast boolean, slope double, deviation double, acceleration double, revenue_delta double, churn_delta double, short_growth double, mid_growth double, long_growth double, trend_acceleration double, best_growth double, worst_growth double, cohort_acceleration double"
+    rows = [
+        ("none", 0.9, False, *[None] * 12),
+        ("cohort", 0.5, False, *[None] * 11, 0.4),
+        ("growth", 0.9, None, None, None, None, None, None, -0.4, -0.2, 0.1, -0.3, None, None, 0.1),
+        ("full", 0.9, True, -0.6, 0.1, 0.0, 0.1, 0.2, -0.4, -0.2, 0.1, -0.3, 0.3, -0.5, 0.9),
+    ]
+    got = {r["entity"]: (r["source"], r["dimensions"], r["risk_score"], round(r["confidence"], 6)) for r in X.risk_with_snapshots(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {
+        # Half of 25 points for growth and for churn, doubled without a forecast.
+        "none": ("insufficient_data", 0, 50, 0.4),
+        # 12.5 + 12.5 + 15 x 0.4 of acceleration.
+        "cohort": ("cohort_proxy", 1, 31, 0.1),
+        # 17.5 + 12.5 + 20 x 0.2 + 15 x 0.5 + 15 x 0.3.
+        "growth": ("growth_cohort_proxy", 3, 46, 0.9),
+        # 17.5 + 15 + 20 x 0.4 + 15 x 0.8 + 15 x 0.3.
+        "full": ("forecast", 4, 57, 0.9),
+    }
+
+
+def test_data_quality(spark):
+    parts = spark.createDataFrame([("e", "kpi", "success", 0.8), ("e", "risk", "failed", 0.7), ("e", "growth", "skipped", 0.6), ("e", "cohort", "insufficient_data", 0.5), ("f", "kpi", None, 0.4)], "entity string, component string, status string, confidence double")
+    q = X.data_quality(parts)
+    assert {(r["entity"], r["component"], r["state"], r["confidence"]) for r in q.collect()} == {
+        ("e", "kpi", "available", 0.8), ("e", "risk", "unavailable", 0.0), ("e", "growth", "unavailable", 0.0), ("e", "cohort", "partial", 0.5), ("f", "kpi", "available", 0.4)}
+    assert {r["entity"]: (r["components"], r["missing"]) for r in X.missing_components(q).collect()} == {"e": (4, ["growth", "risk"]), "f": (1, [])}
 
 
 def test_macro_context_means(spark, series):

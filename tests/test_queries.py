@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime
 import decimal
 import math
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -42,6 +44,11 @@ def order(row):
     return tuple((x is None, str(type(x)), round(x, 3) if isinstance(x, float) else x) for x in row)
 
 
+def test_queries_are_named_without_a_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, sf_dir, duck, name):
     df = QUERIES[name](spark, sf_dir)

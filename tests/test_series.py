@@ -108,8 +108,93 @@ def test_binary_segmentation_finds_steps(series):
     rnd = random.Random(1)
     xs = [rnd.gauss(0, 0.3) for _ in range(20)] + [rnd.gauss(6, 0.3) for _ in range(20)] + [rnd.gauss(-4, 0.3) for _ in range(20)]
     assert S.binary_segmentation(series({"m": xs})).first()["changepoints"] == [20, 40]
-    r = S.changepoints(series({"m": xs})).first()
-    assert {20, 40} <= set(r["changepoints"]) and r["confirmed"] == 0  # sums need a few points more to react
+
+
+def error(x):
+    return sum((v - sum(x) / len(x)) ** 2 for v in x) if x else 0.0
+
+
+def plain_segmentation(x):
+    """By definition: the best split of a part, then its left side, then its right."""
+    found = []
+
+    def cut(lo, hi):
+        if len(found) >= 5 or hi - lo < 8 or error(x[lo:hi]) < 1e-9:
+            return
+        whole = error(x[lo:hi])
+        best, at = max(((whole - error(x[lo:k]) - error(x[k:hi]) - 2 * math.log(hi - lo)) / whole, -k) for k in range(lo + 4, hi - 3))
+        if best >= 0.15:
+            found.append(-at)
+            cut(lo, -at)
+            cut(-at, hi)
+
+    cut(0, len(x))
+    return sorted(found)
+
+
+def plain_cusum(x):
+    m, up, down, hits = sum(x) / len(x), 0.0, 0.0, []
+    sigma = math.sqrt(error(x) / len(x))
+    for i in range(1, len(x)):
+        up, down = max(0.0, up + x[i] - m), min(0.0, down + x[i] - m)
+        if max(up, -down) > 4 * sigma:
+            up = down = 0.0
+            if not hits or i - hits[-1] >= 4:
+                hits.append(i)
+    return hits[:5] if len(x) >= 8 and sigma > 1e-9 else []
+
+
+def stepped(rnd, n):
+    """Small steps, a slope now and then, noise."""
+    level, out, slope = 0.0, [], rnd.choice([0, 0, 0.05])
+    for i in range(n):
+        if rnd.random() < 0.12:
+            level += rnd.choice([-1, 1]) * rnd.choice([0.5, 1, 2, 4])
+        out.append(level + slope * i + rnd.gauss(0, 0.4))
+    return out
+
+
+def test_change_points_by_definition(series):
+    rnd = random.Random(7)
+    data = {f"m{k}": stepped(rnd, rnd.choice([6, 7, 8, 9, 15, 30, 60, 90])) for k in range(60)}
+    df = series(data)
+    b = {r["metric"]: r["changepoints"] for r in S.binary_segmentation(df).collect()}
+    c = {r["metric"]: r["changepoints"] for r in S.two_sided_cusum(df).collect()}
+    assert b == {m: plain_segmentation(x) for m, x in data.items()} and sum(len(x) == 5 for x in b.values()) >= 3
+    assert c == {m: plain_cusum(x) for m, x in data.items()} and any(c.values())
+    want = set()
+    for m, x in data.items():
+        kept = []
+        for i in sorted({*b[m], *c[m]}):
+            if not kept or i - kept[-1] >= 2:
+                kept.append(i)
+        for i in kept:
+            near = [any(abs(i - j) <= 2 for j in found[m]) for found in (c, b)]
+            left, right = x[max(0, i - 4) : i], x[i : i + 4]
+            want.add((m, i, *near, all(near), round(sum(right) / len(right) - sum(left) / len(left), 6)))
+    got = {(r["metric"], r["at"], r["cusum"], r["segmentation"], r["confirmed"], round(r["shift"], 6)) for r in S.changepoints(df).collect()}
+    assert got == want and {g[4] for g in got} == {True, False}
+
+
+def test_structural_break_by_definition(series):
+    rnd = random.Random(8)
+    data = {f"m{k}": [20 * v for v in stepped(rnd, rnd.choice([11, 12, 20, 40]))] for k in range(40)}
+    got = {r["metric"]: r for r in S.structural_break(series(data)).collect()}
+    for m, x in data.items():
+        n = len(x)
+        if n < 12:
+            assert m not in got
+            continue
+        at = [i - (n - 1) / 2 for i in range(n)]
+        slope = sum(a * v for a, v in zip(at, x, strict=True)) / sum(a * a for a in at)
+        r = [v - sum(x) / n - slope * a for a, v in zip(at, x, strict=True)]
+        sigma = math.sqrt(error(r) / n)
+        mean = lambda part: sum(part) / len(part)
+        score, cut = max((abs(mean(r[k:]) - mean(r[:k])) / sigma, -k) for k in range(6, n - 5))
+        shift = abs(mean(x[-cut:]) - mean(x[:-cut]))
+        assert (got[m]["break_at"], got[m]["is_break"]) == (-cut, score >= 0.95 and shift >= 5)
+        assert got[m]["score"] == pytest.approx(score) and got[m]["shift"] == pytest.approx(shift)
+    assert {r["is_break"] for r in got.values()} == {True, False}
 
 
 def test_merge_nearby(spark):
