@@ -17,7 +17,8 @@ GUARD = 1e-9
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """x held to low..high; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def safe_divide(a: Column, b: Column) -> Column:

@@ -32,8 +32,19 @@ def geometric_mean(*scores: Column) -> Column:
     return F.exp(sum(logs[1:], logs[0]) / len(scores))
 
 
-def series_confidence(df: DataFrame, keys=KEYS) -> DataFrame:
-    """Per series: the four component scores, their geometric mean (0 below three points), and the signal pattern."""
+def signal_directions(signals: DataFrame, keys=KEYS) -> DataFrame:
+    """Per keys: how many signals are known, positive and negative."""
+    v = F.col("value")
+    return signals.groupBy(*keys).agg(F.count(v).alias("known"), F.count_if(v > GUARD).alias("positive"), F.count_if(v < -GUARD).alias("negative"))
+
+
+def series_confidence(df: DataFrame, keys=KEYS, signals: DataFrame | None = None) -> DataFrame:
+    """Per series: the four component scores, their geometric mean (0 below three points), and the signal pattern.
+
+    signals: keys, signal, value. Signals of both directions lower the
+    consistency, and the pattern is then `conflicting_indicators`; without
+    signals a series is consistent.
+    """
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     i = F.row_number().over(Window.partitionBy(*keys).orderBy("seq")) - 1
     marked = anomaly_flags(detrended(df, keys), keys).withColumns({"__n": n, "__i": i})
@@ -48,15 +59,23 @@ def series_confidence(df: DataFrame, keys=KEYS) -> DataFrame:
         F.avg(F.when(F.col("__i") >= F.col("__n") - third, F.col("value"))).alias("__late"),
     )
     a = a.withColumns({"depth": depth_score(F.col("n")), "volatility": volatility_score(F.col("cv")), "anomaly": anomaly_score(F.col("n"), F.col("outliers"))})
-    conf = F.when(F.col("depth") == 0, F.lit(0.0)).otherwise(clip(geometric_mean(F.col("depth"), F.col("volatility"), F.col("anomaly"), F.lit(1.0)), 0.0, 1.0))
+    if signals is None:
+        a = a.withColumns({"conflicts": F.lit(0).cast("long"), "consistency": F.lit(1.0)})
+    else:
+        a = a.join(signal_directions(signals, keys), list(keys), "left")
+        none = F.lit(0).cast("long")
+        up, down, known = (F.coalesce(c, none) for c in ("positive", "negative", "known"))
+        a = a.withColumns({"conflicts": F.when(known < 2, none).otherwise(up * down), "consistency": consistency_score(up, down, known=known)}).drop("positive", "negative", "known")
+    conf = F.when(F.col("depth") == 0, F.lit(0.0)).otherwise(clip(geometric_mean(F.col("depth"), F.col("volatility"), F.col("anomaly"), F.col("consistency")), 0.0, 1.0))
     volatile = (F.col("cv") > 0.15) | (F.col("volatility") < 0.85)
     up, down = F.col("__late") > F.col("__early"), F.col("__late") < F.col("__early")
     pattern = (
         F.when(F.col("n") < 3, "insufficient_data")
+        .when(F.col("conflicts") > 0, "conflicting_indicators")
         .when(F.col("recent_outliers") > 0, "sudden_spike")
         .when(up & ~volatile, "stable_growth").when(up, "volatile_growth").when(down & ~volatile, "stable_decline").when(down, "volatile_decline").otherwise("neutral")
     )
-    return a.select(*keys, "n", "cv", "outliers", "depth", "volatility", "anomaly", conf.alias("confidence"), pattern.alias("pattern"))
+    return a.select(*keys, "n", "cv", "outliers", "depth", "volatility", "anomaly", "consistency", conf.alias("confidence"), pattern.alias("pattern"))
 
 
 def propagated(model: Column, dataset: Column, upstream: Column, weakest: Column | None = None) -> Column:
@@ -166,10 +185,9 @@ def forecast_layer(status: Column, points: Column, r_squared: Column, confidence
     under 0.10 (score: the fit) or, under 0.5, for a direction against the KPIs'
     growth, degraded for a fit under 0.30.
     """
-    unit = lambda x: F.when(x.isNotNull(), clip(x, 0.0, 1.0))
-    fit = unit(r_squared)
+    fit = clip(r_squared, 0.0, 1.0)
     own = log_saturating(points) * F.coalesce(fit, F.lit(1.0)) / (1 + F.ln(1 + F.greatest(F.coalesce(horizon, F.lit(3)), F.lit(0)).cast("double")))
-    score = F.coalesce(unit(confidence), own)
+    score = F.coalesce(clip(confidence, 0.0, 1.0), own)
     against = (F.signum(slope) * F.signum(growth) < 0) & (F.coalesce(fit, F.lit(1.0)) < 0.5)
     zero, of = F.lit(0.0), lambda s, g, why: _layer(s, F.lit(g), F.lit(why))
     return (

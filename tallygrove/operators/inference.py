@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallygrove.functions.likeness import likeness
 from tallygrove.sources.packs import PACKS
 
 # Metrics that are typical of a business type.
@@ -53,8 +54,8 @@ def _terms(kind: str) -> list[str]:
 
 
 def semantic_score(terms: Column, kind: str, least: float = 0.75) -> Column:
-    """Share of the pack's vocabulary that some term of the dataset equals or nearly equals (by edit distance)."""
-    near = lambda a, b: 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)) >= least
+    """Share of the pack's vocabulary that some term of the dataset is like, from a likeness of `least` on."""
+    near = lambda a, b: likeness(a, b) >= least
     want = F.array(*map(F.lit, _terms(kind)))
     return F.size(F.filter(want, lambda t: F.exists(terms, lambda d: near(d, t)))) / float(len(_terms(kind)))
 

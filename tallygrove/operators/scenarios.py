@@ -129,27 +129,49 @@ def competitor_growth(df: DataFrame, rates: str, horizon: int) -> DataFrame:
     return q.withColumn("rate", rate_closed(rate)).drop(rates)
 
 
-def market_share(clients: DataFrame, competitors: DataFrame, scenario: str = "base", entrant: float = 0.0, expansion: float = 0.0) -> DataFrame:
+def market_share(clients: DataFrame, competitors: DataFrame, industry: DataFrame, scenario: str = "base", entrant: float = 0.0, expansion: float = 0.0) -> DataFrame:
     """Client share and rank per quarter.
 
     clients: client, quarter, revenue. competitors: client, competitor, quarter,
-    start, rate. The industry is at least the sum of its members, and an entrant
-    takes a part of the industry's expansion.
+    rate. industry: client, industry (its size; the first revenue is a tenth of
+    it where neither is positive). What the client leaves of the industry is
+    split evenly among the competitors, who then grow; the industry expands and
+    an entrant takes a part of it; the market is the industry, or its members
+    where they are more. Equal revenues do not outrank the client.
     """
     kc, kg, ke, kn = ASSUMPTIONS[scenario]
+    own = clients.select("client", "quarter", (F.greatest("revenue", F.lit(0.0)) * kc).alias("own"))
+    first = own.groupBy("client").agg(F.min_by("own", "quarter").alias("__o")).join(industry, "client")
+    size = F.greatest(F.coalesce("industry", F.lit(0.0)), F.lit(0.0))
+    whole = F.greatest(size, F.col("__o"))
+    whole = F.when(whole > 0, whole).otherwise(1.0)
+    first = first.select("client", size.alias("__size"), F.greatest(F.lit(0.0), whole - F.col("__o")).alias("__pool"))
     w = Window.partitionBy("client", "competitor").orderBy("quarter").rowsBetween(Window.unboundedPreceding, 0)
-    level = F.col("start") * F.exp(F.sum(F.ln(1 + F.greatest(F.col("rate") * kg, F.lit(-0.95)))).over(w))
-    rivals = competitors.withColumn("level", level)
-    own = clients.select("client", "quarter", (F.col("revenue") * kc).alias("own"))
-    joined = rivals.join(own, ["client", "quarter"])
-    a = joined.groupBy("client", "quarter", "own").agg(F.sum("level").alias("rivals"), F.count(F.when(F.round("level", 9) > F.round("own", 9), 1)).alias("__above"))
-    entering = entrant * kn * F.pow(F.lit(1 + expansion * ke), F.col("quarter")) * F.col("rivals")
-    a = a.withColumn("entrant", entering)
-    total = F.col("own") + F.col("rivals") + F.col("entrant")
-    rank = 1 + F.col("__above") + F.when(F.round("entrant", 9) > F.round("own", 9), 1).otherwise(0)
-    out = a.select("client", "quarter", F.try_divide("own", total).alias("share"), rank.alias("rank"))
-    first = F.first("share").over(Window.partitionBy("client").orderBy("quarter").rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("share_change", F.col("share") - first)
+    grown = F.exp(F.sum(F.ln(1 + F.greatest(F.col("rate") * kg, F.lit(-0.95)))).over(w))
+    rivals = competitors.withColumn("__g", grown).join(own, ["client", "quarter"]).join(first, "client")
+    n = F.count(F.lit(1)).over(Window.partitionBy("client", "quarter"))
+    rivals = rivals.withColumn("level", F.col("__g") * F.col("__pool") / n)
+    met = rivals.groupBy("client", "quarter").agg(F.sum("level").alias("rivals"), F.count_if(F.round("level", 9) > F.round("own", 9)).alias("__above"))
+    a = own.join(first, "client").join(met, ["client", "quarter"], "left")
+    a = a.withColumn("__size", F.col("__size") * F.pow(F.lit(1 + expansion * ke), F.col("quarter")))
+    a = a.withColumns({"rivals": F.coalesce("rivals", F.lit(0.0)), "entrant": max(0.0, entrant * kn) * F.col("__size")})
+    market = F.greatest(F.col("__size"), F.col("own") + F.col("rivals") + F.col("entrant"))
+    rank = 1 + F.coalesce("__above", F.lit(0)) + F.when(F.round("entrant", 9) > F.round("own", 9), 1).otherwise(0)
+    out = a.select("client", "quarter", F.when(market > GUARD, F.col("own") / market).alias("share"), rank.alias("rank"), (F.col("entrant") > 0).alias("__e"))
+    start = F.first("share").over(Window.partitionBy("client").orderBy("quarter").rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumns({"share_change": F.col("share") - start, "entrant_active": F.max("__e").over(Window.partitionBy("client"))}).drop("__e")
+
+
+def competitive_shift(shares: DataFrame, competitors: DataFrame, rank_weight: float = 0.5, share_weight: float = 0.5) -> DataFrame:
+    """Per client of market_share(): share change in points, and half the ranks gained over the rivals plus half the relative share change."""
+    n = competitors.groupBy("client").agg(F.count_distinct("competitor").alias("__n"))
+    a = shares.groupBy("client").agg(
+        F.min_by("share", "quarter").alias("__s0"), F.max_by("share", "quarter").alias("__s1"), F.min_by("rank", "quarter").alias("__r0"), F.max_by("rank", "quarter").alias("__r1"),
+        F.max(F.col("entrant_active").cast("int")).alias("__e"),
+    )
+    rivals = F.greatest(F.lit(1), F.coalesce("__n", F.lit(0)) + F.col("__e"))
+    index = rank_weight * (F.col("__r0") - F.col("__r1")) / rivals + share_weight * (F.col("__s1") - F.col("__s0")) / F.greatest(F.abs("__s0"), F.lit(GUARD))
+    return a.join(n, "client", "left").select("client", ((F.col("__s1") - F.col("__s0")) * 100).alias("share_delta"), index.alias("shift_index"))
 
 
 def scenario_grid(df: DataFrame, periods: int = 1, low: float = 0.2, high: float = 1.0) -> DataFrame:

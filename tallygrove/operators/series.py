@@ -538,8 +538,8 @@ def granger(df: DataFrame, max_lag: int = 4, least: int = 12) -> DataFrame:
 
 
 # Survival.
-def kaplan_meier(df: DataFrame, keys, duration: str = "duration", observed: str = "observed") -> DataFrame:
-    """A row per group and event time: at_risk, events, survival and Greenwood's 95% bounds."""
+def survival_curve(df: DataFrame, keys, duration: str = "duration", observed: str = "observed") -> DataFrame:
+    """A row per group and time, of events or not: at_risk, events, survival and Greenwood's 95% bounds."""
     n = F.sum("__c").over(Window.partitionBy(*keys))
     t = df.groupBy(*keys, duration).agg(F.count(F.lit(1)).alias("__c"), F.sum(F.col(observed).cast("int")).alias("events"))
     w = Window.partitionBy(*keys).orderBy(duration)
@@ -553,7 +553,12 @@ def kaplan_meier(df: DataFrame, keys, duration: str = "duration", observed: str
     var = F.sum(F.try_divide(F.col("events").cast("double"), F.col("at_risk") * (F.col("at_risk") - F.col("events")))).over(upto)
     out = t.withColumns({"survival": s, "__var": F.coalesce(var, F.lit(0.0))})
     half = 1.96 * F.col("survival") * F.sqrt("__var")
-    return out.where("events > 0").select(*keys, duration, "at_risk", "events", "survival", clip(F.col("survival") - half, 0.0, 1.0).alias("lower"), clip(F.col("survival") + half, 0.0, 1.0).alias("upper"))
+    return out.select(*keys, duration, "at_risk", "events", "survival", clip(F.col("survival") - half, 0.0, 1.0).alias("lower"), clip(F.col("survival") + half, 0.0, 1.0).alias("upper"))
+
+
+def kaplan_meier(df: DataFrame, keys, duration: str = "duration", observed: str = "observed") -> DataFrame:
+    """The rows of survival_curve() at event times."""
+    return survival_curve(df, keys, duration, observed).where("events > 0")
 
 
 def median_survival(km: DataFrame, keys, duration: str = "duration") -> DataFrame:
@@ -561,24 +566,39 @@ def median_survival(km: DataFrame, keys, duration: str = "duration") -> DataFram
     return km.groupBy(*keys).agg(F.min(F.when(F.col("survival") <= 0.5, F.col(duration))).alias("median"))
 
 
+def restricted_mean(df: DataFrame, keys, duration: str = "duration", observed: str = "observed") -> DataFrame:
+    """Per group: the area under the survival curve from 1 at time 0 over all times, of events or not, by trapezoids."""
+    w = Window.partitionBy(*keys).orderBy(duration)
+    curve = survival_curve(df, keys, duration, observed)
+    wide = F.col(duration) - F.coalesce(F.lag(duration).over(w), F.lit(0))
+    area = wide * (F.col("survival") + F.coalesce(F.lag("survival").over(w), F.lit(1.0))) / 2
+    return curve.withColumn("__a", area).groupBy(*keys).agg(F.sum("__a").alias("mean_survival"))
+
+
 def retention_survival(df: DataFrame, keys, retention: str = "retention") -> DataFrame:
-    """Survival scaled to its first value, hazard and cumulative hazard of a retention curve by seq."""
+    """Survival scaled to its first value, hazard and cumulative hazard (-ln of survival) of a retention curve by seq."""
     w = along(keys)
     first = F.first(retention).over(w.rowsBetween(Window.unboundedPreceding, 0))
     scaled = df.withColumn("survival", clip(F.try_divide(F.col(retention), first), 0.0, 1.0))
     before = F.lag("survival").over(w)
     hazard = F.when(before > GUARD, F.greatest(F.lit(0.0), 1 - F.try_divide("survival", before))).otherwise(F.lit(0.0))
     out = scaled.withColumn("hazard", F.when(before.isNull(), F.lit(0.0)).otherwise(hazard))
-    return out.withColumn("cumulative_hazard", F.sum("hazard").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return out.withColumn("cumulative_hazard", -F.ln(F.greatest("survival", F.lit(GUARD))))
 
 
 def hazard_trend(df: DataFrame, keys) -> DataFrame:
-    """Mean hazard of the last third less that of the first third: rising or falling beyond 0.02."""
-    n, i = F.count(F.lit(1)).over(whole(keys)), F.row_number().over(along(keys))
-    third = F.greatest(F.floor(n / 3), F.lit(1))
-    part = df.withColumn("__p", F.when(i <= third, 0).when(i > n - third, 2).otherwise(1))
-    d = part.groupBy(*keys).agg((F.avg(F.when(F.col("__p") == 2, F.col("hazard"))) - F.avg(F.when(F.col("__p") == 0, F.col("hazard")))).alias("change"))
-    return d.withColumn("trend", F.when(F.col("change") > 0.02, "rising").when(F.col("change") < -0.02, "falling").otherwise("stable"))
+    """Mean hazard of the last third of the periods after the first less that of the first third: increasing or decreasing beyond 0.02.
+
+    Fewer than three such periods are too little data.
+    """
+    later = df.withColumn("__i", F.row_number().over(along(keys)) - 1).where("__i > 0")
+    later = later.withColumn("__n", F.count(F.lit(1)).over(whole(keys)))
+    third = F.greatest(F.floor(F.col("__n") / 3), F.lit(1))
+    part = later.withColumn("__p", F.when(F.col("__i") <= third, 0).when(F.col("__i") > F.col("__n") - third, 2).otherwise(1))
+    late, early = (F.avg(F.when(F.col("__n") >= 3, F.when(F.col("__p") == p, F.col("hazard")))) for p in (2, 0))
+    d = part.groupBy(*keys).agg((late - early).alias("change"))
+    trend = F.when(F.col("change").isNull(), "insufficient_data").when(F.col("change") > 0.02, "increasing").when(F.col("change") < -0.02, "decreasing").otherwise("stable")
+    return d.withColumn("trend", trend)
 
 
 def synthetic_retention(churn: Column, periods: int = 12) -> Column:

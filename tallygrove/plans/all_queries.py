@@ -7,6 +7,7 @@ from tallygrove.plans import (  # noqa: F401
     context_queries,
     ingest_queries,
     kpi_queries,
+    landed_queries,
     scan_queries,
     scenario_queries,
     scoring_queries,

@@ -111,31 +111,49 @@ SELECT entity, round(max(CASE WHEN metric = 'recurring_revenue' THEN greatest(0,
 
 def _rivals(s: DataFrame) -> DataFrame:
     """Three competitors per client with rates that are shorter than the horizon or percentages."""
-    names = F.array(*(F.struct(F.lit(n).alias("competitor"), F.lit(k).alias("k"), F.array(*map(F.lit, rates)).alias("rates")) for n, k, rates in (("a", 0.8, [0.02]), ("b", 1.1, [2.0, 3.0]), ("c", 0.5, [0.1, 0.05, -0.02]))))
-    x = _clients(s).select("client", "last_value", F.inline(names)).withColumn("start", F.col("last_value") * F.col("k"))
-    return N.competitor_growth(x, "rates", 8)
+    names = F.array(*(F.struct(F.lit(n).alias("competitor"), F.array(*map(F.lit, rates)).alias("rates")) for n, rates in (("a", [0.02]), ("b", [2.0, 3.0]), ("c", [0.1, 0.05, -0.02]))))
+    return N.competitor_growth(_clients(s).select("client", F.inline(names)), "rates", 8)
+
+
+def _industry(s: DataFrame) -> DataFrame:
+    """Two to six times a client's revenue, or nothing."""
+    return _clients(s).select("client", (F.col("last_value") * F.when(F.substring("client", 8, 10).cast("int") % 6 == 0, 0).otherwise(1 + F.substring("client", 8, 10).cast("int") % 6)).alias("industry"))
+
+
+def _shares(s: DataFrame, scenario: str) -> DataFrame:
+    return N.market_share(_projected(s).select("client", "quarter", "revenue"), _rivals(s), _industry(s), scenario, 0.15, 0.02)
 
 
 _RIV = _PROJ + """
-, cm(c, k, r1, r2, r3) AS (VALUES ('a', 0.8, 0.02, 0.02, 0.02), ('b', 1.1, 0.02, 0.03, 0.03), ('c', 0.5, 0.1, 0.05, -0.02))
-, rq AS (SELECT client, c, last_value * k::DOUBLE AS start, q AS quarter, (CASE q WHEN 1 THEN r1 WHEN 2 THEN r2 ELSE r3 END)::DOUBLE AS rate FROM cl, cm, range(1, 9) t(q))"""
+, cm(c, r1, r2, r3) AS (VALUES ('a', 0.02, 0.02, 0.02), ('b', 0.02, 0.03, 0.03), ('c', 0.1, 0.05, -0.02))
+, rq AS (SELECT client, c, q AS quarter, (CASE q WHEN 1 THEN r1 WHEN 2 THEN r2 ELSE r3 END)::DOUBLE AS rate FROM cl, cm, range(1, 9) t(q))"""
 register(
     "competitor_growth_paths",
-    on_series(lambda s: _rivals(s).select("client", "competitor", "quarter", "start", "rate")),
-    with_series(_RIV + "\nSELECT client, c AS competitor, quarter, round(start, 6) AS start, round(rate, 6) AS rate FROM rq"),
+    on_series(lambda s: _rivals(s).select("client", "competitor", "quarter", "rate")),
+    with_series(_RIV + "\nSELECT client, c AS competitor, quarter, round(rate, 6) AS rate FROM rq"),
 )
-for _sc, (_kc, _kg, _ke, _kn) in N.ASSUMPTIONS.items():
+_SHARE = _RIV + """
+, ow AS (SELECT client, quarter, greatest(revenue, 0) * {0}::DOUBLE AS own FROM pj)
+, fi AS (SELECT client, last_value * CASE WHEN CAST(substr(client, 8) AS INT) % 6 = 0 THEN 0 ELSE 1 + CAST(substr(client, 8) AS INT) % 6 END AS size, arg_min(own, quarter) AS o FROM ow JOIN cl USING (client) GROUP BY client, last_value)
+, po AS (SELECT *, greatest(0, CASE WHEN greatest(size, o) > 0 THEN greatest(size, o) ELSE 1 END - o) AS pool FROM fi)
+, lv AS (SELECT client, quarter, pool / 3 * exp(sum(ln(1 + greatest(rate * {1}::DOUBLE, -0.95))) OVER (PARTITION BY client, c ORDER BY quarter ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS level FROM rq JOIN po USING (client))
+, ag AS (SELECT client, quarter, any_value(own) AS own, sum(level) AS rivals, count(CASE WHEN round(level, 9) > round(own, 9) THEN 1 END) AS above, any_value(size) * pow(1 + 0.02::DOUBLE * {2}::DOUBLE, quarter) AS size FROM lv JOIN ow USING (client, quarter) JOIN po USING (client) GROUP BY client, quarter)
+, en AS (SELECT *, 0.15::DOUBLE * {3}::DOUBLE * size AS entrant FROM ag)
+, sh AS (SELECT client, quarter, own / greatest(size, own + rivals + entrant) AS share, 1 + above + CASE WHEN round(entrant, 9) > round(own, 9) THEN 1 ELSE 0 END AS rank, max(entrant) OVER (PARTITION BY client) > 0 AS active FROM en)"""
+for _sc, _k4 in N.ASSUMPTIONS.items():
     register(
         f"market_share_{_sc}",
-        on_series(lambda s, sc=_sc: N.market_share(_projected(s).select("client", "quarter", "revenue"), _rivals(s), sc, 0.05, 0.02)),
-        with_series(_RIV + f"""
-, lv AS (SELECT *, start * exp(sum(ln(1 + greatest(rate * {_kg}::DOUBLE, -0.95))) OVER (PARTITION BY client, c ORDER BY quarter ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS level FROM rq)
-, ow AS (SELECT client, quarter, revenue * {_kc}::DOUBLE AS own FROM pj)
-, ag AS (SELECT client, quarter, any_value(own) AS own, sum(level) AS rivals, count(CASE WHEN round(level, 9) > round(own, 9) THEN 1 END) AS above FROM lv JOIN ow USING (client, quarter) GROUP BY client, quarter)
-, en AS (SELECT *, 0.05::DOUBLE * {_kn}::DOUBLE * pow(1 + 0.02::DOUBLE * {_ke}::DOUBLE, quarter) * rivals AS entrant FROM ag)
-, sh AS (SELECT client, quarter, own / (own + rivals + entrant) AS share, 1 + above + CASE WHEN round(entrant, 9) > round(own, 9) THEN 1 ELSE 0 END AS rank FROM en)
-SELECT client, quarter, round(share, 6) AS share, rank, round(share - first_value(share) OVER (PARTITION BY client ORDER BY quarter), 6) AS share_change FROM sh"""),
+        on_series(lambda s, sc=_sc: _shares(s, sc)),
+        with_series(_SHARE.format(*_k4) + """
+SELECT client, quarter, round(share, 6) AS share, rank, round(share - first_value(share) OVER (PARTITION BY client ORDER BY quarter), 6) AS share_change, active AS entrant_active FROM sh"""),
     )
+register(
+    "competitive_shift_index",
+    on_series(lambda s: N.competitive_shift(_shares(s, "aggressive"), _rivals(s))),
+    with_series(_SHARE.format(*N.ASSUMPTIONS["aggressive"]) + """
+, fl AS (SELECT client, arg_min(share, quarter) AS s0, arg_max(share, quarter) AS s1, arg_min(rank, quarter) AS r0, arg_max(rank, quarter) AS r1, bool_or(active)::INT AS e FROM sh GROUP BY client)
+SELECT client, round((s1 - s0) * 100, 6)::DOUBLE AS share_delta, round(0.5 * (r0 - r1) / (3 + e) + 0.5 * (s1 - s0) / greatest(abs(s0), 1e-9), 6)::DOUBLE AS shift_index FROM fl"""),
+)
 
 
 def _grid(s: DataFrame) -> DataFrame:
@@ -189,6 +207,11 @@ SELECT client, round(d, 6)::DOUBLE AS downside, round(u, 6)::DOUBLE AS upside, r
 )
 
 # Confidence and gates.
+def _k() -> Column:
+    """A number of each entity, so that inputs differ from entity to entity."""
+    return F.substring("entity", 8, 10).cast("int")
+
+
 _CONF = """
 , rs AS (SELECT *, value - (avg(value) OVER w + coalesce(regr_slope(value, seq) OVER w, 0) * (seq - avg(seq) OVER w)) AS residual, quantile_cont(value, 0.25) OVER w AS q1, quantile_cont(value, 0.75) OVER w AS q3, count(*) OVER w AS nn,
     row_number() OVER (PARTITION BY entity, metric ORDER BY seq) - 1 AS i FROM series WINDOW w AS (PARTITION BY entity, metric))
@@ -200,13 +223,33 @@ register(
     "confidence_depth_anomaly",
     on_series(G.series_confidence),
     with_series(_CONF + """
-SELECT entity, metric, n, round(cv, 6) AS cv, outliers, round(depth, 6)::DOUBLE AS depth, round(vol, 6)::DOUBLE AS volatility, round(ano, 6)::DOUBLE AS anomaly,
+SELECT entity, metric, n, round(cv, 6) AS cv, outliers, round(depth, 6)::DOUBLE AS depth, round(vol, 6)::DOUBLE AS volatility, round(ano, 6)::DOUBLE AS anomaly, 1.0::DOUBLE AS consistency,
   round(CASE WHEN depth = 0 THEN 0 ELSE exp((ln(greatest(depth, 1e-9)) + ln(greatest(vol, 1e-9)) + ln(greatest(ano, 1e-9))) / 4) END, 6)::DOUBLE AS confidence,
   CASE WHEN n < 3 THEN 'insufficient_data' WHEN ro > 0 THEN 'sudden_spike' WHEN l > e AND NOT (cv > 0.15 OR vol < 0.85) THEN 'stable_growth' WHEN l > e THEN 'volatile_growth'
     WHEN l < e AND NOT (cv > 0.15 OR vol < 0.85) THEN 'stable_decline' WHEN l < e THEN 'volatile_decline' ELSE 'neutral' END AS pattern FROM sc"""),
 )
 
 
+def _patterned(s: DataFrame) -> DataFrame:
+    """Each series with its changes over one and over three periods, and its slope for some, as signals."""
+    d = W.deltas(s).select("entity", "metric", F.inline(F.array(F.struct(F.lit("mom").alias("signal"), F.col("mom").alias("value")), F.struct(F.lit("qoq").alias("signal"), F.when(_k() % 6 != 0, F.col("qoq")).alias("value")))))
+    return G.series_confidence(s, signals=d).select("entity", "metric", "consistency", "confidence", "pattern")
+
+
+register(
+    "signal_patterns",
+    on_series(_patterned),
+    with_series(_CONF + """
+, dl AS (SELECT entity, metric, (value - lag(value) OVER w) / nullif(abs(lag(value) OVER w), 0) AS m, CASE WHEN CAST(substr(entity, 8) AS INT) % 6 <> 0 THEN (value - lag(value, 3) OVER w) / nullif(abs(lag(value, 3) OVER w), 0) END AS q FROM series WINDOW w AS (PARTITION BY entity, metric ORDER BY seq)
+  QUALIFY row_number() OVER (PARTITION BY entity, metric ORDER BY seq DESC) = 1)
+, cs AS (SELECT *, coalesce(m * q < 0 AND abs(m) > 1e-9 AND abs(q) > 1e-9, false) AS c FROM sc JOIN dl USING (entity, metric))
+SELECT entity, metric, CASE WHEN c THEN 0.85 ELSE 1 END::DOUBLE AS consistency,
+  round(CASE WHEN depth = 0 THEN 0 ELSE exp((ln(greatest(depth, 1e-9)) + ln(greatest(vol, 1e-9)) + ln(greatest(ano, 1e-9)) + ln(CASE WHEN c THEN 0.85 ELSE 1 END::DOUBLE)) / 4) END, 6)::DOUBLE AS confidence,
+  CASE WHEN n < 3 THEN 'insufficient_data' WHEN c THEN 'conflicting_indicators' WHEN ro > 0 THEN 'sudden_spike' WHEN l > e AND NOT (cv > 0.15 OR vol < 0.85) THEN 'stable_growth' WHEN l > e THEN 'volatile_growth'
+    WHEN l < e AND NOT (cv > 0.15 OR vol < 0.85) THEN 'stable_decline' WHEN l < e THEN 'volatile_decline' ELSE 'neutral' END AS pattern FROM cs"""),
+)
+
+
 def _gated(s: DataFrame) -> DataFrame:
     c = G.series_confidence(s).select("entity", "metric", "n", "confidence")
     up = F.avg("confidence").over(W.whole(("entity",)))
@@ -222,11 +265,6 @@ register(
     with_series(_GATED + "\nSELECT entity, metric, n, round(p, 6)::DOUBLE AS confidence FROM pr"),
 )
 
-def _k() -> Column:
-    """A number of each entity, so that inputs differ from entity to entity."""
-    return F.substring("entity", 8, 10).cast("int")
-
-
 _LAYERS = {"recurring_revenue": "kpi", "order_count": "forecast", "active_customer_count": "competitive", "arpu": "cohort"}
 
 

@@ -247,6 +247,13 @@ register(
     on_facts(lambda f: S.median_survival(S.kaplan_meier(_lifetimes(f), ["region"]), ["region"])),
     with_facts(_LIFE + "\nSELECT region, min(CASE WHEN survival <= 0.5 THEN duration END)::BIGINT AS median FROM km GROUP BY region"),
 )
+register(
+    "restricted_mean_survival",
+    on_facts(lambda f: S.restricted_mean(_lifetimes(f), ["region"])),
+    with_facts(_LIFE + """
+, ar AS (SELECT region, (duration - coalesce(lag(duration) OVER w, 0)) * (survival + coalesce(lag(survival) OVER w, 1)) / 2 AS a FROM su WINDOW w AS (PARTITION BY region ORDER BY duration))
+SELECT region, round(sum(a), 6)::DOUBLE AS mean_survival FROM ar GROUP BY region"""),
+)
 register(
     "halves_trend",
     on_series(S.halves_trend),

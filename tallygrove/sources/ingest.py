@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallygrove.functions.likeness import partial_ratio, ratio
+
 # The canonical fields, in mapping order, and other names for them.
 FIELDS = ("source_type", "entity_name", "category", "role", "metric_name", "metric_value", "timestamp", "region", "metadata_json")
 REQUIRED = ("entity_name", "category", "metric_name", "metric_value")
@@ -75,18 +76,18 @@ def normalized(header: str) -> str:
     return "".join(c for c in header.lower() if c.isalnum())
 
 
-def token_ratio(a: str, b: str) -> float:
-    """0..100: likeness of two names, words in any order."""
-    words = lambda s: " ".join(sorted(re.findall(r"[a-z0-9]+", s.lower())))
-    return 100 * SequenceMatcher(None, words(a), words(b)).ratio()
-
-
 def candidates(fld: str, config: dict[str, tuple[str, ...]] | None = None) -> list[str]:
     return [fld, *ALIASES.get(fld, ()), *(config or {}).get(fld, ())]
 
 
-def resolve_mapping(headers: list[str], overrides: dict[str, str] | None = None, config: dict[str, tuple[str, ...]] | None = None, fuzzy: float = 75.0) -> dict[str, str]:
-    """field -> header: override, then exact or alias, then the best fuzzy match; a header is used once."""
+def name_score(header: str, names: list[str]) -> float:
+    """0..100: the best likeness of a header, whole or in part, to a field's names; letters and digits count."""
+    h = normalized(header)
+    return max((max(ratio(normalized(n), h), partial_ratio(normalized(n), h)) for n in names if normalized(n)), default=0.0)
+
+
+def resolve_mapping(headers: list[str], overrides: dict[str, str] | None = None, config: dict[str, tuple[str, ...]] | None = None, fuzzy: float = 80.0) -> dict[str, str]:
+    """field -> header: override, then exact or alias, then the best fuzzy match from `fuzzy` on; a header is used once."""
     used: set[str] = set()
     out: dict[str, str] = {}
     by_norm: dict[str, str] = {}
@@ -106,12 +107,10 @@ def resolve_mapping(headers: list[str], overrides: dict[str, str] | None = None,
     for fld in FIELDS:
         if fld in out:
             continue
-        best, score = None, fuzzy
+        best, score = None, 0.0
         for h in headers:
-            if h in used:
-                continue
-            s = max(token_ratio(h, c) for c in candidates(fld, config))
-            if s > score:
+            s = 0.0 if h in used else name_score(h, candidates(fld, config))
+            if s >= fuzzy and s > score:
                 best, score = h, s
         if best is not None:
             out[fld] = best
@@ -128,7 +127,7 @@ def strict_mapping(headers: list[str], required: tuple[str, ...] = REQUIRED, lea
         alias = [h for h in headers if normalized(h) in {normalized(a) for a in ALIASES[fld]} and h not in used]
         found = (exact[0], 1.0) if exact else (alias[0], 0.99) if alias else None
         if found is None:
-            ranked = sorted(((token_ratio(h, fld), h) for h in headers if h not in used), reverse=True)
+            ranked = sorted(((max(ratio(normalized(c), normalized(h)) for c in candidates(fld)), h) for h in headers if h not in used), reverse=True)
             if ranked and ranked[0][0] >= least:
                 if len(ranked) > 1 and ranked[1][0] >= ranked[0][0] - band:
                     raise IngestError("ambiguous", fld)
@@ -169,7 +168,7 @@ def interpret(df: DataFrame, sample: int = 200) -> list[Interpretation]:
     for fld in FIELDS:
         for i, h in enumerate(df.columns):
             alias = 1.0 if normalized(h) in {normalized(c) for c in candidates(fld)} else 0.0
-            fuzzy = max(token_ratio(h, c) for c in candidates(fld)) / 100
+            fuzzy = name_score(h, candidates(fld)) / 100
             kind = {"metric_value": facts[f"n{i}"], "timestamp": facts[f"d{i}"], "metadata_json": facts[f"j{i}"]}.get(fld, 1 - facts[f"n{i}"])
             fit = {"metric_name": facts[f"s{i}"], "category": 1 - facts[f"c{i}"], "entity_name": 1 - facts[f"c{i}"] / 2, "source_type": 1 - facts[f"c{i}"]}.get(fld, 0.5)
             scored.append((0.45 * alias + 0.25 * fuzzy + 0.20 * kind + 0.10 * fit, fld, h))
@@ -200,7 +199,7 @@ def apply_mapping(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 
 # Rows.
-FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy", "yyyy-MM", "MMM yyyy")
+FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]", "yyyy-MM-dd HH:mm:ss", "yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "dd.MM.yyyy", "yyyy-MM", "MMM yyyy")
 
 
 def parse_timestamp(text: Column) -> Column:

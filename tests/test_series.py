@@ -248,7 +248,9 @@ def test_retention_survival(spark):
     r = S.retention_survival(df, ["g"]).orderBy("seq").collect()
     assert [round(x["survival"], 6) for x in r] == [1.0, 0.5, 0.5, 0.1]
     assert [round(x["hazard"], 6) for x in r] == [0.0, 0.5, 0.0, 0.8]
-    assert S.hazard_trend(S.retention_survival(df, ["g"]), ["g"]).first()["trend"] == "rising"
+    assert [x["cumulative_hazard"] for x in r] == pytest.approx([0.0, math.log(2), math.log(2), math.log(10)])
+    assert S.hazard_trend(S.retention_survival(df, ["g"]), ["g"]).first()["trend"] == "increasing"
+    assert S.hazard_trend(S.retention_survival(df.where("seq < 3"), ["g"]), ["g"]).first()["trend"] == "insufficient_data"
 
 
 def test_synthetic_retention(spark):
