@@ -17,7 +17,7 @@ from tallygrove.streaming import events as E
 def test_mapping_priorities():
     assert I.resolve_mapping(["Company", "KPI", "Amount", "Category", "Date"]) == {
         "entity_name": "Company", "category": "Category", "metric_name": "KPI", "metric_value": "Amount", "timestamp": "Date"}
-    over = I.resolve_mapping(["a", "entity"], {"metric_name": "entity"})
+    over = I.resolve_mapping(["zzz", "entity"], {"metric_name": "entity"})
     assert over["metric_name"] == "entity" and over.get("entity_name") is None
     fuzzy = I.resolve_mapping(["entity names", "metric nam", "metric valu", "categori"])
     assert fuzzy["entity_name"] == "entity names" and fuzzy["category"] == "categori"
