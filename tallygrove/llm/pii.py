@@ -434,9 +434,9 @@ def redact(docs: DataFrame, at_least: float = AT_LEAST) -> DataFrame:
     spark_cols = docs.columns
     keyed = docs.withColumn("__th", F.xxhash64("text"))
     found = find_pii(keyed.select("doc_id", "__th", "text"), at_least, ("doc_id", "__th")).select(
-        F.col("doc_id").alias("__d"), F.col("__th").alias("__t"), "base", "added"
+        F.col("doc_id").alias("__d"), F.col("__th").alias("__t"), F.col("base").alias("__base"), F.col("added").alias("__added")
     )
-    found = found.where("base <> '' or size(added) > 0").dropDuplicates(["__d", "__t"])
+    found = found.where("__base <> '' or size(__added) > 0").dropDuplicates(["__d", "__t"])
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, base: pd.Series, added: pd.Series) -> pd.Series:
@@ -456,4 +456,4 @@ def redact(docs: DataFrame, at_least: float = AT_LEAST) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
-    return joined.withColumn("text", cut("text", "base", "added")).select(*spark_cols)
+    return joined.withColumn("text", cut("text", "__base", "__added")).select(*spark_cols)
