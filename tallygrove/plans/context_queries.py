@@ -149,15 +149,15 @@ UNION ALL SELECT NULL, dimension || ':' || name, 'contributor' FROM p WHERE plac
 )
 register(
     "export_kpi_rows",
-    on_monthly(lambda m: jobs.export_kpis(K.payload_map(K.payload(K.compute(inputs(m), "saas"), "saas")), 200).select("entity", "month", "metric", "unit", "is_valid", "error")),
+    on_monthly(lambda m: jobs.export_kpis(K.payload_map(K.payload(K.compute(inputs(m), "saas"), "saas"))).select("entity", "month", "metric", "unit", "is_valid", "error")),
     with_monthly(_WIN + f"""
 , k AS (SELECT entity, month, {FORMULA_SQL['saas']} FROM win)
-, h AS (SELECT * FROM k ORDER BY month DESC, entity LIMIT 200)
+, h AS (SELECT * FROM k ORDER BY month DESC, entity LIMIT 100000)
 , r AS (SELECT entity, month, unnest(['mrr', 'churn_rate', 'ltv', 'growth_rate']) AS metric, unnest(['value', 'ratio', 'value', 'ratio']) AS unit, unnest([mrr, churn_rate, ltv, growth_rate]) AS v FROM h)
 SELECT entity, month, metric, unit, v IS NOT NULL AS is_valid, CASE WHEN v IS NULL THEN 'division_by_zero' END AS error FROM r"""),
 )
 register(
     "export_records",
-    on_facts(lambda f: jobs.export_rows(f.select("entity", "ts", "id", "value"), "records", "1997-01-01", "1997-06-30", 500)),
-    with_facts("SELECT entity, ts, id, round(value, 6) AS value FROM facts WHERE ts >= TIMESTAMP '1997-01-01' AND ts <= TIMESTAMP '1997-06-30' ORDER BY ts DESC, id DESC LIMIT 500"),
+    on_facts(lambda f: jobs.export_rows(f.select("entity", "ts", "id", "value"), "records", "1997-01-01", "1997-06-30")),
+    with_facts("SELECT entity, ts, id, round(value, 6) AS value FROM facts WHERE ts >= TIMESTAMP '1997-01-01' AND ts <= TIMESTAMP '1997-06-30' ORDER BY ts DESC, id DESC LIMIT 100000"),
 )
