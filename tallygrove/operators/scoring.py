@@ -216,10 +216,11 @@ def kmeans_segments(df: DataFrame, features: tuple[str, ...], k: int = 3, starts
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    scaled = standardized(df, features)
-    points = VectorAssembler(inputCols=list(features), outputCol="__v").transform(scaled).persist()
-    models = [KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="cluster", initMode="k-means||").fit(points) for i in range(starts)]
+    scaled = tuple(f"__z_{c}" for c in features)
+    beside = standardized(df.withColumns({z: F.col(c) for z, c in zip(scaled, features, strict=True)}), scaled)
+    points = VectorAssembler(inputCols=list(scaled), outputCol="__v").transform(beside).drop(*scaled)
+    kept = points.select("__v").persist()  # read by every run
+    models = [KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="cluster", initMode="k-means||").fit(kept) for i in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
-    out = best.transform(points).drop("__v", *features)
-    keys = [c for c in df.columns if c not in features]
-    return df.join(out, keys)
+    kept.unpersist()
+    return best.transform(points).drop("__v")
