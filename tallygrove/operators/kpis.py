@@ -170,7 +170,7 @@ def payload_series(maps: DataFrame) -> DataFrame:
 
 
 def sufficient_inputs(series: DataFrame, business_type: str) -> DataFrame:
-    """Per entity: the pack's required inputs that no alias provides, and whether all are there."""
+    """Per entity: the pack's required inputs that no alias provides, by name, and whether all are there."""
     pack = PACKS[business_type]
     found = F.lit(None).cast("string")
     for canonical, names in pack.aliases().items():

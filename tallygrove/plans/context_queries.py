@@ -13,11 +13,21 @@ from tallygrove.operators import windows as W
 from tallygrove.plans import jobs
 from tallygrove.plans.kpi_queries import _WIN, FORMULA_SQL, inputs
 from tallygrove.plans.registry import on_facts, on_monthly, on_series, register, with_facts, with_monthly, with_series
+from tallygrove.plans.scenario_queries import _CONF
+from tallygrove.plans.window_queries import _SIGNALS_SQL
 
 _S = "PARTITION BY entity, metric ORDER BY seq"
 
 register("timeseries_factors", on_series(X.timeseries_factors))
-register("growth_context", on_series(X.growth_context))
+register(
+    "growth_context",
+    on_series(X.growth_context),
+    with_series(_SIGNALS_SQL.replace(", sig AS", ", gs AS") + _CONF + """
+, lg AS (SELECT * FROM gs QUALIFY row_number() OVER (PARTITION BY entity, metric ORDER BY seq DESC) = 1)
+, cf AS (SELECT entity, metric, CASE WHEN depth = 0 THEN 0 ELSE exp((ln(greatest(depth, 1e-9)) + ln(greatest(vol, 1e-9)) + ln(greatest(ano, 1e-9))) / 4) END * 0.6 + 0.4 AS p FROM sc)
+SELECT entity, metric, round(short_growth, 6) AS short_growth, round(mid_growth, 6) AS mid_growth, round(long_growth, 6) AS long_growth, round(cagr, 6) AS cagr, round(short_growth - 2 * mid_growth + long_growth, 6) AS acceleration,
+  seq >= 3 AS short_ok, seq >= 6 AS mid_ok, seq >= 12 AS long_ok, round(CASE WHEN seq >= 12 THEN p ELSE least(0.65, p * 0.8) END, 6)::DOUBLE AS confidence FROM lg JOIN cf USING (entity, metric)"""),
+)
 register(
     "growth_snapshot",
     on_series(lambda s: X.growth_snapshot(X.growth_context(s), "recurring_revenue")),

@@ -136,10 +136,21 @@ SELECT entity, month, round(coalesce(c, 0.25::DOUBLE), 4) AS churn_rate, round(c
   CASE WHEN c IS NULL THEN 'precomputed' ELSE 'formula' END AS source_churn_rate, CASE WHEN g IS NULL THEN 'precomputed' ELSE 'formula' END AS source_growth_rate,
   CASE WHEN l IS NULL THEN 'precomputed' ELSE 'formula' END AS source_ltv FROM k"""),
 )
+
+
+def _some_inputs(s):
+    """The order count stands for churned customers; entities lack one or both of the others by their number."""
+    k = F.substring("entity", 8, 10).cast("int") % 4
+    name = F.when(F.col("metric") == "order_count", "churned_customer_count").otherwise(F.col("metric"))
+    return s.withColumn("metric", name).where(~((F.col("metric") == "recurring_revenue") & k.isin(1, 3)) & ~((F.col("metric") == "churned_customer_count") & k.isin(2, 3)))
+
+
 register(
     "kpi_input_sufficiency",
-    on_series(lambda s: K.sufficient_inputs(s, "saas")),
-    with_series("SELECT entity, 'churned_customer_count' AS missing, false AS sufficient FROM series GROUP BY entity"),
+    on_series(lambda s: K.sufficient_inputs(_some_inputs(s), "saas")),
+    with_series("""
+, e AS (SELECT DISTINCT entity, CAST(substr(entity, 8) AS INT) % 4 AS k FROM series)
+SELECT entity, CASE k WHEN 1 THEN 'recurring_revenue' WHEN 2 THEN 'churned_customer_count' WHEN 3 THEN 'churned_customer_count,recurring_revenue' ELSE '' END AS missing, k = 0 AS sufficient FROM e"""),
 )
 
 

@@ -57,6 +57,10 @@ def with_series(sql: str) -> str:
     return f"WITH {star.SERIES_SQL}\n{sql}"
 
 
+def with_recursive_series(sql: str) -> str:
+    return f"WITH RECURSIVE {star.SERIES_SQL}\n{sql}"
+
+
 def with_monthly(sql: str) -> str:
     return f"WITH {star.MONTHLY_SQL}\n{sql}"
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.operators import series as S
 from tallygrove.operators import windows as W
-from tallygrove.plans.registry import on_facts, on_series, register, with_facts, with_series
+from tallygrove.plans.registry import on_facts, on_series, register, with_facts, with_recursive_series, with_series
 
 _S = "PARTITION BY entity, metric ORDER BY seq"
 _P = "PARTITION BY entity, metric"
@@ -135,8 +135,32 @@ register(
 , r AS (SELECT *, value - avg(value) OVER (PARTITION BY entity, metric, seq % 12) AS r FROM series)
 SELECT entity, metric, seq FROM r QUALIFY abs(r / greatest(stddev_pop(r) OVER ({_P}), 1e-9)) >= 2.5"""),
 )
-register("cusum_shifts", on_series(S.cusum_shifts))
-register("cusum_changepoints", on_series(S.two_sided_cusum))
+# Sums that start again after each hit are followed value by value.
+_STEPS = """
+, sx AS MATERIALIZED (SELECT entity, metric, seq, value - avg(value) OVER w AS d, 4 * stddev_pop(value) OVER w AS lim, count(*) OVER w AS n FROM series WINDOW w AS (PARTITION BY entity, metric))"""
+register(
+    "cusum_shifts",
+    on_series(lambda s: S.cusum_shifts(s).withColumn("shifts", F.array_join("shifts", ","))),
+    with_recursive_series(_STEPS + """
+, rc AS (
+  SELECT entity, metric, seq, 0::DOUBLE AS s, ''::VARCHAR AS hits FROM sx WHERE seq = 0
+  UNION ALL
+  SELECT x.entity, x.metric, x.seq, CASE WHEN abs(r.s + x.d) >= lim THEN 0 ELSE r.s + x.d END, CASE WHEN abs(r.s + x.d) >= lim THEN hits || CASE WHEN hits = '' THEN '' ELSE ',' END || x.seq ELSE hits END
+  FROM rc r JOIN sx x ON x.entity = r.entity AND x.metric = r.metric AND x.seq = r.seq + 1)
+SELECT entity, metric, CASE WHEN any_value(n) >= 8 AND any_value(lim) > 4e-9 THEN arg_max(hits, seq) ELSE '' END AS shifts FROM rc JOIN sx USING (entity, metric, seq) GROUP BY entity, metric"""),
+)
+register(
+    "cusum_changepoints",
+    on_series(lambda s: S.two_sided_cusum(s).withColumn("changepoints", F.array_join("changepoints", ","))),
+    with_recursive_series(_STEPS + """
+, rc AS (
+  SELECT entity, metric, seq, 0::DOUBLE AS up, 0::DOUBLE AS down, ''::VARCHAR AS hits, -9::BIGINT AS last, 0::BIGINT AS c FROM sx WHERE seq = 0
+  UNION ALL
+  SELECT entity, metric, seq, CASE WHEN h THEN 0 ELSE u END, CASE WHEN h THEN 0 ELSE w END, CASE WHEN k THEN hits || CASE WHEN hits = '' THEN '' ELSE ',' END || seq ELSE hits END, CASE WHEN k OR (h AND seq - last >= 4) THEN seq ELSE last END, c + k::INT
+  FROM (SELECT *, h AND seq - last >= 4 AND c < 5 AS k FROM (SELECT *, u > lim OR w < -lim AS h FROM (
+    SELECT x.entity, x.metric, x.seq, greatest(0, r.up + x.d) AS u, least(0, r.down + x.d) AS w, lim, hits, last, c FROM rc r JOIN sx x ON x.entity = r.entity AND x.metric = r.metric AND x.seq = r.seq + 1))))
+SELECT entity, metric, CASE WHEN any_value(n) >= 8 AND any_value(lim) > 4e-9 THEN arg_max(hits, seq) ELSE '' END AS changepoints FROM rc JOIN sx USING (entity, metric, seq) GROUP BY entity, metric"""),
+)
 register("binary_segmentation", on_series(S.binary_segmentation))
 register("combined_changepoints", on_series(S.changepoints))
 register("ensemble_anomalies", on_series(lambda s: S.ensemble_anomalies(s, period=12)))
@@ -173,7 +197,15 @@ SELECT entity, metric, arg_max(k, p) AS k, round(any_value(n) / arg_max(k, p)::D
 FROM pw GROUP BY entity, metric"""),
 )
 register("seasonality_tests", on_series(S.detect_seasonality))
-register("structural_break", on_series(S.structural_break))
+register(
+    "structural_break",
+    on_series(S.structural_break),
+    with_series(_RESID + f"""
+, c AS (SELECT *, row_number() OVER ({_S}) - 1 AS ln, count(*) OVER ({_P}) AS n, sum(residual) OVER b AS l, sum(residual) OVER ({_P}) AS t, sum(value) OVER b AS rl, sum(value) OVER ({_P}) AS rt, stddev_pop(residual) OVER ({_P}) AS sd
+    FROM res WINDOW b AS ({_S} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+, k AS (SELECT *, abs((t - l) / (n - ln) - l / ln) / greatest(sd, 1e-9) AS score, abs((rt - rl) / (n - ln) - rl / ln) AS d FROM c WHERE ln >= 6 AND n - ln >= 6)
+SELECT entity, metric, seq AS break_at, round(score, 6) AS score, round(d, 6) AS shift, score >= 0.95 AND d >= 5 AS is_break FROM k QUALIFY row_number() OVER ({_P} ORDER BY round(score, 9) DESC, seq) = 1"""),
+)
 register("holt_linear_grid", on_series(S.holt_linear))
 register("holt_winters_grid", on_series(S.holt_winters))
 
