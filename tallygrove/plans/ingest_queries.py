@@ -22,16 +22,16 @@ def raw_rows(spark, sf_dir) -> DataFrame:
         F.when(bad == 2, "  ").otherwise(F.concat(F.lit(" c"), F.col("o_custkey"), F.lit(" "))).alias("entity_name"),
         F.when(bad == 3, "SaaS").otherwise("Retail").alias("category"),
         F.when(bad == 4, "Sales").otherwise("").alias("role"),
-        F.lit("Recurring_Revenue").alias("metric_name"),
+        F.element_at(F.array(F.lit("Recurring_Revenue"), F.lit(" Churn_Rate"), F.lit("New Customers")), (1 + F.col("o_orderkey") % 3).cast("int")).alias("metric_name"),
         F.when(bad == 5, "{bad").when(bad == 6, F.concat(F.lit('{"value": '), F.col("o_orderkey"), F.lit("}"))).otherwise(F.col("o_orderkey").cast("string")).alias("metric_value"),
         F.when((bad == 3) & (F.col("o_orderkey") % 2 == 0), "").when(bad == 7, "no date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("timestamp"),
-        F.lit("EU").alias("region"),
+        F.when(F.col("o_custkey") % 3 > 0, F.concat(F.lit("R"), F.col("o_custkey") % 3)).alias("region"),
         F.when(bad == 8, "[1]").when(bad == 9, '{"a": 1}').otherwise("").alias("metadata_json"),
     )
 
 
 _RAW = """
-WITH raw AS (SELECT o_orderkey AS k, o_orderkey % 11 AS bad, o_custkey AS c, o_orderdate::DATE AS d FROM orders)
+WITH raw AS (SELECT o_orderkey AS k, o_orderkey % 11 AS bad, o_custkey AS c, o_orderdate::DATE AS d, ['recurring_revenue', 'churn_rate', 'new customers'][1 + o_orderkey % 3] AS metric, CASE WHEN o_custkey % 3 > 0 THEN 'R' || (o_custkey % 3) END AS region FROM orders)
 , t AS (SELECT *, CASE WHEN bad = 2 THEN 'required_missing' WHEN bad = 3 AND k % 2 = 0 THEN 'timestamp_required' WHEN bad = 7 THEN 'timestamp_invalid' WHEN bad = 5 THEN 'metric_json_invalid' WHEN bad = 8 THEN 'metadata_json_invalid' END AS error_code FROM raw)"""
 register(
     "quarantine_rows",
@@ -43,7 +43,7 @@ register(
     lambda spark, d: I.validate(raw_rows(spark, d))[0].select("_row", "source_type", "entity", "category", "role", "metric", "value", F.to_date("ts").alias("day"), "region", "metadata"),
     _RAW + """
 SELECT k AS _row, CASE WHEN bad = 1 THEN 'csv' ELSE 'api' END AS source_type, 'c' || c AS entity, CASE WHEN bad = 3 THEN 'saas' ELSE 'retail' END AS category, CASE WHEN bad = 4 THEN 'sales' ELSE 'organization' END AS role,
-  'recurring_revenue' AS metric, k::DOUBLE AS value, d AS day, 'EU' AS region, CASE WHEN bad = 9 THEN '{"a": 1}' END AS metadata FROM t WHERE error_code IS NULL""",
+  metric, k::DOUBLE AS value, d AS day, region, CASE WHEN bad = 9 THEN '{"a": 1}' END AS metadata FROM t WHERE error_code IS NULL""",
 )
 register(
     "metric_value_kinds",

@@ -20,6 +20,7 @@ from tallygrove.operators import scoring as R
 from tallygrove.operators import series as S
 from tallygrove.operators import windows as W
 from tallygrove.sources import ingest as I
+from tallygrove.sources import mapping as M
 from tallygrove.sources import star
 from tallygrove.streaming.events import changed_entities
 
@@ -62,8 +63,8 @@ def ingest_csv(spark: SparkSession, path: str, facts: str, quarantine: str, mapp
     """CSV to the fact table (first row per key wins, known keys stay) and the quarantine table; row counts of both."""
     raw = I.scan_csv(spark, path)
     raw = I.unpivot(raw)
-    plan = I.resolve_mapping(raw.columns, mapping)
-    I.check_mapping(plan, raw.columns)
+    plan = M.resolve_mapping(raw.columns, mapping)
+    M.check_mapping(plan, raw.columns)
     tagged = I.apply_mapping(raw, plan).withColumn("error_code", I.error_code())
     tagged.write.mode("overwrite").saveAsTable(f"{facts}_upload")  # arrival numbers are fixed here
     done = spark.table(f"{facts}_upload")

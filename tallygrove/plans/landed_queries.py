@@ -17,6 +17,7 @@ from tallygrove.plans.ingest_queries import _RAW, raw_rows
 from tallygrove.plans.registry import on_facts, on_series, register, rounded, with_facts, with_series
 from tallygrove.sources import ingest as I
 from tallygrove.sources import macro, star, web
+from tallygrove.sources import mapping as M
 from tallygrove.streaming import events as E
 
 
@@ -32,19 +33,19 @@ def scratch(spark: SparkSession) -> str:
 
 # Header mapping: the raw rows under other headers give the same canonical rows.
 _HEADERS = {
-    "alias": {"source_type": "Origin", "entity_name": "Company", "category": "Business Type", "role": "Department", "metric_name": "KPI", "metric_value": "Amount", "timestamp": "Date", "region": "Country", "metadata_json": "Attributes"},
+    "alias": {"source_type": "Origin", "entity_name": "Company", "category": "Vertical", "role": "Persona", "metric_name": "KPI", "metric_value": "Amount", "timestamp": "Date", "region": "Country", "metadata_json": "Attributes"},
     "fuzzy": {"source_type": "sourcetyp", "entity_name": "entity nam", "category": "categorie", "role": "Owner-Role", "metric_name": "metrc name", "metric_value": "amont", "timestamp": "time stmp", "region": "regions", "metadata_json": "meta data jsn"},
-    "strict": {"source_type": "SOURCE_TYPE", "entity_name": "Entity Names", "category": "Type", "role": "role", "metric_name": "metric_nam", "metric_value": "Metric Values", "timestamp": "timestamps", "region": "region", "metadata_json": "metadata json"},
+    "strict": {"source_type": "SOURCE_TYPE", "entity_name": "Entity Names", "category": "Domain", "role": "role", "metric_name": "metric_nam", "metric_value": "Metric Values", "timestamp": "timestamps", "region": "region", "metadata_json": "metadata json"},
 }
 _CONFIG = {"entity_name": ("Firma",), "metric_value": ("Betrag",)}
 _CANONICAL_SQL = _RAW + """
-SELECT 'c' || c AS entity, CASE WHEN bad = 3 THEN 'saas' ELSE 'retail' END AS category, CASE WHEN bad = 1 THEN 'csv' ELSE 'api' END AS source_type, CASE WHEN bad = 4 THEN 'sales' ELSE 'organization' END AS role, k::DOUBLE AS value, d AS day, 'EU' AS region FROM t WHERE error_code IS NULL"""
+SELECT 'c' || c AS entity, CASE WHEN bad = 3 THEN 'saas' ELSE 'retail' END AS category, CASE WHEN bad = 1 THEN 'csv' ELSE 'api' END AS source_type, CASE WHEN bad = 4 THEN 'sales' ELSE 'organization' END AS role, metric, k::DOUBLE AS value, d AS day, region FROM t WHERE error_code IS NULL"""
 
 
 def _mapped(raw: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    I.check_mapping(mapping, raw.columns)
+    M.check_mapping(mapping, raw.columns)
     good, _ = I.validate(I.apply_mapping(raw, mapping))
-    return good.select("entity", "category", "source_type", "role", "value", F.to_date("ts").alias("day"), "region")
+    return good.select("entity", "category", "source_type", "role", "metric", "value", F.to_date("ts").alias("day"), "region")
 
 
 def _renamed(spark: SparkSession, sf_dir: str, headers: dict[str, str]) -> DataFrame:
@@ -59,12 +60,12 @@ def _by(mapper, headers: dict[str, str]):
     return query
 
 
-register("mapped_by_alias", _by(lambda raw: I.resolve_mapping(raw.columns), _HEADERS["alias"]), _CANONICAL_SQL)
-register("mapped_by_likeness", _by(lambda raw: I.resolve_mapping(raw.columns), _HEADERS["fuzzy"]), _CANONICAL_SQL)
-register("mapped_by_saved_config", _by(lambda raw: I.resolve_mapping(raw.columns, config=_CONFIG), {"entity_name": "Firma", "metric_value": "Betrag"}), _CANONICAL_SQL)
-register("mapped_by_override", _by(lambda raw: I.resolve_mapping(raw.columns, {"entity_name": "x1", "metric_value": "x2"}), {"entity_name": "x1", "metric_value": "x2"}), _CANONICAL_SQL)
-register("mapped_strictly", _by(lambda raw: {f: h for f, (h, _) in I.strict_mapping(raw.columns).items()}, _HEADERS["strict"]), _CANONICAL_SQL)
-register("mapped_by_interpretation", _by(lambda raw: {x.field: x.header for x in I.interpret(raw)}, {}), _CANONICAL_SQL)
+register("mapped_by_alias", _by(lambda raw: M.resolve_mapping(raw.columns), _HEADERS["alias"]), _CANONICAL_SQL)
+register("mapped_by_likeness", _by(lambda raw: M.resolve_mapping(raw.columns), _HEADERS["fuzzy"]), _CANONICAL_SQL)
+register("mapped_by_saved_config", _by(lambda raw: M.resolve_mapping(raw.columns, config=_CONFIG), {"entity_name": "Firma", "metric_value": "Betrag"}), _CANONICAL_SQL)
+register("mapped_by_override", _by(lambda raw: M.resolve_mapping(raw.columns, {"entity_name": "x1", "metric_value": "x2"}), {"entity_name": "x1", "metric_value": "x2"}), _CANONICAL_SQL)
+register("mapped_strictly", _by(lambda raw: {f: h for f, (h, _) in M.strict_mapping(raw.columns).items()}, _HEADERS["strict"]), _CANONICAL_SQL)
+register("mapped_by_interpretation", _by(lambda raw: {x.field: x.header for x in M.interpret(raw)}, {}), _CANONICAL_SQL)
 
 
 # Files.
@@ -73,12 +74,130 @@ def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     _renamed(spark, sf_dir, _HEADERS["alias"]).write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     raw = I.scan_csv(spark, path)
-    return _mapped(raw, I.resolve_mapping(raw.columns))
+    return _mapped(raw, M.resolve_mapping(raw.columns))
 
 
 register("csv_scan", _csv, _CANONICAL_SQL)
 
 
+def _folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with four kinds of headers in one folder, mapped and read in one job."""
+    path = scratch(spark)
+    raw = raw_rows(spark, sf_dir).drop("_row")
+    kinds = (_HEADERS["alias"], _HEADERS["fuzzy"], {"entity_name": "Firma", "metric_value": "x 2"}, {"entity_name": "account", "metric_value": "MRR", "timestamp": "billing_date"})
+    for k, headers in enumerate(kinds):
+        part = raw.where(F.pmod(F.xxhash64("entity_name", "metric_value"), F.lit(len(kinds))) == k).withColumnsRenamed(headers)
+        part.select(*(part.columns[k:] + part.columns[:k])).write.option("header", True).option("quote", '"').option("escape", '"').csv(f"{path}/kind{k}")
+    landed = f"{path}/*/*.csv"
+    kind = F.regexp_extract("file", r"/kind(\d)/", 1)
+    files = M.folder_headers(spark, landed).select("file").distinct()
+    files = files.select("file", F.when(kind == "3", "SaaS").alias("category"), F.when(kind == "2", "german").alias("config"))
+    names = spark.createDataFrame([("german", "entity_name", 0, "Firma")], "config string, field string, pos int, name string")
+    overrides = files.where("config = 'german'").select("file", F.lit("metric_value").alias("field"), F.lit("X2").alias("source"))
+    rows, _ = M.read_folder(spark, landed, files=files, saved_names=names, overrides=overrides)
+    good, _ = I.validate(rows.drop("file"))
+    return good.select("entity", "category", "source_type", "role", "metric", "value", F.to_date("ts").alias("day"), "region")
+
+
+register("landed_folder", _folder, _CANONICAL_SQL)
+
+# Headers of one file a supplier, with names that are alike, equal but for case, or of one category only.
+_POOL = (
+    "value metric", "name entity", "category", "metric name x", "mrr", "GMV", "type", "Entity-Name", "entity name", "regions", "amont", "Total", "Store", "indicator",
+    "kpi", "Datum", "date", "time stamp", "order_date", "Firma", "Betrag", "meta", "", "role", "source", "sales", "Client", "count", "metrc_name", "account", "period", "Zone",
+)
+_CATEGORIES = (None, "SaaS", "ecommerce", " agency", "finance", "healthcare", "retail", "logistics")
+
+
+def _supplier_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What resolve_files makes of nine to thirteen headers of each supplier's file."""
+    k = F.col("s_suppkey")
+    s = star.table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), k).alias("file"), k.alias("k"))
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (1 + i % len(values)).cast("int"))
+    headers = s.withColumn("pos", F.explode(F.sequence(F.lit(0), (8 + F.col("k") % 5).cast("int"))))
+    name = pick(_POOL, F.col("k") * (F.col("pos") + 3) + F.col("pos") * F.col("pos"))
+    headers = headers.select("file", "pos", F.when((F.col("k") + F.col("pos")) % 4 == 1, F.upper(name)).otherwise(name).alias("header"))
+    files = s.select("file", pick(_CATEGORIES, F.col("k")).alias("category"), F.when(F.col("k") % 3 == 0, F.concat(F.lit("c"), F.col("k") % 2)).alias("config"))
+    names = spark.createDataFrame([("c0", "entity_name", 0, "Firma"), ("c0", "metric_value", 0, "Betrag"), ("c1", "timestamp", 0, "Datum"), ("c1", "nothing", 0, "kpi")], "config string, field string, pos int, name string")
+    wanted = [("metric_value", "total", 6), (" region", "nowhere", 15), ("nonsense", "kpi", 10), ("role", "KPI", 4)]
+    overrides = s.select("file", F.explode(F.array_compact(F.array(*(F.when(F.col("k") % m == 0, F.struct(F.lit(f).alias("field"), F.lit(x).alias("source"))) for f, x, m in wanted)))).alias("o")).select("file", "o.*")
+    return M.resolve_files(headers, files, names, overrides)
+
+
+def _strings(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
+def _names_sql() -> str:
+    rows = [("", i, p, n) for i, f in enumerate(M.FIELDS) for p, n in enumerate((f, *M.ALIASES[f]))]
+    rows += [(f"category:{c}", M.FIELDS.index(f), 0.001 * (1 + p), n) for c, fields in M.CATEGORY_ALIASES.items() for f, names in fields.items() for p, n in enumerate(names)]
+    rows += [("config:c0", 1, 900, "Firma"), ("config:c0", 5, 900, "Betrag"), ("config:c1", 6, 900, "Datum")]
+    return ", ".join(f"('{s}', {i}, {p}, '{n}')" for s, i, p, n in rows)
+
+
+_SUPPLIER_HEADERS_SQL = rf"""
+WITH RECURSIVE s AS (SELECT s_suppkey AS k, 'f' || s_suppkey AS file FROM supplier
+), raw AS (SELECT k, file, unnest(range(0, 9 + k % 5)) AS pos FROM s
+), named AS (SELECT *, {_strings(_POOL)}[1 + (k * (pos + 3) + pos * pos) % {len(_POOL)}] AS h FROM raw
+), lookup AS (
+  SELECT k, file, norm, min(pos) AS pos, max_by(h, pos) AS header
+  FROM (SELECT k, file, pos, CASE WHEN (k + pos) % 4 = 1 THEN upper(h) ELSE h END AS h, regexp_replace(lower(h), '[^\p{{L}}\p{{N}}]', '', 'g') AS norm FROM named)
+  WHERE norm <> '' GROUP BY k, file, norm
+), names AS (
+  SELECT scope, f, place, regexp_replace(lower(name), '[^a-z]', '', 'g') AS name FROM (VALUES {_names_sql()}) v(scope, f, place, name)
+), scopes AS (
+  SELECT file, '' AS scope FROM s UNION ALL SELECT file, 'category:' || lower(trim({_strings(_CATEGORIES)}[1 + k % 8])) FROM s
+  UNION ALL SELECT file, 'config:c' || (k % 2) FROM s WHERE k % 3 = 0
+), near AS (SELECT l.file, l.pos, l.header, l.norm, n.f, n.place, n.name FROM lookup l JOIN scopes USING (file) JOIN names n USING (scope)
+), couples AS (SELECT DISTINCT norm, name, CASE WHEN len(norm) < len(name) THEN norm ELSE name END AS a, CASE WHEN len(norm) < len(name) THEN name ELSE norm END AS b FROM near
+), parts AS (
+  SELECT norm, name, a, b AS w, 0 AS part FROM couples
+  UNION SELECT norm, name, a, substr(b, greatest(0, i) + 1, i + len(a) - greatest(0, i)), 1 FROM (SELECT *, unnest(range(1 - len(a), len(b))) AS i FROM couples)
+), tries AS (
+  SELECT DISTINCT a, w FROM parts  -- those that could reach 80 by the letters they share
+  WHERE len(list_filter(string_split(a, ''), lambda c: contains(w, c))) >= 0.4 * (len(a) + len(w)) AND len(w) >= 0.4 * (len(a) + len(w))
+), common AS (
+  SELECT a, w, 0 AS i, list_transform(range(0, len(w) + 1), lambda j: 0::BIGINT) AS r FROM tries
+  UNION ALL
+  SELECT a, w, i + 1, list_transform(range(0, len(w) + 1), lambda j: greatest(r[j + 1],
+    coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda m: w[m] = a[i + 1]), lambda m: r[m] + 1)), 0)))
+  FROM common WHERE i < len(a)
+), alike AS (
+  SELECT p.norm, p.name, p.part, max(200.0::DOUBLE * c.r[len(c.w) + 1] / (len(c.a) + len(c.w))) AS score
+  FROM common c JOIN parts p ON p.a = c.a AND p.w = c.w WHERE c.i = len(c.a) GROUP BY ALL HAVING score >= 80
+), entries AS (
+  SELECT file, f, 0 AS kind, 0.0::DOUBLE AS score, place, 0 AS part, pos, header FROM near WHERE norm = name
+  UNION ALL SELECT n.file, n.f, 1, -a.score, n.place, a.part, n.pos, n.header FROM near n JOIN alike a ON a.norm = n.norm AND a.name = n.name
+), prefs AS (SELECT file, f, list(struct_pack(h := header, kind := kind) ORDER BY kind, score, place, part, pos) AS hs FROM entries GROUP BY ALL
+), wanted AS (
+  SELECT file, field, source FROM (SELECT file, unnest([struct_pack(field := 'metric_value', source := 'total', m := 6), struct_pack(field := ' region', source := 'nowhere', m := 15),
+    struct_pack(field := 'nonsense', source := 'kpi', m := 10), struct_pack(field := 'role', source := 'KPI', m := 4)], recursive := true), k FROM s) WHERE k % m = 0
+), given AS (
+  SELECT w.file, trim(w.field) AS field, list_position({_strings(M.FIELDS)}, trim(w.field)) - 1 AS f, l.header
+  FROM wanted w LEFT JOIN lookup l ON l.file = w.file AND l.norm = lower(w.source)
+), step AS (
+  SELECT s.file, 0 AS f, coalesce((SELECT list(struct_pack(f := g.f::BIGINT, header := g.header, kind := 2)) FROM given g WHERE g.file = s.file AND g.f IS NOT NULL AND g.header IS NOT NULL), []) AS got FROM s
+  UNION ALL
+  SELECT t.file, t.f + 1, CASE WHEN len(list_filter(t.got, lambda g: g.f = t.f)) > 0 OR pick IS NULL THEN t.got ELSE list_append(t.got, struct_pack(f := t.f::BIGINT, header := pick.h, kind := pick.kind)) END
+  FROM (SELECT t.file, t.f, t.got, list_filter(p.hs, lambda x: len(list_filter(t.got, lambda g: g.header = x.h)) = 0)[1] AS pick
+        FROM step t LEFT JOIN prefs p ON p.file = t.file AND p.f = t.f WHERE t.f < 9) t
+), done AS (SELECT file, unnest(got, recursive := true) FROM step WHERE f = 9)"""
+
+register(
+    "headers_of_files",
+    lambda spark, d: _supplier_headers(spark, d).select("file", F.explode("mapping").alias("field", "header"), "strategies").select("file", "field", "header", F.col("strategies")[F.col("field")].alias("strategy")),
+    _SUPPLIER_HEADERS_SQL + f"\nSELECT file, {_strings(M.FIELDS)}[f + 1] AS field, header, ['exact_or_alias', 'fuzzy', 'override'][kind + 1] AS strategy FROM done",
+)
+register(
+    "header_faults_of_files",
+    lambda spark, d: _supplier_headers(spark, d).select("file", F.inline("errors")),
+    _SUPPLIER_HEADERS_SQL + f"""
+SELECT file, CASE WHEN f IS NULL THEN 'invalid_override_field' ELSE 'override_source_not_found' END AS code, field FROM given WHERE f IS NULL OR header IS NULL
+UNION ALL SELECT s.file, 'required_field_unmapped', r.field FROM s, (SELECT unnest({_strings(M.REQUIRED)}) AS field) r
+WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.file = s.file AND {_strings(M.FIELDS)}[d.f + 1] = r.field)""",
+)
+
+
 def _exported(fmt: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch(spark)

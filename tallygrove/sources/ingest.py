@@ -1,7 +1,7 @@
-"""CSV ingestion: scan, schema mapping, row validation with quarantine, unpivot.
+"""CSV ingestion: scan, row validation with quarantine, unpivot; headers are mapped in `mapping`.
 
-Headers are few and mapped on the driver; rows never leave the executors. Cells
-are read as strings and typed by expressions, so bad values become error codes.
+Rows never leave the executors. Cells are read as strings and typed by
+expressions, so bad values become error codes.
 """
 
 from __future__ import annotations
@@ -13,35 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrove.functions.likeness import partial_ratio, ratio
-
-# The canonical fields, in mapping order, and other names for them.
-FIELDS = ("source_type", "entity_name", "category", "role", "metric_name", "metric_value", "timestamp", "region", "metadata_json")
-REQUIRED = ("entity_name", "category", "metric_name", "metric_value")
-ALIASES: dict[str, tuple[str, ...]] = {
-    "source_type": ("source", "origin"),
-    "entity_name": ("entity", "company", "organization", "customer", "account", "client"),
-    "category": ("type", "business_type", "segment_type"),
-    "role": ("owner_role", "department"),
-    "metric_name": ("metric", "kpi", "measure", "indicator"),
-    "metric_value": ("value", "amount", "metric_amount", "total"),
-    "timestamp": ("date", "period", "time", "month", "created_at"),
-    "region": ("country", "geo", "location"),
-    "metadata_json": ("metadata", "attributes", "extra"),
-}
+from tallygrove.sources.mapping import FIELDS, REQUIRED, IngestError
+
 SOURCES = ("csv", "api", "scrape")
 #: Categories whose rows must carry a timestamp; the singular form is what data of that kind uses.
 TIMED_CATEGORIES = ("saas", "financial_market", "generic_timeseries", "general_timeseries")
 
 
-class IngestError(ValueError):
-    """What an ingestion reports instead of rows: code and details."""
-
-    def __init__(self, code: str, details: str = ""):
-        super().__init__(f"{code}: {details}" if details else code)
-        self.code, self.details = code, details
-
-
 def validate_upload(name: str, size: int, most: int = 50 * 1024 * 1024, extensions: tuple[str, ...] = (".csv", ".xls", ".xlsx")) -> None:
     """Name, extension and size of a file before anything is read."""
     if not name.strip():
@@ -71,127 +49,6 @@ def file_checksums(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-# Schema mapping.
-def normalized(header: str) -> str:
-    return "".join(c for c in header.lower() if c.isalnum())
-
-
-def candidates(fld: str, config: dict[str, tuple[str, ...]] | None = None) -> list[str]:
-    return [fld, *ALIASES.get(fld, ()), *(config or {}).get(fld, ())]
-
-
-def name_score(header: str, names: list[str]) -> float:
-    """0..100: the best likeness of a header, whole or in part, to a field's names; letters and digits count."""
-    h = normalized(header)
-    return max((max(ratio(normalized(n), h), partial_ratio(normalized(n), h)) for n in names if normalized(n)), default=0.0)
-
-
-def resolve_mapping(headers: list[str], overrides: dict[str, str] | None = None, config: dict[str, tuple[str, ...]] | None = None, fuzzy: float = 80.0) -> dict[str, str]:
-    """field -> header: override, then exact or alias, then the best fuzzy match from `fuzzy` on; a header is used once."""
-    used: set[str] = set()
-    out: dict[str, str] = {}
-    by_norm: dict[str, str] = {}
-    for h in headers:
-        by_norm.setdefault(normalized(h), h)
-    for fld, header in (overrides or {}).items():
-        if fld in FIELDS and header in headers and header not in used:
-            out[fld] = header
-            used.add(header)
-    for fld in FIELDS:
-        if fld in out:
-            continue
-        hit = next((by_norm[normalized(c)] for c in candidates(fld, config) if by_norm.get(normalized(c)) not in (None, *used)), None)
-        if hit is not None:
-            out[fld] = hit
-            used.add(hit)
-    for fld in FIELDS:
-        if fld in out:
-            continue
-        best, score = None, 0.0
-        for h in headers:
-            s = 0.0 if h in used else name_score(h, candidates(fld, config))
-            if s >= fuzzy and s > score:
-                best, score = h, s
-        if best is not None:
-            out[fld] = best
-            used.add(best)
-    return out
-
-
-def strict_mapping(headers: list[str], required: tuple[str, ...] = REQUIRED, least: float = 92.0, band: float = 5.0) -> dict[str, tuple[str, float]]:
-    """field -> (header, confidence); a second fuzzy candidate within `band` or a missing required field is an error."""
-    out: dict[str, tuple[str, float]] = {}
-    used: set[str] = set()
-    for fld in FIELDS:
-        exact = [h for h in headers if normalized(h) == normalized(fld) and h not in used]
-        alias = [h for h in headers if normalized(h) in {normalized(a) for a in ALIASES[fld]} and h not in used]
-        found = (exact[0], 1.0) if exact else (alias[0], 0.99) if alias else None
-        if found is None:
-            ranked = sorted(((max(ratio(normalized(c), normalized(h)) for c in candidates(fld)), h) for h in headers if h not in used), reverse=True)
-            if ranked and ranked[0][0] >= least:
-                if len(ranked) > 1 and ranked[1][0] >= ranked[0][0] - band:
-                    raise IngestError("ambiguous", fld)
-                found = (ranked[0][1], ranked[0][0] / 100)
-        if found:
-            out[fld] = found
-            used.add(found[0])
-    missing = [f for f in required if f not in out]
-    if missing:
-        raise IngestError("missing_required", ",".join(missing))
-    return out
-
-
-@dataclass(frozen=True)
-class Interpretation:
-    field: str
-    header: str
-    score: float
-    decision: str
-
-
-def interpret(df: DataFrame, sample: int = 200) -> list[Interpretation]:
-    """Greedy assignment of headers by 0.45 alias + 0.25 fuzzy + 0.20 type + 0.10 pattern, from a small sample of rows.
-
-    0.90 maps, 0.75 maps with a warning, less does not map.
-    """
-    head = df.limit(sample)
-    aggs = []
-    for i, c in enumerate(df.columns):
-        v = F.when(F.trim(F.col(f"`{c}`")) != "", F.trim(F.col(f"`{c}`")))
-        share = lambda test, v=v: F.coalesce(F.avg(F.when(v.isNotNull(), test.cast("int"))), F.lit(0.5))
-        aggs += [
-            share(v.rlike(r"^[-+]?[0-9.,]+%?$")).alias(f"n{i}"), share(v.rlike(r"^\d{4}[-/]\d{1,2}")).alias(f"d{i}"), share(v.rlike(r"^[\[{]")).alias(f"j{i}"),
-            F.coalesce(F.try_divide(F.count_distinct(F.lower(v)), F.count(v)), F.lit(0.5)).alias(f"c{i}"), share(v.rlike(r"^[a-z0-9_]+$")).alias(f"s{i}"),
-        ]
-    facts = head.agg(*aggs).first()
-    scored = []
-    for fld in FIELDS:
-        for i, h in enumerate(df.columns):
-            alias = 1.0 if normalized(h) in {normalized(c) for c in candidates(fld)} else 0.0
-            fuzzy = name_score(h, candidates(fld)) / 100
-            kind = {"metric_value": facts[f"n{i}"], "timestamp": facts[f"d{i}"], "metadata_json": facts[f"j{i}"]}.get(fld, 1 - facts[f"n{i}"])
-            fit = {"metric_name": facts[f"s{i}"], "category": 1 - facts[f"c{i}"], "entity_name": 1 - facts[f"c{i}"] / 2, "source_type": 1 - facts[f"c{i}"]}.get(fld, 0.5)
-            scored.append((0.45 * alias + 0.25 * fuzzy + 0.20 * kind + 0.10 * fit, fld, h))
-    out, fields, headers = [], set(), set()
-    for s, fld, h in sorted(scored, key=lambda x: (-x[0], FIELDS.index(x[1]), x[2])):
-        if fld in fields or h in headers or s < 0.75:
-            continue
-        fields.add(fld)
-        headers.add(h)
-        out.append(Interpretation(fld, h, s, "auto" if s >= 0.9 else "warning"))
-    missing = [f for f in REQUIRED if f not in fields]
-    if missing:
-        raise IngestError("unmapped_required", ",".join(missing))
-    return out
-
-
-def check_mapping(mapping: dict[str, str], headers: list[str]) -> None:
-    """All faults of a mapping in one error."""
-    faults = [f"unknown field {f}" for f in mapping if f not in FIELDS] + [f"no column {h}" for h in mapping.values() if h not in headers] + [f"unmapped {f}" for f in REQUIRED if f not in mapping]
-    if faults:
-        raise IngestError("mapping", "; ".join(faults))
-
-
 def apply_mapping(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """The canonical columns as strings (null where unmapped) and _row, the order of arrival."""
     cols = [F.col(f"`{mapping[f]}`").cast("string").alias(f) if f in mapping else F.lit(None).cast("string").alias(f) for f in FIELDS]

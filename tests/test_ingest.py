@@ -10,26 +10,27 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallygrove.sources import ingest as I
+from tallygrove.sources import mapping as M
 from tallygrove.sources import web
 from tallygrove.streaming import events as E
 
 
 def test_mapping_priorities():
-    assert I.resolve_mapping(["Company", "KPI", "Amount", "Category", "Date"]) == {
+    assert M.resolve_mapping(["Company", "KPI", "Amount", "Category", "Date"]) == {
         "entity_name": "Company", "category": "Category", "metric_name": "KPI", "metric_value": "Amount", "timestamp": "Date"}
-    over = I.resolve_mapping(["zzz", "entity"], {"metric_name": "entity"})
+    over = M.resolve_mapping(["zzz", "entity"], {"metric_name": "entity"})
     assert over["metric_name"] == "entity" and over.get("entity_name") is None
-    fuzzy = I.resolve_mapping(["entity names", "metric nam", "metric valu", "categori"])
+    fuzzy = M.resolve_mapping(["entity names", "metric nam", "metric valu", "categori"])
     assert fuzzy["entity_name"] == "entity names" and fuzzy["category"] == "categori"
 
 
 def test_strict_mapping_errors():
-    got = I.strict_mapping(["entity_name", "category", "metric", "metric_value"])
+    got = M.strict_mapping(["entity_name", "category", "metric", "metric_value"])
     assert got["entity_name"] == ("entity_name", 1.0) and got["metric_name"] == ("metric", 0.99)
     with pytest.raises(I.IngestError, match="missing_required"):
-        I.strict_mapping(["a", "b"])
+        M.strict_mapping(["a", "b"])
     with pytest.raises(I.IngestError):
-        I.check_mapping({"entity_name": "x", "nonsense": "y"}, ["z"])
+        M.check_mapping({"entity_name": "x", "nonsense": "y"}, ["z"])
 
 
 def test_upload_checks():
@@ -54,7 +55,7 @@ def upload(spark, tmp_path):
         encoding="utf-8",
     )
     df = I.scan_csv(spark, str(p))
-    return I.apply_mapping(df, I.resolve_mapping(df.columns))
+    return I.apply_mapping(df, M.resolve_mapping(df.columns))
 
 
 def test_csv_to_canonical(upload):
@@ -69,10 +70,10 @@ def test_csv_to_canonical(upload):
 def test_interpret(spark):
     rows = [(f"Co {i % 3}", "saas", "mrr", str(i), "2024-01-01") for i in range(12)]
     df = spark.createDataFrame(rows, "entity_name string, category string, metric_name string, metric_value string, timestamp string")
-    got = {x.field: x.header for x in I.interpret(df)}
-    assert {f: got[f] for f in I.REQUIRED} == {f: f for f in I.REQUIRED}
+    got = {x.field: x.header for x in M.interpret(df)}
+    assert {f: got[f] for f in M.REQUIRED} == {f: f for f in M.REQUIRED}
     with pytest.raises(I.IngestError):
-        I.interpret(spark.createDataFrame([("x",)], "zzz string"))
+        M.interpret(spark.createDataFrame([("x",)], "zzz string"))
 
 
 @pytest.mark.parametrize(
