@@ -104,7 +104,7 @@ def test_faults_of_files(spark):
 def test_folder_of_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("﻿Company,Domain,KPI,Amount,Origin,Date\nAcme,Retail,sales,1,api,2024-01-01\n\"B, Co\",Retail,sales,2,api,2024-01-02\n", encoding="utf-8")
     (tmp_path / "b.csv").write_text('extra col,"metric, value",metric name,CATEGORY,entity,region,more\nx,5,churn,SaaS,Corp,EU,y\n', encoding="utf-8")
-    (tmp_path / "c.csv").write_text("nothing,of,use\n1,2,3\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("qqq,zzz,jjj\n1,2,3\n", encoding="utf-8")
     rows, plans = M.read_folder(spark, str(tmp_path))
     got = sorted((r["entity_name"], r["category"], r["metric_name"], r["metric_value"], r["timestamp"], r["region"]) for r in rows.collect())
     assert got == [("Acme", "Retail", "sales", "1", "2024-01-01", None), ("B, Co", "Retail", "sales", "2", "2024-01-02", None), ("Corp", "SaaS", "churn", "5", None, "EU")]
