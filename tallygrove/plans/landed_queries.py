@@ -18,6 +18,7 @@ from tallygrove.plans.registry import on_facts, on_series, register, rounded, wi
 from tallygrove.sources import ingest as I
 from tallygrove.sources import macro, star, web
 from tallygrove.sources import mapping as M
+from tallygrove.sources import selectors as P
 from tallygrove.streaming import events as E
 
 
@@ -365,3 +366,57 @@ register(
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_rows(spark, sf_dir).withColumn("error_code", I.error_code()).where("error_code is null").drop("error_code")
+
+
+# Items of pages by selectors.
+def _items(kind: str, *selectors: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return P.page_items(star.table(spark, sf_dir, "pages"), F.lit(kind), F.array(*map(F.lit, selectors)))
+
+    return query
+
+
+#: Decoding of the few character references that the pages hold; a script is one string whatever is in it.
+_TEXT = "trim(regexp_replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_LIST_SQL = f"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<li>(.*?)</li>', 1)) AS inner_html, generate_subscripts(regexp_extract_all(html, '<li>(.*?)</li>', 1), 1) AS k FROM pages)
+, t AS (SELECT page_id, url, k, {_TEXT.format("regexp_replace(inner_html, '<[^>]*>', ' ', 'g')")} AS details FROM l WHERE k <= 300)
+, o AS (SELECT page_id, url, details, min(k) AS k FROM t WHERE details <> '' GROUP BY ALL)"""
+
+register(
+    "page_products",
+    lambda spark, d: _items("products", "nav > ul li")(spark, d).select("page_id", "url", "place", "title", "details"),
+    _LIST_SQL + "\nSELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY k) AS place, left(details, 180) AS title, details FROM o",
+)
+register(
+    "page_headline_items",
+    lambda spark, d: _items("headlines", "article > h1")(spark, d).select("page_id", "place", "details"),
+    f"""WITH h AS (SELECT page_id, {_TEXT.format("regexp_replace(regexp_extract(html, '<article><h1>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g')")} AS details FROM pages)
+SELECT page_id, 1 AS place, details FROM h WHERE len(details) >= 8""",
+)
+register(
+    "page_price_strings",
+    lambda spark, d: _items("pricing", "div.price")(spark, d).select("page_id", "title", "price_text", "details"),
+    f"""WITH s AS (SELECT page_id, regexp_extract(html, '(?s)<script>(.*?)</script>', 1) AS script, regexp_replace(html, '(?s)<script>.*?</script>', '<script>', 'g') AS html FROM pages)
+, t AS (SELECT page_id, script AS text FROM s UNION ALL SELECT page_id, unnest(regexp_extract_all(html, '<!--(.*?)-->', 1)) FROM s UNION ALL SELECT page_id, unnest(regexp_extract_all(html, '>([^<>]+)<', 1)) FROM s)
+, c AS (SELECT DISTINCT page_id, {_TEXT.format("text")} AS details FROM t WHERE regexp_matches(text, '[0-9]'))
+SELECT page_id, 'unlabeled' AS title, regexp_extract(details, '(?i)(?:USD|US\\$|\\$|EUR|€|GBP|£)?\\s?\\d{{1,5}}(?:[.,]\\d{{1,2}})?(?:\\s?/\\s?(?:mo|month|yr|year|user))?') AS price_text, details FROM c""",
+)
+
+
+def _announced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as announcements on pages of their customers' sites; one site's selectors are wrong."""
+    o = star.table(spark, sf_dir, "orders").where("o_custkey % 5 < 4")
+    day = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "MMMM d, yyyy")).otherwise("soon")
+    html = F.concat(F.lit("<div class='news item'><h3>Order "), "o_orderkey", F.lit("</h3><p>Shipped&nbsp;on "), day, F.lit(".</p></div><div class='old'>January 1, 2001 was long ago</div>"))
+    pages = o.groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list(html)), "").alias("html"))
+    pages = pages.select(F.col("o_custkey").alias("page_id"), F.concat(F.lit("http://www.site"), F.col("o_custkey") % 5, F.lit(".test/a")).alias("url"), "html")
+    config = spark.createDataFrame([("site0.test", "Events", ["div.news"]), ("site1.test", "announcements", ["div.item, div.none"]), ("site2.test", "other", []), ("site3.test", "events", ["div::before"])], "site string, kind string, selectors array<string>")
+    return P.scrape(pages, config).where("place <= 300 or error is not null").select("page_id", "title", "event_date", F.col("error").isNotNull().alias("failed"))
+
+
+register(
+    "page_events",
+    _announced,
+    """SELECT o_custkey AS page_id, 'Order ' || o_orderkey AS title, CASE WHEN o_orderkey % 3 < 2 THEN o_orderdate::DATE END AS event_date, false AS failed FROM orders WHERE o_custkey % 5 < 2
+UNION ALL SELECT DISTINCT o_custkey, NULL, NULL::DATE, true FROM orders WHERE o_custkey % 5 = 3""",
+)
