@@ -16,7 +16,7 @@ from tallygrove.plans import jobs
 from tallygrove.plans.ingest_queries import _RAW, raw_rows
 from tallygrove.plans.registry import on_facts, on_series, register, rounded, with_facts, with_series
 from tallygrove.sources import ingest as I
-from tallygrove.sources import macro, star, web
+from tallygrove.sources import macro, macro_source, star, web
 from tallygrove.sources import mapping as M
 from tallygrove.sources import selectors as P
 from tallygrove.streaming import events as E
@@ -247,6 +247,32 @@ register(
 )
 
 
+def _from_source(provider: str, date, limit: int):
+    """The observations of two countries and two metrics, landed and read through the data source."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch(spark)
+        rows = spark.read.json(_landed(spark, sf_dir, date))
+        both = rows.withColumn("country", F.explode(F.array(F.lit("us"), F.lit("de")))).withColumn("metric", F.explode(F.array(F.lit("gdp"), F.lit("cpi"))))
+        both.write.partitionBy("country", "metric").json(path)
+        macro_source.register(spark)
+        return spark.read.format("macro").option("provider", provider).option("limit", limit).load(path).where("country = 'us' and metric in ('gdp', 'none')")
+
+    return query
+
+
+register(
+    "dated_source",
+    lambda spark, d: _from_source("dated", F.col("d").cast("string"), 30)(spark, d),
+    _MONTHS + "\nSELECT 'us' AS country, 'gdp' AS metric, d AS period_start, d AS period_end, n::VARCHAR AS value FROM m WHERE month(d) NOT IN (2, 3, 4) ORDER BY d LIMIT 30",
+)
+register(
+    "yearly_source",
+    lambda spark, d: _from_source("yearly", F.when(F.month("d") == 1, F.year("d").cast("string")).otherwise("n/a"), 4)(spark, d),
+    _MONTHS + "\nSELECT 'us' AS country, 'gdp' AS metric, d AS period_start, make_date(year(d), 12, 31) AS period_end, n::VARCHAR AS value FROM m WHERE month(d) = 1 ORDER BY d DESC LIMIT 4",
+)
+
+
 def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search payloads over the pages: some results repeat a URL, some have none."""
     p = star.table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 5).alias("q"))
