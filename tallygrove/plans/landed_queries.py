@@ -16,7 +16,7 @@ from tallygrove.plans import jobs
 from tallygrove.plans.ingest_queries import _RAW, raw_rows
 from tallygrove.plans.registry import on_facts, on_series, register, rounded, with_facts, with_series
 from tallygrove.sources import ingest as I
-from tallygrove.sources import macro, macro_source, star, web
+from tallygrove.sources import feeds, macro, macro_source, star, web
 from tallygrove.sources import mapping as M
 from tallygrove.sources import selectors as P
 from tallygrove.streaming import events as E
@@ -446,3 +446,34 @@ register(
     """SELECT o_custkey AS page_id, 'Order ' || o_orderkey AS title, CASE WHEN o_orderkey % 3 < 2 THEN o_orderdate::DATE END AS event_date, false AS failed FROM orders WHERE o_custkey % 5 < 2
 UNION ALL SELECT DISTINCT o_custkey, NULL, NULL::DATE, true FROM orders WHERE o_custkey % 5 = 3""",
 )
+
+
+# Trend feeds: fifty RSS files made of the orders; one of them is cut off.
+def _feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    k = F.col("o_orderkey")
+    o = star.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("feed"), k.alias("key"), F.when(k % 9 != 4, F.concat(F.lit(" word "), k, F.lit(" & co"))).alias("title"),
+        F.when(k % 7 == 1, F.lit("soon")).when(k % 7 == 2, F.lit(None)).when(k % 7 == 3, F.concat(F.date_format("o_orderdate", "d MMM yyyy"), F.lit(" 03:04:05 EST")))
+        .otherwise(F.concat(F.lit("Mon, "), F.date_format("o_orderdate", "dd MMM yyyy"), F.lit(" 10:00:00 +0200"))).alias("pubDate"),
+        F.when(k % 4 == 1, F.concat(k % 900, F.lit("K+"))).when(k % 4 == 2, "1,500+").when(k % 4 == 3, "many").alias("approx_traffic"), F.lit("http://t/").alias("link"))
+    o.repartition("feed").sortWithinPartitions("feed", "key").drop("key").write.partitionBy("feed").format("xml").option("rootTag", "rss").option("rowTag", "item").save(path)
+    broken = spark.range(1).select(F.lit("<rss><item><title>a</title><pubDate>1 Jan 2024 00:00:00 GMT</pubDate></item><item><title>b</titel></item></rss>").alias("value"))
+    broken.write.text(f"{path}/feed=99")
+    return feeds.feed_items(spark, path).withColumn("feed", F.regexp_extract("feed", r"feed=(\d+)", 1).cast("int"))
+
+
+_FEEDS_SQL = """WITH i AS (SELECT o_custkey % 50 AS feed, o_orderkey AS k, o_orderdate::DATE AS d, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS seq FROM orders)
+, e AS (SELECT *, CASE WHEN k % 9 = 4 THEN 'title_missing' WHEN k % 7 = 2 THEN 'date_missing' WHEN k % 7 = 1 THEN 'date_invalid' END AS error FROM i WHERE seq < 20)"""
+register(
+    "trend_feed_rows",
+    lambda spark, d: feeds.trend_rows(_feeds(spark, d))[0].select("feed", "seq", "entity", "metric", "value", "raw_value", "ts", "link"),
+    _FEEDS_SQL + """
+SELECT feed, seq, 'word ' || k || ' & co' AS entity, 'trend_keyword_traffic' AS metric, CASE k % 4 WHEN 1 THEN 1000 * (k % 900) WHEN 2 THEN 1500 END AS value,
+  CASE k % 4 WHEN 1 THEN (k % 900) || 'K+' WHEN 2 THEN '1,500+' WHEN 3 THEN 'many' ELSE '' END AS raw_value,
+  d::TIMESTAMP + CASE WHEN k % 7 = 3 THEN INTERVAL 29045 SECOND ELSE INTERVAL 8 HOUR END AS ts, 'http://t/' AS link FROM e WHERE error IS NULL""",
+)
+register(
+    "trend_feed_faults",
+    lambda spark, d: feeds.trend_rows(_feeds(spark, d))[1],
+    _FEEDS_SQL + "\nSELECT feed, seq, error FROM e WHERE error IS NOT NULL UNION ALL SELECT 99, NULL, 'feed_invalid'",
+)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrove.functions.columns import domain, traffic_number
+from tallygrove.functions.columns import domain
 from tallygrove.sources.ingest import parse_timestamp
 
 #: Elements whose text is no content.
@@ -140,13 +140,6 @@ def articles(rows: DataFrame) -> DataFrame:
     )
 
 
-def trends(rows: DataFrame, most: int = 20) -> DataFrame:
-    """RSS items (seq, title, traffic) to trend_keyword_traffic rows: the first `most` of the feed."""
-    w = Window.orderBy("seq")
-    first = rows.orderBy("seq").limit(most)
-    return first.withColumn("place", F.row_number().over(w)).select("place", F.trim("title").alias("entity"), F.lit("trend_keyword_traffic").alias("metric"), traffic_number(F.col("traffic")).alias("value"))
-
-
 def search_results(rows: DataFrame, most: int = 10) -> DataFrame:
     """Search payloads (query, raw) to their first `most` results with distinct URLs, in order."""
     items = rows.select("query", F.posexplode(F.from_json(F.get_json_object("raw", "$.web.results"), "array<struct<title:string,url:string,description:string>>")).alias("pos", "r"))
