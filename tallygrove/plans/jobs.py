@@ -21,18 +21,11 @@ from tallygrove.operators import series as S
 from tallygrove.operators import windows as W
 from tallygrove.sources import ingest as I
 from tallygrove.sources import mapping as M
+from tallygrove.sources import merge as U
 from tallygrove.sources import star
 from tallygrove.streaming.events import changed_entities
 
 
-def _replace(df: DataFrame, table: str) -> None:
-    """Overwrite a table that df may itself read."""
-    staged = f"{table}_staged"
-    df.write.mode("overwrite").saveAsTable(staged)
-    df.sparkSession.table(staged).write.mode("overwrite").saveAsTable(table)
-    df.sparkSession.sql(f"drop table {staged}")
-
-
 def record_job(spark: SparkSession, table: str, job: str, state: str, details: str = "") -> None:
     """One row of the audit table: job, state (running, completed, failed), details, at."""
     spark.createDataFrame([(job, state, details)], "job string, state string, details string").withColumn("at", F.current_timestamp()).write.mode("append").saveAsTable(table)
@@ -92,7 +85,10 @@ def ingest_sources(sources: dict[str, Callable[[], DataFrame]], facts: str) -> d
 
 
 def kpi_job(facts: DataFrame, business_type: str, table: str, digests: str) -> int:
-    """KPI rows of entities whose facts changed, put over the table's; returns how many entities were computed."""
+    """KPI rows of entities whose facts changed, put in place of the table's; returns how many entities were computed.
+
+    Only partitions (by entity) with changed entities are written again.
+    """
     spark = facts.sparkSession
     fresh = A.dataset_hash(facts)
     known = spark.catalog.tableExists(digests)
@@ -102,10 +98,8 @@ def kpi_job(facts: DataFrame, business_type: str, table: str, digests: str) -> i
         return 0
     months = star.monthly(facts.join(due, "entity", "left_semi"))
     rows = K.payload(K.compute(K.windows_of(months), business_type), business_type)
-    if spark.catalog.tableExists(table):
-        rows = spark.table(table).join(due, "entity", "left_anti").unionByName(rows)
-    _replace(rows, table)
-    _replace(fresh, digests)
+    U.merge(rows, table, ("entity",), U.by_entity())
+    U.merge(fresh.join(due, "entity", "left_semi"), digests, ("entity",), U.by_entity())
     return n
 
 

@@ -14,10 +14,11 @@ from tallygrove.operators import confidence as G
 from tallygrove.operators import series as S
 from tallygrove.plans import jobs
 from tallygrove.plans.ingest_queries import _RAW, raw_rows
-from tallygrove.plans.registry import on_facts, on_series, register, rounded, with_facts, with_series
+from tallygrove.plans.registry import on_facts, on_monthly, on_series, register, rounded, with_facts, with_monthly, with_series
 from tallygrove.sources import ingest as I
 from tallygrove.sources import feeds, macro, macro_source, star, web
 from tallygrove.sources import mapping as M
+from tallygrove.sources import merge as U
 from tallygrove.sources import selectors as P
 from tallygrove.streaming import events as E
 
@@ -477,3 +478,45 @@ register(
     lambda spark, d: feeds.trend_rows(_feeds(spark, d))[1],
     _FEEDS_SQL + "\nSELECT feed, seq, error FROM e WHERE error IS NOT NULL UNION ALL SELECT 99, NULL, 'feed_invalid'",
 )
+
+
+# Merges: a table by month, into which two later batches go; the second touches the first three months of each year only.
+def _merged(m: DataFrame) -> DataFrame:
+    path = scratch(m.sparkSession)
+    k = m.select(F.lit("legacy").alias("tenant"), "entity", F.col("month").alias("period_start"), F.last_day("month").alias("period_end"), "revenue").withColumn("_row", F.lit(0).cast("long"))
+    key, months = I.KPI_KEY, U.by_month("period_start")
+    U.merge(k, path, key, months, "_row")
+    U.merge(k.where("month(period_start) <= 6").withColumn("revenue", F.col("revenue") * 2), path, key, months, "_row")
+    twice = F.explode(F.array(F.struct(F.lit(1).cast("long").alias("n"), (F.col("revenue") * 7).alias("x")), F.struct(F.lit(2).cast("long").alias("n"), (F.col("revenue") * 3).alias("x"))))
+    last = k.where("month(period_start) <= 3").withColumn("v", twice).withColumns({"revenue": F.col("v.x"), "_row": F.col("v.n")}).drop("v")
+    new = k.where("month(period_start) = 2").withColumns({"entity": F.concat(F.lit("new "), "entity")})
+    U.merge(last.unionByName(new), path, key, months, "_row")
+    return m.sparkSession.read.parquet(path).select("entity", "period_start", "revenue")
+
+
+register(
+    "merge_by_partition",
+    on_monthly(_merged),
+    with_monthly("""SELECT entity, month AS period_start, round(revenue * CASE WHEN month(month) <= 3 THEN 3 WHEN month(month) <= 6 THEN 2 ELSE 1 END, 6) AS revenue FROM monthly
+UNION ALL SELECT 'new ' || entity, month, round(revenue, 6) FROM monthly WHERE month(month) = 2"""),
+)
+
+
+def _merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs of observations, the last of them older than what is stored."""
+    path = scratch(spark)
+    o = star.table(spark, sf_dir, "orders").groupBy(F.to_date(F.trunc("o_orderdate", "month")).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    rows = o.select(F.lit("us").alias("country"), F.lit("gdp").alias("metric"), F.col("d").alias("period_start"), F.col("d").alias("period_end"), F.col("n").cast("string").alias("value"))
+    macro.merge_run(rows, path, "M", 1)
+    macro.merge_run(rows.where("month(period_end) <= 4").withColumn("value", F.when(F.month("period_end") == 4, "x").otherwise(F.concat("value", F.lit("0")))), path, "M", 3)
+    macro.merge_run(rows.where("month(period_end) in (3, 6)").withColumn("value", F.lit("7")), path, "M", 2)
+    return spark.read.parquet(path).select("country", "metric", "period_start", "period_end", F.col("number").cast("double").alias("number"), "version")
+
+
+register(
+    "macro_merge_runs",
+    _merged_runs,
+    _MONTHS + """
+SELECT 'us' AS country, 'gdp' AS metric, d AS period_start, last_day(d) AS period_end, CASE WHEN month(d) <= 3 THEN 10 * n WHEN month(d) = 6 THEN 7 ELSE n END::DOUBLE AS number,
+  CASE WHEN month(d) <= 3 THEN 3 WHEN month(d) = 6 THEN 2 ELSE 1 END AS version FROM m""",
+)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallygrove.functions.columns import GUARD, deflate, fisher_real, frequency, quarter_end, rate_adjusted_efficiency
 from tallygrove.operators.joins import asof
 from tallygrove.operators.windows import compounded, forward_fill
+from tallygrove.sources.merge import by_month, merge, read_target, target_exists
 
 MACRO_KEY = ("country", "metric", "frequency", "period_end")
 
@@ -133,3 +134,19 @@ def ingest_run(existing: DataFrame, raw: DataFrame, expected: str, version: int)
     w = Window.partitionBy(*MACRO_KEY).orderBy(F.desc("version"), F.desc("_row"))
     both = existing.withColumn("_row", F.lit(-1).cast("long")).unionByName(good, allowMissingColumns=True)
     return both.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "_row"), done.where("error is not null")
+
+
+def merge_run(raw: DataFrame, target: str, expected: str, version: int) -> DataFrame:
+    """Puts a run's observations into the metric table `target` and returns the rejected ones; last wins within the run.
+
+    The table is partitioned by the month of period_end, so a run rewrites the months it has observations of. A
+    run older than what is stored for a key leaves it.
+    """
+    spark = raw.sparkSession
+    done = transform_observations(raw, expected)
+    good = done.where("error is null").drop("error").withColumns({"version": F.lit(version), "_row": F.monotonically_increasing_id()})
+    if target_exists(spark, target):
+        newer = read_target(spark, target).where(F.col("version") > version).select(*MACRO_KEY)
+        good = good.join(newer, list(MACRO_KEY), "left_anti")
+    merge(good, target, MACRO_KEY, by_month("period_end"), "_row")
+    return done.where("error is not null")

@@ -22,7 +22,7 @@ def db(spark, tmp_path):
 
 def test_ingest_csv_twice(spark, db, tmp_path):
     p = tmp_path / "u.csv"
-    p.write_text("entity,category,metric,value,date\na,saas,mrr,1,2024-01-01\na,saas,mrr,2,2024-01-01\nb,saas,mrr,3,2024-01-01\nb,saas,mrr,4,never\n")
+    p.write_text("source,entity,category,metric,value,date\napi,a,saas,mrr,1,2024-01-01\napi,a,saas,mrr,2,2024-01-01\napi,b,saas,mrr,3,2024-01-01\napi,b,saas,mrr,4,never\n")
     facts, bad = f"{db}.facts", f"{db}.bad"
     assert jobs.ingest_csv(spark, str(p), facts, bad) == {"inserted": 2, "rejected": 1}
     assert jobs.ingest_csv(spark, str(p), facts, bad)["inserted"] == 0
