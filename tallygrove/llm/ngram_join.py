@@ -47,6 +47,8 @@ WIDTH = 5
 PERCENT = 80
 #: Counters that the shingles of all documents are hashed to, and those summed in one row.
 COUNTERS, CHUNK, SALTS = 1 << 21, 1 << 12, 64
+#: Bits (a power of two) by which shingles of one row only are told apart from others before they are shuffled with their node.
+KEY_BITS = 1 << 26
 #: Widths of bitmaps, in bytes.
 LEAST_BITMAP, LARGEST_BITMAP = 8, 8192
 #: Rounds of comparison with one pivot a tile.
@@ -58,7 +60,7 @@ BLOCK = 512
 
 def _count_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The task's counters, in rows of CHUNK of them."""
-    out = np.zeros(COUNTERS, dtype=np.int64)
+    out = np.zeros(COUNTERS, dtype=np.int32)
     for batch in batches:
         for text in batch["text"]:
             np.add.at(out, (shingles(text, WIDTH) & U(COUNTERS - 1)).astype(np.intp), 1)
@@ -74,7 +76,7 @@ def _sum_counters(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def frequency_levels(docs: DataFrame) -> np.ndarray:
     """Twice the logarithm of each counter: COUNTERS bytes, whatever the table's size."""
-    counted = docs.where("text is not null").select("text").mapInPandas(_count_shingles, "chunk long, salt int, counts array<long>")
+    counted = docs.where("text is not null").select("text").mapInPandas(_count_shingles, "chunk long, salt int, counts array<int>")
     summed = counted.groupBy("chunk", "salt").applyInPandas(_sum_counters, "chunk long, counts array<long>")
     total = np.zeros(COUNTERS, dtype=np.int64)
     for row in summed.groupBy("chunk").applyInPandas(_sum_counters, "chunk long, counts array<long>").collect():  # COUNTERS longs
@@ -130,6 +132,31 @@ def _describe(levels: np.ndarray):
     return describe
 
 
+def key_bitmap(keys: DataFrame) -> np.ndarray:
+    """KEY_BITS bits, of which those of the keys are set: at most KEY_BITS / 64 rows come to the driver."""
+    place = keys.select(F.pmod("key", F.lit(KEY_BITS)).alias("p"))
+    words = place.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("bits"))
+    found = words.toPandas()
+    out = np.zeros(KEY_BITS // 64, dtype=np.int64)
+    out[found["w"].to_numpy(dtype=np.intp)] = found["bits"].to_numpy(dtype=np.int64)
+    return out.view(U)
+
+
+def _kept_by(bits: np.ndarray):
+    """An Arrow function that keeps the keys of an array whose bit is set."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def kept(keys: pd.Series) -> pd.Series:
+        out = []
+        for k in keys:
+            k = np.asarray(k, dtype=np.int64)
+            p = k & (KEY_BITS - 1)
+            out.append(k[(bits[p >> 6] >> (p & 63).astype(U)) & U(1) == 1])
+        return pd.Series(out, dtype=object)
+
+    return kept
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _set_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([shingles(t, WIDTH).view(np.int64) for t in texts], dtype=object)
@@ -248,6 +275,10 @@ def linked_documents(docs: DataFrame) -> DataFrame:
         "described",
     )
     full = rows.where("n > 0")
+    # Shingles that more than one row may hold, as a bitmap of a fixed size; most are held by one and go no further.
+    held = full.select(F.explode("first").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1")
+    maybe_shared = _kept_by(key_bitmap(held))
+    full = full.withColumn("first", maybe_shared("first"))
     classes = stored(full.groupBy("fp").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low")), "classes")
     reps = full.join(classes.select("node"), F.col("rid") == F.col("node"), "left_semi")
     nodes = stored(reps.select(F.col("rid").alias("node"), "doc_id", "th", "n", "bits"), "nodes")
