@@ -78,10 +78,10 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
     """Twice the logarithm of each counter: COUNTERS bytes, whatever the table's size."""
     counted = docs.where("text is not null").select("text").mapInPandas(_count_shingles, "chunk long, salt int, counts array<int>")
     summed = counted.groupBy("chunk", "salt").applyInPandas(_sum_counters, "chunk long, counts array<long>")
-    total = np.zeros(COUNTERS, dtype=np.int64)
-    for row in summed.groupBy("chunk").applyInPandas(_sum_counters, "chunk long, counts array<long>").collect():  # COUNTERS longs
-        total[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = row["counts"]
-    return (2 * np.log2(total + 1)).astype(np.uint8)
+    found = summed.groupBy("chunk").applyInPandas(_sum_counters, "chunk long, counts array<long>").toArrow()  # COUNTERS longs
+    total = np.zeros((COUNTERS // CHUNK, CHUNK), dtype=np.int64)
+    total[found["chunk"].to_numpy()] = found["counts"].combine_chunks().flatten().to_numpy().reshape(-1, CHUNK)
+    return (2 * np.log2(total.ravel() + 1)).astype(np.uint8)
 
 
 def least_common(n: int) -> int:
@@ -136,9 +136,9 @@ def key_bitmap(keys: DataFrame) -> np.ndarray:
     """KEY_BITS bits, of which those of the keys are set: at most KEY_BITS / 64 rows come to the driver."""
     place = keys.select(F.pmod("key", F.lit(KEY_BITS)).alias("p"))
     words = place.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("bits"))
-    found = words.toPandas()
+    found = words.toArrow()
     out = np.zeros(KEY_BITS // 64, dtype=np.int64)
-    out[found["w"].to_numpy(dtype=np.intp)] = found["bits"].to_numpy(dtype=np.int64)
+    out[found["w"].to_numpy()] = found["bits"].to_numpy()
     return out.view(U)
 
 
