@@ -20,6 +20,7 @@ from tallygrove.sources import feeds, macro, macro_source, star, web
 from tallygrove.sources import mapping as M
 from tallygrove.sources import merge as U
 from tallygrove.sources import selectors as P
+from tallygrove.streaming import digests as D
 from tallygrove.streaming import events as E
 
 
@@ -520,3 +521,26 @@ register(
 SELECT 'us' AS country, 'gdp' AS metric, d AS period_start, last_day(d) AS period_end, CASE WHEN month(d) <= 3 THEN 10 * n WHEN month(d) = 6 THEN 7 ELSE n END::DOUBLE AS number,
   CASE WHEN month(d) <= 3 THEN 3 WHEN month(d) = 6 THEN 2 ELSE 1 END AS version FROM m""",
 )
+
+
+# Changed entities: months land, land again with corrections of some, and land again as they are.
+def _changed(m: DataFrame) -> DataFrame:
+    spark, path = m.sparkSession, scratch(m.sparkSession)
+    months = m.select("entity", "month", F.round("revenue", 6).alias("revenue"), F.lit(0).alias("at"))
+    corrected = (F.year("month") == 1996) & (F.floor("revenue") % 3 == 0)
+    for at in range(3):
+        rows = months.withColumns({"revenue": F.when(corrected & F.lit(at > 0), F.col("revenue") + 1).otherwise(F.col("revenue")), "at": F.lit(at)})
+        rows.write.mode("append").parquet(f"{path}/facts")
+        facts = spark.readStream.schema(months.schema).parquet(f"{path}/facts")
+        changed = D.changes(facts, ("entity", "month"), ("revenue",), "at", shards=4)
+        with D.stateful(spark):
+            changed.writeStream.foreachBatch(lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{path}/out")).outputMode("update").option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy("entity", "batch").agg(F.sum("changed").alias("changed"))
+
+
+register(
+    "stream_changed_entities",
+    on_monthly(_changed),
+    with_monthly("""SELECT entity, 0 AS batch, count(*) AS changed FROM monthly GROUP BY entity
+UNION ALL SELECT entity, 1, count(*) FROM monthly WHERE year(month) = 1996 AND floor(revenue) % 3 = 0 GROUP BY entity"""),
+)
