@@ -152,9 +152,15 @@ def signal_conflicts(signals: DataFrame, per_unit: float = 0.12, most: float = 0
     return out.select("entity", "rules_evaluated", "conflicts", "total_severity", F.least(F.lit(most), F.col("total_severity") * per_unit).alias("penalty"), (F.col("__m") >= 0.8).alias("uncertain"))
 
 
-def temporal_conflicts(ccf: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Significant lagged pairs of metrics whose last changes point in opposite ways although they correlate, or the reverse."""
-    a = deltas.select("entity", F.col("metric").alias("a"), F.signum("mom").alias("sa"))
-    b = deltas.select("entity", F.col("metric").alias("b"), F.signum("mom").alias("sb"))
+def temporal_conflicts(ccf: DataFrame, series: DataFrame) -> DataFrame:
+    """Significant lagged pairs of metrics that go different ways, from the first to the last value of each, whatever the sign of r.
+
+    ccf (entity, a, b, lag, r, significant), series (entity, metric, seq, value). A metric that ends where it began has no way.
+    """
+    ends = series.groupBy("entity", "metric").agg(F.min_by("value", "seq").alias("first"), F.max_by("value", "seq").alias("last"))
+    way = ends.select("entity", "metric", F.signum(F.col("last") - F.col("first")).alias("way"))
+    a = way.select("entity", F.col("metric").alias("a"), F.col("way").alias("sa"))
+    b = way.select("entity", F.col("metric").alias("b"), F.col("way").alias("sb"))
     pairs = ccf.where("significant and lag <> 0").join(a, ["entity", "a"]).join(b, ["entity", "b"])
-    return pairs.where(F.col("sa") * F.col("sb") * F.signum("r") < 0).select("entity", "a", "b", "lag", "r")
+    named = lambda c: F.when(F.col(c) > 0, "up").otherwise("down")
+    return pairs.where(F.col("sa") * F.col("sb") < 0).select("entity", "a", "b", "lag", "r", named("sa").alias("way_a"), named("sb").alias("way_b"))

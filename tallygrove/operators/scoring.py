@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrove.functions.columns import GUARD, bands, clip, deviation_pct, score_tier, sigmoid_100, zscore
-from tallygrove.operators.order import with_totals
+from tallygrove.operators.order import with_ranks, with_totals
 
 LOWER_IS_BETTER = "churn|cac|risk|cost"
 
@@ -17,17 +17,19 @@ def relative_scores(latest: DataFrame) -> DataFrame:
     """Each entity's metric against all others of that metric.
 
     latest: entity, metric, value, one row each. Moments of the others come from
-    the group's sums less the own value; the median is the whole group's.
+    the group's sums less the own value; the median is the whole group's. No
+    task holds all entities of a metric.
     """
-    w = Window.partitionBy("metric")
-    n, s, q = F.count("value").over(w) - 1, F.sum("value").over(w) - F.col("value"), F.sum(F.col("value") * F.col("value")).over(w) - F.col("value") * F.col("value")
-    x = latest.withColumns({"__n": n, "__s": s, "__q": q, "__med": F.percentile("value", F.lit(0.5)).over(w), "__below": F.rank().over(Window.partitionBy("metric").orderBy("value")) - 1}).where("__n > 0")
+    known = latest.where("value is not null")
+    sums = known.groupBy("metric").agg(F.sum("value").alias("__all"), F.sum(F.col("value") * F.col("value")).alias("__all2"))
+    x = with_ranks(known, ("metric",)).join(sums, "metric")
+    x = x.withColumns({"__n": F.col("__n") - 1, "__s": F.col("__all") - F.col("value"), "__q": F.col("__all2") - F.col("value") * F.col("value")}).where("__n > 0")
     mean = F.col("__s") / F.col("__n")
     std = F.when(F.col("__n") < 2, F.lit(0.0)).otherwise(F.sqrt(F.greatest(F.col("__q") / F.col("__n") - mean * mean, F.lit(0.0))))
     sign = F.when(F.lower("metric").rlike(LOWER_IS_BETTER), F.lit(-1.0)).otherwise(F.lit(1.0))
     out = x.withColumns({"benchmark_mean": mean, "benchmark_std": std}).withColumn("z", sign * zscore(F.col("value"), F.col("benchmark_mean"), F.col("benchmark_std")))
     share = F.col("__below") / F.col("__n") * 100
-    out = out.withColumns({"score": sigmoid_100(F.col("z")), "percentile": F.when(sign < 0, 100 - share).otherwise(share), "deviation_pct": deviation_pct(F.col("value"), F.col("__med"))})
+    out = out.withColumns({"score": sigmoid_100(F.col("z")), "percentile": F.when(sign < 0, 100 - share).otherwise(share), "deviation_pct": deviation_pct(F.col("value"), F.col("__median"))})
     return out.select("entity", "metric", "value", "benchmark_mean", "benchmark_std", "z", "score", "percentile", "deviation_pct", score_tier(F.col("score")).alias("tier"))
 
 

@@ -6,11 +6,13 @@ one shuffle on the keys, which later operators on the same keys reuse.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrove.functions.columns import GUARD, bands, clip, guarded_change, safe_divide
-from tallygrove.operators.order import global_rank, with_totals
+from tallygrove.operators.order import global_rank, with_ranks, with_totals
 
 KEYS = ("entity", "metric")
 
@@ -30,18 +32,15 @@ def whole(keys=KEYS):
 # Ranks.
 def competition_rank(df: DataFrame, keys, value: str = "value", higher_is_better: bool = True) -> DataFrame:
     """rank (1224), n, percentile ((n - rank) / (n - 1) * 100), field_mean and field_median."""
-    best = F.col(value).desc() if higher_is_better else F.col(value).asc()
-    n = F.count(F.lit(1)).over(whole(keys))
-    rank = F.rank().over(Window.partitionBy(*keys).orderBy(best))
-    return df.withColumns(
-        {
-            "rank": rank,
-            "n": n,
-            "percentile": F.when(n <= 1, F.lit(100.0)).otherwise(F.try_divide((n - rank).cast("double"), n - 1) * 100),
-            "field_mean": F.avg(value).over(whole(keys)),
-            "field_median": F.percentile(value, F.lit(0.5)).over(whole(keys)),
-        }
-    )
+    x = with_ranks(df, keys, value)
+    above = F.col("__n") - F.col("__below") - F.col("__same")
+    rank = ((above if higher_is_better else F.col("__below")) + 1).cast("int")
+    means = df.groupBy(*keys).agg(F.avg(value).alias("__mean")).withColumnsRenamed({k: f"__m_{k}" for k in keys})
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__m_{k}")) for k in keys))
+    x = x.join(means, same, "left").withColumns({"rank": rank, "n": F.col("__n"), "field_mean": F.col("__mean"), "field_median": F.col("__median")})
+    share = F.when(F.col("n") <= 1, F.lit(100.0)).otherwise(F.try_divide((F.col("n") - F.col("rank")).cast("double"), F.col("n") - 1) * 100)
+    out = x.withColumn("percentile", share)
+    return out.select(*df.columns, "rank", "n", "percentile", "field_mean", "field_median")
 
 
 def overall_rank(ranked: DataFrame, entity: str = "entity") -> DataFrame:
@@ -55,9 +54,9 @@ def overall_rank(ranked: DataFrame, entity: str = "entity") -> DataFrame:
 
 def share_below(df: DataFrame, keys, value: str = "value") -> DataFrame:
     """share_below: percentage of the other members of the group whose value is lower; 50 without others."""
-    n = F.count(F.lit(1)).over(whole(keys)) - 1
-    below = F.rank().over(Window.partitionBy(*keys).orderBy(F.col(value).asc())) - 1
-    return df.withColumn("share_below", F.when(n == 0, F.lit(50.0)).otherwise(F.try_divide(below.cast("double"), n) * 100))
+    x = with_ranks(df, keys, value)
+    n = F.col("__n") - 1
+    return x.withColumn("share_below", F.when(n == 0, F.lit(50.0)).otherwise(F.try_divide(F.col("__below").cast("double"), n) * 100)).select(*df.columns, "share_below")
 
 
 def average_rank(df: DataFrame, keys, value: str = "value", name: str = "midrank") -> DataFrame:

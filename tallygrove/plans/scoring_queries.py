@@ -12,6 +12,7 @@ from tallygrove.operators import scoring as R
 from tallygrove.operators import series as S
 from tallygrove.operators import windows as W
 from tallygrove.plans.registry import on_facts, on_monthly, on_series, register, rounded, with_facts, with_monthly, with_series
+from tallygrove.plans.series_queries import _TAIL
 from tallygrove.sources import macro, star
 from tallygrove.sources.packs import alias_table
 
@@ -290,7 +291,18 @@ register(
 SELECT entity, count(*) AS rules_evaluated, count(CASE WHEN c THEN 1 END) AS conflicts, round(coalesce(sum(CASE WHEN c THEN w END), 0), 6) AS total_severity,
   round(least(0.6, coalesce(sum(CASE WHEN c THEN w END), 0) * 0.12), 6)::DOUBLE AS penalty, coalesce(max(CASE WHEN c THEN w END), 0) >= 0.8 AS uncertain FROM ev GROUP BY entity"""),
 )
-register("temporal_conflicts", on_series(lambda s: J.temporal_conflicts(S.cross_correlation(s), W.deltas(s))))
+register(
+    "temporal_conflicts",
+    on_series(lambda s: J.temporal_conflicts(S.cross_correlation(s), s)),
+    with_series(_TAIL + """
+, sh AS (SELECT p.entity, p.a, p.b, l.lag, p.x, q.y FROM pr p, range(-6, 7) l(lag) JOIN pr q ON q.entity = p.entity AND q.a = p.a AND q.b = p.b AND q.back = p.back - l.lag)
+, pe AS (SELECT entity, a, b, lag, count(*) AS n, CASE WHEN stddev_pop(x) > 1e-9 AND stddev_pop(y) > 1e-9 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END AS r FROM sh GROUP BY ALL HAVING count(*) >= 5)
+, best AS (SELECT * FROM pe WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity, a, b ORDER BY round(abs(r), 9) DESC, lag) = 1)
+, way AS (SELECT entity, metric, sign(max_by(value, seq) - min_by(value, seq)) AS way FROM series GROUP BY ALL)
+SELECT c.entity, c.a, c.b, c.lag, round(c.r, 6) AS r, CASE WHEN x.way > 0 THEN 'up' ELSE 'down' END AS way_a, CASE WHEN y.way > 0 THEN 'up' ELSE 'down' END AS way_b
+FROM best c JOIN way x ON x.entity = c.entity AND x.metric = c.a JOIN way y ON y.entity = c.entity AND y.metric = c.b
+WHERE c.lag <> 0 AND abs(c.r) >= 1.96 / sqrt(c.n::DOUBLE) AND x.way * y.way < 0"""),
+)
 register(
     "benchmark_snapshot",
     on_series(lambda s: G.benchmark_snapshot(_scores(s).select("entity", "metric", "percentile"))),
