@@ -66,7 +66,8 @@ def _count_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             np.add.at(out, (shingles(text, WIDTH) & U(COUNTERS - 1)).astype(np.intp), 1)
     rows = out.reshape(-1, CHUNK)
     used = np.flatnonzero(rows.any(axis=1))
-    yield pd.DataFrame({"chunk": used, "salt": TaskContext.get().partitionId() % SALTS, "counts": [rows[k] for k in used]})
+    if len(used):
+        yield pd.DataFrame({"chunk": used, "salt": TaskContext.get().partitionId() % SALTS, "counts": [rows[k] for k in used]})
 
 
 def _sum_counters(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -80,7 +81,8 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
     summed = counted.groupBy("chunk", "salt").applyInPandas(_sum_counters, "chunk long, counts array<long>")
     found = summed.groupBy("chunk").applyInPandas(_sum_counters, "chunk long, counts array<long>").toArrow()  # COUNTERS longs
     total = np.zeros((COUNTERS // CHUNK, CHUNK), dtype=np.int64)
-    total[found["chunk"].to_numpy()] = found["counts"].combine_chunks().flatten().to_numpy().reshape(-1, CHUNK)
+    if len(found):
+        total[found["chunk"].to_numpy()] = found["counts"].combine_chunks().flatten().to_numpy().reshape(-1, CHUNK)
     return (2 * np.log2(total.ravel() + 1)).astype(np.uint8)
 
 
