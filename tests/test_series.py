@@ -268,3 +268,22 @@ def test_ljung_box_white_and_trending(series):
 def test_compounding_restarts(series):
     s = series({"m": [1, 2, 3, 4, 5]}).withColumn("r", F.when(F.col("seq") != 2, F.lit(0.1)))
     assert values(W.compounded(s, "r"), "compounded") == pytest.approx([0.1, 0.21, None, 0.1, 0.21])
+
+
+def test_spectral_peak_by_definition(series):
+    """The transform gives what the sums over all frequencies give; of equal peaks the lowest counts."""
+    import random
+
+    rnd = random.Random(11)
+    data = {f"m{k}": [rnd.gauss(0, 1) + 3 * math.sin(2 * math.pi * i / (3 + k)) for i in range(4 + 5 * k)] for k in range(12)}
+    got = {r["metric"]: r for r in S.spectral_peak(series(data)).collect()}
+    residuals = {}
+    for r in S.detrended(series(data)).collect():
+        residuals.setdefault(r["metric"], {})[r["seq"]] = r["residual"]
+    for m, x in residuals.items():
+        n = len(x)
+        power = [abs(sum(v * complex(math.cos(2 * math.pi * k * i / n), math.sin(2 * math.pi * k * i / n)) for i, v in x.items())) ** 2 for k in range(1, n // 2 + 1)]
+        assert got[m]["k"] == 1 + power.index(max(power)) and got[m]["power_share"] == pytest.approx(max(power) / sum(power))
+    wave = np.array([math.cos(2 * math.pi * 2 * i / 16) + math.cos(2 * math.pi * 5 * i / 16) for i in range(16)])
+    assert S.dominant_frequency(np.arange(16), wave) == (2, pytest.approx(0.5)) and S.dominant_frequency(np.arange(8), np.zeros(8)) == (1, 0.0)
+    assert S.spectral_peak(series({"short": [1.0, 2.0, 3.0]})).count() == 0
