@@ -31,11 +31,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +48,8 @@ WIDTH = 5
 PERCENT = 80
 #: Counters that the shingles of all documents are hashed to, and those summed in one row.
 COUNTERS, CHUNK, SALTS = 1 << 21, 1 << 12, 64
+#: Rows that a Python worker gets at a time.
+BATCH = 1_000
 #: Bits (a power of two) by which shingles of one row only are told apart from others before they are shuffled with their node.
 KEY_BITS = 1 << 26
 #: Widths of bitmaps, in bytes.
@@ -266,8 +269,25 @@ def _pairs_by_blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return shipped.groupBy("key", "band", "bl", "br").applyInPandas(_candidates_in_block, "a long, b long").distinct()
 
 
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Texts and sets go to Python in batches of BATCH rows, as a row may hold thousands of shingles."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def linked_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs."""
+    with _small_batches(docs.sparkSession):
+        return _linked(docs)
+
+
+def _linked(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     describe = _describe(frequency_levels(docs))
     rows = stored(
