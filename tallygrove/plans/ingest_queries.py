@@ -45,6 +45,12 @@ register(
 SELECT k AS _row, CASE WHEN bad = 1 THEN 'csv' ELSE 'api' END AS source_type, 'c' || c AS entity, CASE WHEN bad = 3 THEN 'saas' ELSE 'retail' END AS category, CASE WHEN bad = 4 THEN 'sales' ELSE 'organization' END AS role,
   metric, k::DOUBLE AS value, d AS day, region, CASE WHEN bad = 9 THEN '{"a": 1}' END AS metadata FROM t WHERE error_code IS NULL""",
 )
+register(
+    "canonical_payloads",
+    lambda spark, d: I.validate(raw_rows(spark, d))[0].select("_row", F.schema_of_variant("payload").alias("kind"), F.to_json("payload").alias("payload")),
+    _RAW + """
+SELECT k AS _row, CASE WHEN bad = 6 THEN 'OBJECT<value: BIGINT>' ELSE 'BIGINT' END AS kind, CASE WHEN bad = 6 THEN '{"value":' || k || '}' ELSE k::VARCHAR END AS payload FROM t WHERE error_code IS NULL""",
+)
 register(
     "metric_value_kinds",
     lambda spark, d: raw_rows(spark, d).groupBy(I.value_kind(F.col("metric_value")).alias("kind")).count().withColumnRenamed("count", "n"),

@@ -58,14 +58,14 @@ def ingest_csv(spark: SparkSession, path: str, facts: str, quarantine: str, mapp
     raw = I.unpivot(raw)
     plan = M.resolve_mapping(raw.columns, mapping)
     M.check_mapping(plan, raw.columns)
-    tagged = I.apply_mapping(raw, plan).withColumn("error_code", I.error_code())
+    tagged = I.checked(I.apply_mapping(raw, plan))
     tagged.write.mode("overwrite").saveAsTable(f"{facts}_upload")  # arrival numbers are fixed here
     done = spark.table(f"{facts}_upload")
-    good = I.split_entities(I.canonical(done.where("error_code is null").drop("error_code")), behaviour)
+    good = I.split_entities(I.canonical(done.where("error_code is null")), behaviour)
     fresh = I.insert_new(spark.table(facts), good) if spark.catalog.tableExists(facts) else I.keep_first(good)
     before = spark.table(facts).count() if spark.catalog.tableExists(facts) else 0
     fresh.write.mode("append").saveAsTable(facts)
-    bad = done.where("error_code is not null")
+    bad = done.where("error_code is not null").drop("_ts", "_payload", "_metadata_ok")
     bad.write.mode("append").saveAsTable(quarantine)
     out = {"inserted": spark.table(facts).count() - before, "rejected": bad.count()}
     spark.sql(f"drop table {facts}_upload")

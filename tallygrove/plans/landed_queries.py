@@ -393,7 +393,7 @@ register(
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_rows(spark, sf_dir).withColumn("error_code", I.error_code()).where("error_code is null").drop("error_code")
+    return I.checked(raw_rows(spark, sf_dir)).where("error_code is null")
 
 
 # Items of pages by selectors.

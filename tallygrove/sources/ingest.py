@@ -6,9 +6,12 @@ expressions, so bad values become error codes.
 
 from __future__ import annotations
 
+import datetime
 import re
 from dataclasses import dataclass
 
+import pandas as pd
+from dateutil import parser as date_parser
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,60 +59,112 @@ def apply_mapping(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
 
 
 # Rows.
-FORMATS = ("yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]", "yyyy-MM-dd HH:mm:ss", "yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "dd.MM.yyyy", "yyyy-MM", "MMM yyyy")
+#: What a date looks like, and the format of such a date; only that one is tried.
+FORMATS = (
+    (r"^\d{4}-\d{2}-\d{2}T", "yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]"), (r"^\d{4}-\d{2}-\d{2} ", "yyyy-MM-dd HH:mm:ss"), (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), (r"^\d{4}/", "yyyy/M/d"),
+    (r"^\d{1,2}/", "M/d/yyyy"), (r"^\d{2}\.", "dd.MM.yyyy"), (r"^\d{4}-\d{2}$", "yyyy-MM"), (r"^[A-Za-z]{3} \d{4}$", "MMM yyyy"),
+)
 
 
 def parse_timestamp(text: Column) -> Column:
-    """First format that fits; no time zone means UTC."""
-    return F.coalesce(*(F.try_to_timestamp(F.trim(text), F.lit(f)) for f in FORMATS))
+    """A timestamp in one of the formats; no time zone means UTC."""
+    t = F.trim(text)
+    out = F
+    for shape, fmt in FORMATS:
+        out = out.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(fmt)))
+    return out
+
+
+def read_date(text: str | None) -> int | None:
+    """Microseconds since 1970 of a date in any common notation; UTC if it names no zone; months before days.
+
+    A missing month or day is the first; what names no year is no date.
+    """
+    if text is None:
+        return None
+    try:
+        one, other = (date_parser.parse(text, default=datetime.datetime(y, 1, 1)) for y in (2000, 2004))
+        if one.year != other.year:
+            return None
+        at = one.replace(tzinfo=datetime.timezone.utc) if one.tzinfo is None else one.astimezone(datetime.timezone.utc)
+        return (at - datetime.datetime(1970, 1, 1, tzinfo=datetime.timezone.utc)) // datetime.timedelta(microseconds=1)
+    except (ValueError, OverflowError, TypeError):
+        return None
+
+
+@F.pandas_udf(T.LongType())
+def _read_dates(texts: pd.Series) -> pd.Series:
+    return pd.Series([read_date(t) for t in texts], dtype="Int64")
 
 
 def blank(c: Column) -> Column:
     return c.isNull() | (F.trim(c) == "")
 
 
-def error_code(closed_categories: tuple[str, ...] = TIMED_CATEGORIES) -> Column:
-    """The first rule that a mapped row breaks; null for a good row."""
+def payload(raw: Column) -> Column:
+    """A cell as VARIANT: JSON, numbers and truth values as such, anything else as a string; null if it begins like JSON and is none."""
+    t = F.trim(raw)
+    parsed = F.try_parse_json(F.when(F.lower(t).isin("true", "false"), F.lower(t)).otherwise(t))
+    return F.when(t.rlike(r"^[\[{]"), parsed).otherwise(F.coalesce(parsed, F.when(t != "", t).cast("variant")))
+
+
+def checked(mapped: DataFrame) -> DataFrame:
+    """mapped with _ts, _payload, _metadata_ok and error_code, the first rule that a row breaks (null for a good row).
+
+    Dates and JSON are parsed once a row: they come out of a generator, so that no filter on them parses again.
+    Dates in none of the formats go to a lenient reader in Python; other rows send it nulls.
+    """
     c = F.col
+    once = F.struct(
+        parse_timestamp(c("timestamp")).alias("_strict"), payload(c("metric_value")).alias("_payload"),
+        (F.trim("metadata_json").rlike(r"^\{") & F.try_parse_json("metadata_json").isNotNull()).alias("_metadata_ok"))
+    x = mapped.select("*", F.inline(F.array(once)))
+    late = F.when(c("_strict").isNull() & ~blank(c("timestamp")), F.trim("timestamp"))
+    x = x.withColumn("_ts", F.coalesce("_strict", F.timestamp_micros(_read_dates(late)))).drop("_strict")
     every_blank = F.lit(True)
     for f in FIELDS:
         every_blank = every_blank & blank(c(f))
     missing = F.lit(False)
     for f in REQUIRED:
         missing = missing | blank(c(f))
-    json_like = F.trim(c("metric_value")).rlike(r"^[\[{]")
-    return (
+    code = (
         F.when(every_blank, "empty_row")
         .when(missing, "required_missing")
-        .when(blank(c("timestamp")) & F.lower(F.trim("category")).isin(*closed_categories), "timestamp_required")
-        .when(~blank(c("timestamp")) & parse_timestamp(c("timestamp")).isNull(), "timestamp_invalid")
-        .when(json_like & F.try_parse_json(c("metric_value")).isNull(), "metric_json_invalid")
-        .when(~blank(c("metadata_json")) & (~F.trim("metadata_json").rlike(r"^\{") | F.try_parse_json(c("metadata_json")).isNull()), "metadata_json_invalid")
+        .when(blank(c("timestamp")) & F.lower(F.trim("category")).isin(*TIMED_CATEGORIES), "timestamp_required")
+        .when(~blank(c("timestamp")) & c("_ts").isNull(), "timestamp_invalid")
+        .when(c("_payload").isNull(), "metric_json_invalid")
+        .when(~blank(c("metadata_json")) & ~F.coalesce(c("_metadata_ok"), F.lit(False)), "metadata_json_invalid")
     )
+    return x.withColumn("error_code", code)
+
+
+_PARSED = ("_ts", "_payload", "_metadata_ok", "error_code")
 
 
 def validate(mapped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(canonical rows, quarantined rows with error_code). One pass tags every row; the two results filter it."""
-    tagged = mapped.withColumn("error_code", error_code())
-    return canonical(tagged.where("error_code is null").drop("error_code")), tagged.where("error_code is not null")
+    tagged = checked(mapped)
+    return canonical(tagged.where("error_code is null")), tagged.where("error_code is not null").drop(*_PARSED[:-1])
 
 
 def canonical(good: DataFrame) -> DataFrame:
-    """Typed canonical rows: lower-cased names, unknown sources as csv, role `organization`, no timestamp as now."""
+    """Typed canonical rows of rows that `checked` found good: lower-cased names, unknown sources as csv, role
+    `organization`, no timestamp as now; payload is the cell as VARIANT.
+    """
     low = lambda c: F.lower(F.trim(c))
     source = F.when(low("source_type").isin(*SOURCES), low("source_type")).otherwise("csv")
     return good.select(
         "_row", source.alias("source_type"), F.trim("entity_name").alias("entity"), low("category").alias("category"),
         F.when(blank(F.col("role")), "organization").otherwise(low("role")).alias("role"), low("metric_name").alias("metric"),
-        F.trim("metric_value").alias("raw_value"), numeric_value(F.col("metric_value")).alias("value"),
-        F.coalesce(parse_timestamp(F.col("timestamp")), F.current_timestamp()).alias("ts"), F.when(~blank(F.col("region")), F.trim("region")).alias("region"),
+        F.trim("metric_value").alias("raw_value"), numeric_payload(F.col("metric_value"), F.col("_payload")).alias("value"), F.col("_payload").alias("payload"),
+        F.coalesce("_ts", F.current_timestamp()).alias("ts"), F.when(~blank(F.col("region")), F.trim("region")).alias("region"),
         F.when(~blank(F.col("metadata_json")), F.col("metadata_json")).alias("metadata"),
     )
 
 
-def numeric_value(raw: Column) -> Column:
-    """The number in a cell or in {"value": x}; what is not finite is null."""
-    x = F.coalesce(F.trim(raw).try_cast("double"), F.get_json_object(raw, "$.value").try_cast("double"))
+def numeric_payload(raw: Column, value: Column) -> Column:
+    """The number in a cell, or under `value` in its payload; what is not finite is null."""
+    x = F.coalesce(F.trim(raw).try_cast("double"), F.try_variant_get(value, "$.value", "double"))
     return F.when(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), x)
 
 

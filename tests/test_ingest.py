@@ -16,8 +16,8 @@ from tallygrove.streaming import events as E
 
 
 def test_mapping_priorities():
-    assert M.resolve_mapping(["Company", "KPI", "Amount", "Category", "Date"]) == {
-        "entity_name": "Company", "category": "Category", "metric_name": "KPI", "metric_value": "Amount", "timestamp": "Date"}
+    assert M.resolve_mapping(["Company", "KPI", "Amount", "Category", "Date", "Source"]) == {
+        "source_type": "Source", "entity_name": "Company", "category": "Category", "metric_name": "KPI", "metric_value": "Amount", "timestamp": "Date"}
     over = M.resolve_mapping(["zzz", "entity"], {"metric_name": "entity"})
     assert over["metric_name"] == "entity" and over.get("entity_name") is None
     fuzzy = M.resolve_mapping(["entity names", "metric nam", "metric valu", "categori"])
@@ -67,6 +67,35 @@ def test_csv_to_canonical(upload):
     assert [r["error_code"] for r in bad.orderBy("_row").collect()] == ["required_missing", "timestamp_required", "timestamp_invalid"]
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("March 5, 2024", "2024-03-05T00:00:00"), ("5 March 2024 10:30", "2024-03-05T10:30:00"), ("2024-03-05T10:30:00.25+02:00", "2024-03-05T08:30:00.250000"), ("20240305", "2024-03-05T00:00:00"),
+        ("Tue, 05 Mar 2024 10:00:00 -0500", "2024-03-05T15:00:00"), ("03-05-2024", "2024-03-05T00:00:00"), ("25/12/2024", "2024-12-25T00:00:00"), ("2024-03-05 4pm", "2024-03-05T16:00:00"),
+        ("Sept 2024", "2024-09-01T00:00:00"), ("05.03.2024", "2024-03-05T00:00:00"), ("2024-3-5 10:30", "2024-03-05T10:30:00"), ("1/2/2024", "2024-01-02T00:00:00"),
+        ("2024-02-30", None), ("never", None), ("March 5", None), ("10:30", None), ("99999999999999999999", None), ("", None), (None, None),
+    ],
+)
+def test_lenient_dates(spark, text, want):
+    row = dict.fromkeys(M.FIELDS, "x") | {"metadata_json": None, "timestamp": text}
+    got = I.checked(spark.createDataFrame([row], ", ".join(f"{f} string" for f in M.FIELDS))).first()
+    assert (got["_ts"].isoformat() if got["_ts"] else None) == want
+    assert got["error_code"] == ("timestamp_invalid" if want is None and text else None)
+
+
+def test_payloads(spark):
+    cells = {"1": "1", " 1.50 ": "1.5", "1e5": "100000", "TRUE": "true", "[1, {\"a\": null}]": '[1,{"a":null}]', "abc": '"abc"', "nan": '"nan"', "{bad": None}
+    df = spark.createDataFrame([(k,) for k in cells], "c string").select("c", F.to_json(I.payload(F.col("c"))).alias("p"))
+    got = {r["c"]: r["p"] for r in df.collect()}
+    assert {k: None if v is None else v for k, v in got.items()} == cells | {"1e5": got["1e5"]} and float(got["1e5"]) == 1e5
+
+
+def test_rows_are_parsed_once(spark):
+    df = spark.createDataFrame([dict.fromkeys(M.FIELDS, "x")], ", ".join(f"{f} string" for f in M.FIELDS)).withColumn("_row", F.lit(1))
+    plan = I.validate(df)[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("try_to_timestamp") == len(I.FORMATS) and plan.count("parse_json") + plan.count("parseJson") <= 4
+
+
 def test_interpret(spark):
     rows = [(f"Co {i % 3}", "saas", "mrr", str(i), "2024-01-01") for i in range(12)]
     df = spark.createDataFrame(rows, "entity_name string, category string, metric_name string, metric_value string, timestamp string")
