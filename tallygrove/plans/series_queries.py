@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallygrove.operators import models as M
 from tallygrove.operators import series as S
 from tallygrove.operators import windows as W
 from tallygrove.plans.registry import on_facts, on_series, register, with_facts, with_recursive_series, with_series
@@ -330,3 +331,16 @@ register(
 , sm AS (SELECT *, avg(value) OVER ({_S} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS rm FROM flags)
 SELECT entity, metric, count(*) AS n, round(avg(rm), 6) AS smoothed_mean, count(CASE WHEN is_iqr THEN 1 END) AS anomalies FROM sm GROUP BY ALL"""),
 )
+
+
+# Two models over one frame, chosen per series.
+register(
+    "forecast_by_model",
+    on_series(lambda s: M.forecasts(s.withColumn("model", F.when(F.col("metric") == "recurring_revenue", "line").when(F.col("metric") != "churn_rate", "drift").otherwise("nobody")))),
+    with_series("""
+, f AS (SELECT entity, metric, count(*) AS n, regr_slope(value, seq) AS b, regr_intercept(value, seq) AS a, max(seq) AS last_seq, max_by(value, seq) AS last, min_by(value, seq) AS first FROM series WHERE value IS NOT NULL GROUP BY ALL)
+, m AS (SELECT *, CASE WHEN metric = 'recurring_revenue' THEN 'line' WHEN metric <> 'churn_rate' THEN 'drift' ELSE 'nobody' END AS model FROM f)
+, t AS (SELECT *, CASE WHEN model = 'nobody' THEN 'unknown_model' WHEN n < CASE model WHEN 'line' THEN 3 ELSE 2 END THEN 'insufficient_data' ELSE 'ok' END AS status FROM m)
+SELECT entity, metric, model, k::INTEGER AS step, round(CASE model WHEN 'line' THEN a + b * (last_seq + k) ELSE last + k * (last - first) / (n - 1) END, 6) AS forecast, status FROM t, range(1, 4) r(k) WHERE status = 'ok'
+UNION ALL SELECT entity, metric, model, NULL, NULL, status FROM t WHERE status <> 'ok'"""),
+)
