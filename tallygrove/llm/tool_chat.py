@@ -3,7 +3,11 @@
 Turns become events: a plain turn is one message; an assistant turn whose text
 is a JSON object with `tool_calls` (a list of {id, name, arguments}) gives one
 call each, after its `content` if there is any; a tool turn whose text is a
-JSON object with `tool_call_id` is a result. Calls and results are hash-joined
+JSON object with `tool_call_id` is a result. A call may also be {id, function:
+{name, arguments}}, and its arguments JSON text; it is written as {id, name,
+arguments} with the arguments read. All other keys of a turn, a call or a
+`function` stay where they are (those of an assistant turn go with its content);
+a `role` in the text gives way to the row's. Calls and results are hash-joined
 on conversation and identifier. A call may name earlier calls in its arguments
 as {"$ref": id}; events are ordered so that a call follows the results that it
 names and a result follows its call, and otherwise by turn. Arguments are
@@ -156,25 +160,45 @@ def _constant(name: str) -> None:
     raise ValueError(name)
 
 
+def _read_call(call: dict) -> tuple[object, object, dict]:
+    """(name, arguments, all else) of a call, flat or with a `function`; arguments that are JSON text are read."""
+    inner = call.get("function")
+    nested = isinstance(inner, dict) and "name" not in call and "arguments" not in call
+    source = inner if nested else call
+    name, arguments = source.get("name"), source.get("arguments")
+    if isinstance(arguments, str):
+        try:
+            arguments = json.loads(arguments, parse_constant=_constant)
+        except (ValueError, RecursionError):
+            pass  # judged as the text that it is
+    rest = {k: v for k, v in call.items() if k not in ("id", "name", "arguments")}
+    if nested:
+        rest["function"] = {k: v for k, v in inner.items() if k not in ("name", "arguments")}
+        if not rest["function"]:
+            del rest["function"]
+    return name, arguments, rest
+
+
 def _tool_events(role: str, text: str, tools: dict) -> list[dict] | None:
-    """The events of a turn that is a call or a result, else None."""
+    """The events of a turn that is a call or a result, else None. Every key stays; the row's role counts."""
     data = json.loads(text, parse_constant=_constant)
     if role == "tool":
         if not isinstance(data.get("tool_call_id"), str):
             return None
-        message = canonical({"content": data.get("content"), "role": "tool", "tool_call_id": data["tool_call_id"]})
+        message = canonical({**data, "content": data.get("content"), "role": "tool"})
         return [{"kind": "result", "call_id": _escaped(data["tool_call_id"]), "refs": [], "errors": [], "message": message}]
     calls = data.get("tool_calls")
     if not isinstance(calls, list) or not calls or not all(isinstance(c, dict) and isinstance(c.get("id"), str) for c in calls):
         return None
     out = []
-    if data.get("content"):
-        out.append({"kind": "message", "call_id": None, "refs": [], "errors": [], "message": canonical({"content": data["content"], "role": role})})
+    said = {k: v for k, v in data.items() if k not in ("tool_calls", "role") and (k != "content" or v)}
+    if said:
+        out.append({"kind": "message", "call_id": None, "refs": [], "errors": [], "message": canonical({**said, "role": role})})
     for c in calls:
-        arguments = c.get("arguments")
-        message = canonical({"role": role, "tool_calls": [{"arguments": arguments, "id": c["id"], "name": c.get("name")}]})
+        name, arguments, rest = _read_call(c)
+        message = canonical({"role": role, "tool_calls": [{**rest, "arguments": arguments, "id": c["id"], "name": name}]})
         refs = sorted(set(map(_escaped, references(arguments))))
-        out.append({"kind": "call", "call_id": _escaped(c["id"]), "refs": refs, "errors": problems(c.get("name"), arguments, tools), "message": message})
+        out.append({"kind": "call", "call_id": _escaped(c["id"]), "refs": refs, "errors": problems(name, arguments, tools), "message": message})
     return out
 
 

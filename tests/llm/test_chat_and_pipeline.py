@@ -12,7 +12,7 @@ from tallygrove.llm.decontamination import contamination
 from tallygrove.llm.mixing import mixed_sizes
 from tallygrove.llm.near_dup import near_duplicates
 from tallygrove.llm.quality_classifier import learn, with_score
-from tallygrove.llm.tool_chat import canonical, format_chats, problems, references, violations
+from tallygrove.llm.tool_chat import TOOLS, canonical, format_chats, problems, references, violations
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -189,6 +189,50 @@ def test_turns_that_cannot_be_written(spark):
     assert len(got[2]) == 2
 
 
+def test_every_key_stays():
+    """What a turn holds, whatever its keys, is what its events hold."""
+    import random
+
+    from tallygrove.llm.tool_chat import parse_turn
+
+    rnd = random.Random(8)
+    extra = lambda: {rnd.choice(("refusal", "tag", "type", "is_error", "é", "x1")): rnd.choice((None, True, 1.5, "t", [1, {"a": None}], {"b": "c"})) for _ in range(rnd.randrange(3))}
+    for _ in range(400):
+        calls, flat = [], []
+        for k in range(rnd.randrange(1, 4)):
+            arguments = rnd.choice(({"query": "q"}, {"query": "é", "limit": 3}, None, {}))
+            name, more, inner = rnd.choice(("search", "none", None)), extra(), extra()
+            shown = rnd.choice((arguments, json.dumps(arguments)))
+            if rnd.random() < 0.5:
+                calls.append({**more, "id": f"c{k}", "function": {**inner, "name": name, "arguments": shown}})
+                more = {**more, **({"function": inner} if inner else {})}
+            else:
+                calls.append({**more, "id": f"c{k}", "name": name, "arguments": shown})
+            flat.append({**more, "id": f"c{k}", "name": name, "arguments": arguments})
+        said = {**extra(), **rnd.choice(({}, {"content": "hi"}, {"content": ""}, {"content": [{"type": "text"}]}))}
+        events = parse_turn("assistant", json.dumps({**said, "role": "other", "tool_calls": calls}), TOOLS)
+        got = [json.loads(e["message"]) for e in events]
+        said = {k: v for k, v in said.items() if k != "content" or v}
+        assert [m["tool_calls"][0] for m in got if "tool_calls" in m] == flat
+        assert [m for m in got if "tool_calls" not in m] == ([{**said, "role": "assistant"}] if said else [])
+        result = {**extra(), "tool_call_id": "c0", "name": "search", "content": rnd.choice(("x", None, {"a": 1}))}
+        (event,) = parse_turn("tool", json.dumps(result), TOOLS)
+        assert json.loads(event["message"]) == {**result, "role": "tool"} and event["call_id"] == "c0"
+
+
+def test_function_calls_are_read_and_judged():
+    from tallygrove.llm.tool_chat import parse_turn
+
+    def errors(call):
+        return parse_turn("assistant", json.dumps({"tool_calls": [{"id": "a", **call}]}), TOOLS)[0]["errors"]
+
+    assert errors({"type": "function", "function": {"name": "search", "arguments": '{"query": "x"}'}}) == [] == errors({"name": "search", "arguments": {"query": "x"}})
+    assert errors({"function": {"name": "search", "arguments": "{}"}}) == errors({"name": "search", "arguments": {}}) != []
+    assert errors({"function": {"name": "search", "arguments": "{bad"}}) != [] and errors({"function": {"arguments": "{}"}}) == ["unknown tool"]
+    refs = parse_turn("assistant", json.dumps({"tool_calls": [{"id": "a", "function": {"name": "search", "arguments": '{"query": {"$ref": "b"}}'}}]}), TOOLS)[0]["refs"]
+    assert refs == ["b"]
+
+
 def test_equal_rows_and_clashing_columns(spark, monkeypatch):
     import tallygrove.llm.tool_chat as C
 
