@@ -23,6 +23,7 @@ from tallygrove.sources import ingest as I
 from tallygrove.sources import mapping as M
 from tallygrove.sources import merge as U
 from tallygrove.sources import star
+from tallygrove.sources.packs import churn_metric
 from tallygrove.streaming.events import changed_entities
 
 
@@ -104,8 +105,9 @@ def kpi_job(facts: DataFrame, business_type: str, table: str, digests: str) -> i
 
 
 def forecast_job(series: DataFrame, table: str) -> None:
-    """Appends the next value of every series with its confidence."""
-    out = X.forecasts_or_fallback(series)
+    """Appends the next value of every series with its confidence, slope and last deviation."""
+    line = S.linear_forecast(series, horizon=1).select("entity", "metric", "slope", "deviation")
+    out = X.forecasts_or_fallback(series).join(line, ["entity", "metric"], "left")
     out.withColumn("created_at", F.current_timestamp()).write.mode("append").saveAsTable(table)
 
 
@@ -114,13 +116,28 @@ def latest_forecasts(table: DataFrame) -> DataFrame:
     return W.latest(table, ("entity", "metric"), ("created_at",))
 
 
-def risk_job(series: DataFrame, table: str) -> None:
-    """Appends the risk of every entity from its revenue's last change and trend; a failing entity fails the job."""
-    d = W.deltas(series.where("metric = 'recurring_revenue'")).select("entity", F.col("mom").alias("growth"))
-    f = S.linear_forecast(series.where("metric = 'recurring_revenue'"), horizon=1).select("entity", "slope", "deviation")
-    score = R.risk_score(F.col("growth"), F.lit(0.0), F.col("slope"), F.abs("deviation"), F.lit(0.0), F.lit(True))
-    out = d.join(f, "entity").select("entity", score.alias("risk_score")).withColumn("level", R.risk_level(F.col("risk_score")))
-    out.withColumn("created_at", F.current_timestamp()).write.mode("append").saveAsTable(table)
+def stored_risks(kpis: DataFrame, forecasts: DataFrame, churn: str = "churn_rate", primary: str = "recurring_revenue") -> DataFrame:
+    """entity, risk_score, level, has_forecast from what is stored: the entity's newest KPI window and its newest forecast of the primary metric.
+
+    kpis (entity, month, metric, value); forecasts (entity, metric, slope, deviation, acceleration if there is one,
+    created_at). A KPI that the newest window lacks counts as 0.
+    """
+    newest = lambda name: F.coalesce(F.max(F.struct("month", F.when(F.col("metric") == name, F.col("value")).alias("v")))["v"], F.lit(0.0)).alias(name)
+    own = kpis.groupBy("entity").agg(newest("growth_rate"), newest(churn))
+    acceleration = "acceleration" if "acceleration" in forecasts.columns else F.lit(0.0).alias("acceleration")
+    ahead = latest_forecasts(forecasts.where(F.col("metric") == primary)).select("entity", "slope", "deviation", acceleration, F.lit(True).alias("has_forecast"))
+    met = own.join(ahead, "entity", "left").withColumn("has_forecast", F.coalesce("has_forecast", F.lit(False)))
+    score = R.risk_score(F.col("growth_rate"), F.col(churn), F.col("slope"), F.col("deviation"), F.col("acceleration"), F.col("has_forecast"))
+    return met.select("entity", score.alias("risk_score"), "has_forecast").withColumn("level", R.risk_level(F.col("risk_score")))
+
+
+def risk_job(kpis: DataFrame, forecasts: DataFrame, table: str, business_type: str = "saas") -> None:
+    """Appends the risk of every entity from its stored KPIs and forecast; an entity without a forecast fails the job."""
+    out = stored_risks(kpis, forecasts, churn_metric(business_type))
+    missing = [r["entity"] for r in out.where("not has_forecast").select("entity").limit(5).collect()]
+    if missing:
+        raise ValueError(f"no stored forecast of {', '.join(map(str, missing))}")
+    out.drop("has_forecast").withColumn("created_at", F.current_timestamp()).write.mode("append").saveAsTable(table)
 
 
 def export_kpis(maps: DataFrame, limit: int = 100_000) -> DataFrame:

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallygrove.operators import contexts as X
+from tallygrove.operators import kpis as K
+from tallygrove.operators import scoring as R
 from tallygrove.plans import jobs
 from tallygrove.sources import ingest as I
 from tallygrove.sources import star
@@ -49,10 +51,25 @@ def test_forecast_and_risk_jobs(spark, db, sf_dir):
         jobs.forecast_job(s, f"{db}.forecasts")
     stored = spark.table(f"{db}.forecasts")
     assert jobs.latest_forecasts(stored).count() == s.select("entity", "metric").distinct().count() == stored.count() // 2
-    jobs.risk_job(s, f"{db}.risk")
+    kpis = K.payload(K.compute(K.windows_of(star.monthly(star.facts(spark, sf_dir))), "saas"), "saas")
+    jobs.risk_job(kpis, stored, f"{db}.risk")
     assert spark.table(f"{db}.risk").where("risk_score between 0 and 100").count() == s.select("entity").distinct().count()
 
 
+def test_risks_from_what_is_stored(spark):
+    day = datetime.date
+    kpis = [("a", day(2024, 1, 1), "growth_rate", 0.9), ("a", day(2024, 2, 1), "growth_rate", -0.5), ("a", day(2024, 2, 1), "churn_rate", 0.4), ("b", day(2024, 1, 1), "growth_rate", 0.5), ("b", day(2024, 2, 1), "churn_rate", None), ("c", day(2024, 1, 1), "growth_rate", 0.0)]
+    ahead = [("a", "recurring_revenue", 0.5, 0.1, 1), ("a", "recurring_revenue", -0.5, 0.2, 2), ("a", "other", -9.0, 9.0, 3), ("b", "recurring_revenue", 0.3, 0.0, 1)]
+    k = spark.createDataFrame(kpis, "entity string, month date, metric string, value double")
+    f = spark.createDataFrame(ahead, "entity string, metric string, slope double, deviation double, created_at int")
+    got = {r["entity"]: (r["risk_score"], r["has_forecast"]) for r in jobs.stored_risks(k, f).collect()}
+    score = lambda *x: spark.range(1).select(R.risk_score(*map(F.lit, x))).first()[0]
+    assert got == {"a": (score(-0.5, 0.4, -0.5, 0.2, 0.0, True), True), "b": (score(0.0, 0.0, 0.3, 0.0, 0.0, True), True), "c": (score(0.0, 0.0, 0.0, 0.0, 0.0, False), False)}
+    assert jobs.stored_risks(k, f.withColumn("acceleration", F.lit(1.0))).where("entity = 'a'").first()["risk_score"] == score(-0.5, 0.4, -0.5, 0.2, 1.0, True)
+    with pytest.raises(ValueError, match="no stored forecast of c"):
+        jobs.risk_job(k, f, "nowhere")
+
+
 def test_audit_and_isolation(spark, db):
     audit = f"{db}.audit"
     assert jobs.run_job(spark, audit, "good", lambda: 7) == 7
