@@ -66,7 +66,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
     def handed_on() -> Iterator[pd.DataFrame]:
-        for (lang, source), (n, df) in held.items():
+        for (lang, source), (n, df) in ((g, c) for g, c in held.items() if c[0]):
             yield pd.DataFrame({"lang": lang, "source": source, "term": [t.decode("utf-8", "replace") for t in n], "n": list(n.values()), "df": [df[t] for t in n]})
         held.clear()
 

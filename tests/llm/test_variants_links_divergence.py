@@ -272,10 +272,10 @@ def audit(df):
 def test_divergence_of_written_texts(spark, monkeypatch):
     rng = random.Random(4)
     rows = []
-    for k in range(400):
+    for k in range(1500):
         lang, source = rng.choice(("en", "de", None)), rng.choice(("a", "b", "c", "Ä", None, "lone" if k < 2 else "b"))
         rows.append((k, " ".join(f"T{rng.choice('abcdefghijklmnopqrstuvwxyzé')}{rng.choice('xyzü')}{rng.choice('ab') if source == 'a' else ''}" for _ in range(rng.randrange(0, 60))), lang, source))
-    rows += [(900, "rare", "fr", "a"), (901, None, "fr", "b"), (902, "", "it", "only")]
+    rows += [(9000, "rare", "fr", "a"), (9001, None, "fr", "b"), (9002, "", "it", "only"), (9003, "1 2 3", "it", "digits")]
     df = spark.createDataFrame(rows, SCHEMA)
     want = brute_divergence(rows)
     assert sum(x[2] == "term" for x in want) > 300 and max(x[5] for x in want) == 50
