@@ -81,3 +81,27 @@ def test_a_faulty_site_leaves_the_others_alone(spark):
     config = spark.createDataFrame([("a.test", "products", ["h3"]), ("b.test", "products", ["h3:hover"]), ("b.test", "headlines", ["article"])], "site string, kind string, selectors array<string>")
     got = {(r["site"], r["kind"], r["title"], r["details"], r["error"] is None) for r in P.scrape(pages, config).collect()}
     assert got == {("a.test", "products", "Pro", "Pro", True), ("b.test", "products", None, None, False), ("b.test", "headlines", None, "An article of some length Short", True)}
+
+
+CUT = """<html><head><title>x</title><script>if (a && b1 &amp c) {}</script></head><body><!-- 4 & 5 &lt --><article><h1 class="a&amp;b&lt">Head of 7 &amp;&quot;&#36;&ampx; &no; &#x; R&D &amp</h1></article></body></html>"""
+
+
+def test_references_without_semicolon():
+    assert P.items(CUT, "headlines", ["h1"])[0][2] == 'Head of 7 &"$&x; &no; &#x; R&D &'
+    assert P.items(CUT, "headlines", ["h1"], closed=True)[0][2] == 'Head of 7 &"$&ampx; &no; &#x; R&D &amp'
+    assert P.parsed(CUT, closed=True)[1] == ["x", "if (a && b1 &amp c) {}", " 4 & 5 &lt ", 'Head of 7 &"$&ampx; &no; &#x; R&D &amp']
+    assert P.selected(P.parsed(CUT, closed=True)[0], ["h1"])[0].attrs == {"class": "a&b&lt"}
+
+
+def test_queries_of_cut_titles_match_their_sql(spark, tmp_path):
+    import duckdb
+
+    from tallygrove.plans.all_queries import QUERIES, SQL
+
+    cut = "<html><head><title>{0}</title><script>var t=1;</script></head><body><!-- ad 0 --><article><h1>{0}</h1></article></body></html>"
+    rows = [(1, "http://a.test/", cut.format("the&amp;&amp;&amp; and 57&amp;&amp;&amp")), (2, "http://b.test/", cut.format("token = &quot;8078de7b&quot")), (3, "http://c.test/", cut.format("Thing of 12 &am"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for name in ("page_headline_items",):
+        assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(SQL[name]).fetchall()), name
