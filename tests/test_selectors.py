@@ -103,5 +103,5 @@ def test_queries_of_cut_titles_match_their_sql(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
-    for name in ("page_headline_items",):
+    for name in ("page_headline_items", "page_price_strings"):
         assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(SQL[name]).fetchall()), name
