@@ -185,3 +185,12 @@ def test_sessions_and_stream(spark, tmp_path):
         E.append_facts(stream, "stream_facts", str(tmp_path / "cp"), ("event_id",)).awaitTermination()
     assert spark.table("stream_facts").count() == 5
     spark.sql("drop table stream_facts")
+
+
+@pytest.mark.parametrize("name", ["page_text", "page_headlines", "page_prices", "scraped_canonical_rows"])
+def test_pages_go_to_python_in_small_batches(spark, sf_dir, capsys, name):
+    from tallygrove.plans.all_queries import QUERIES
+
+    QUERIES[name](spark, sf_dir).explain()
+    plan = capsys.readouterr().out
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
