@@ -105,3 +105,23 @@ def test_queries_of_cut_titles_match_their_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     for name in ("page_headline_items", "page_price_strings"):
         assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(SQL[name]).fetchall()), name
+
+
+def test_pages_of_a_site_do_not_gather_in_one_task(spark, capsys):
+    pages = spark.range(10).select(F.col("id").alias("page_id"), F.lit("http://a.test/x").alias("url"), F.lit(PAGE).alias("html"))
+    config = spark.createDataFrame([("a.test", "products", ["h3"])], "site string, kind string, selectors array<string>").repartition(2)
+    with_few = P.scrape(pages, config)
+    assert with_few.count() == 10
+    with_few.explain()
+    assert "hashpartitioning(site" not in capsys.readouterr().out
+
+
+def test_selectors_are_checked_before_the_page_is_read(monkeypatch):
+    monkeypatch.setattr(P, "parsed", lambda *a: pytest.fail("the page was read"))
+    with pytest.raises(ValueError):
+        P.items(PAGE, "events", ["div", "div::before"])
+
+
+@pytest.mark.parametrize(("text", "want"), [("5  March  2024", "2024-03-05"), ("March 05,2024", None), ("5 March, 2024", None), ("13/1/2024", "2024-01-13"), ("2024-3-5", "2024-03-05"), ("sept 5, 2024", None), ("x 5, 2024", None), ("٢٠٢٤-01-02", "2024-01-02")])
+def test_dates_by_shape(text, want):
+    assert P.date_of(text) == want
