@@ -48,3 +48,23 @@ def test_mail_dates(spark, text):
 @pytest.mark.parametrize("text", [None, "", "yesterday", "2024-10-02", "Wed, 42 Oct 2024 08:00:00 GMT", "2 Okt 2024 08:00:00 GMT"])
 def test_what_is_no_mail_date(spark, text):
     assert spark.createDataFrame([(text,)], "t string").select(feeds.mail_date(F.col("t"))).first()[0] is None
+
+
+def test_items_of_split_and_packed_feeds_keep_their_places(spark, tmp_path, capsys):
+    good = "Wed, 02 Oct 2024 08:00:00 -0700"
+    for name, n in (("a", 700), ("b", 3), ("c", 900), ("d", 1)):
+        (tmp_path / f"{name}.xml").write_text(HEAD + "\n" + "\n".join(item(f"{name}{k}", good) for k in range(n)) + "\n</channel></rss>")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 20_000)
+    try:
+        items = feeds.feed_items(spark, str(tmp_path))
+        got = items.select("title", "seq").collect()
+        items.explain()
+        first = feeds.trend_rows(items)[0].groupBy().count().first()[0]
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(map(tuple, got)) == sorted((f"{name}{k}", k) for name, n in (("a", 700), ("b", 3), ("c", 900), ("d", 1)) for k in range(n))
+    assert first == 20 + 3 + 20 + 1
+    plan = capsys.readouterr().out
+    assert not any("Sort [feed" in line and "__block" not in line for line in plan.splitlines())  # only the row a block is sorted
