@@ -221,7 +221,8 @@ def kmeans_segments(df: DataFrame, features: tuple[str, ...], k: int = 3, starts
     scaled = tuple(f"__z_{c}" for c in features)
     beside = standardized(df.withColumns({z: F.col(c) for z, c in zip(scaled, features, strict=True)}), scaled)
     points = VectorAssembler(inputCols=list(scaled), outputCol="__v").transform(beside).drop(*scaled)
-    kept = points.select("__v").persist()  # read by every run
+    # Read by every iteration of every run, whose tasks each report to the driver: as many parts as cores, however many the shuffles made.
+    kept = points.select("__v").repartition(df.sparkSession.sparkContext.defaultParallelism).persist()
     models = [KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="cluster", initMode="k-means||").fit(kept) for i in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     kept.unpersist()

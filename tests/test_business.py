@@ -155,6 +155,17 @@ def test_kmeans_separates(spark):
     assert sorted(r["n"] for r in got) == [20, 20]
 
 
+def test_kmeans_runs_on_as_many_parts_as_cores(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    parts, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, data: parts.append(data.rdd.getNumPartitions()) or fit(self, data))
+    df = spark.range(400).repartition(40).select("id", (F.col("id") % 2 * 10.0).alias("x"), F.lit(1.0).alias("y"))
+    got = R.kmeans_segments(df, ("x", "y"), k=2, starts=2).groupBy("cluster").count().collect()
+    assert sorted(r["count"] for r in got) == [200, 200]
+    assert len(parts) == 2 and max(parts) <= spark.sparkContext.defaultParallelism
+
+
 def test_projection(spark):
     df = one(spark, client="c", last_value=100.0, last_date=D(2024, 11, 30), growth=0.1, industry=None, gdp=None).withColumns({"industry": F.lit(None).cast("double"), "gdp": F.lit(None).cast("double")})
     r = N.base_projection(df, 2).orderBy("quarter").collect()
