@@ -14,11 +14,17 @@ shingles at least, so common <= (na + nb - d) / 2. Pairs whose sizes or bitmaps
 similarity go no further; the others are settled by the intersection of the
 full sorted sets.
 
+Where a tile's shingle is the first that two sets have in common, each has no more
+in common with the other than its shingles from there on (its reach). Every pair
+has such a tile, so a member leaves a large tile when its reach, or that of all members of
+the sizes it could be linked with, is too short, or when they are of its own component. So near copies with
+many shingles of their own do not stay in the tiles of what they all share.
+
 Links merge nodes into components. In each tile the nodes are first compared with
 one pivot, the node with most company in all its tiles, some rounds long; tiles
 that are then of one component are done. Of the rest every two nodes of
-different components are compared by bitmaps inside the task, block by block, and
-only pairs that pass become rows. So a group of copies or near copies costs one
+different components are compared by bitmaps inside the task, block by block (a tile's
+largest component as one side only), and only pairs that pass become rows. So a group of copies or near copies costs one
 comparison a member, and no tile is held by one task.
 
 Defined cases: a document with fewer than five words is one shingle, without
@@ -56,6 +62,8 @@ KEY_BITS = 1 << 26
 LEAST_BITMAP, LARGEST_BITMAP = 8, 8192
 #: Rounds of comparison with one pivot a tile.
 PIVOTS = 3
+#: Parts of a band of sizes for which a tile's members are summed up.
+PARTS = 12
 #: Members up to which a tile's pairs become rows; beyond, they are compared in blocks.
 SMALL = 16
 BLOCK = 512
@@ -148,16 +156,18 @@ def key_bitmap(keys: DataFrame) -> np.ndarray:
 
 
 def _kept_by(bits: np.ndarray):
-    """An Arrow function that keeps the keys of an array whose bit is set."""
+    """An Arrow function from size and first shingles to those whose bit is set, each with its reach."""
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def kept(keys: pd.Series) -> pd.Series:
-        out = []
-        for k in keys:
+    @F.pandas_udf(T.StructType().add("key", T.ArrayType(T.LongType())).add("reach", T.ArrayType(T.IntegerType())))
+    def kept(sizes: pd.Series, keys: pd.Series) -> pd.DataFrame:
+        out, reach = [], []
+        for n, k in zip(sizes, keys, strict=True):
             k = np.asarray(k, dtype=np.int64)
             p = k & (KEY_BITS - 1)
-            out.append(k[(bits[p >> 6] >> (p & 63).astype(U)) & U(1) == 1])
-        return pd.Series(out, dtype=object)
+            at = np.flatnonzero((bits[p >> 6] >> (p & 63).astype(U)) & U(1))
+            out.append(k[at])
+            reach.append((n - at).astype(np.int32))
+        return pd.DataFrame({"key": pd.Series(out, dtype=object), "reach": pd.Series(reach, dtype=object)})
 
     return kept
 
@@ -193,9 +203,14 @@ def _similar(a: Column, b: Column) -> Column:
     return PERCENT * F.greatest(a, b) <= 100 * F.least(a, b)
 
 
-def size_band(n: Column) -> Column:
-    """Sizes of one band differ by less than the ratio the similarity allows; partners are in one or two neighbours."""
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / PERCENT)) + 1e-9).cast("int")
+def size_band(n: Column, parts: int = 1) -> Column:
+    """Sizes of one band (cut in so many parts) differ by less than the ratio the similarity allows; partners are in one or two neighbours."""
+    return F.floor((F.log(n.cast("double")) / F.log(F.lit(100.0 / PERCENT)) + 1e-9) * parts).cast("int")
+
+
+def _within_reach(na: Column, a: Column, nb: Column, b: Column) -> Column:
+    """Sets of these sizes and reaches can reach the similarity by shingles from the tile's on."""
+    return (100 + PERCENT) * F.least(a, b) >= PERCENT * (na + nb)
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -215,57 +230,86 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame
     return passed.join(right, "b").join(left, "a").where(_sets_linked("sa", "sb")).select("a", "b")
 
 
+def _with_partners(members: DataFrame) -> DataFrame:
+    """The members whose tile may hold a partner of another component: by sizes, reaches and components of each part of a band."""
+    members = members.withColumn("band", size_band(F.col("n")))
+    parts = members.groupBy("key", "band", size_band(F.col("n"), PARTS).alias("part")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+    )
+    near = parts.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+    company = stored(near.groupBy("key", "band").agg(F.collect_list(F.struct("least", "most", "reach", "lo", "hi")).alias("company")), "company")  # 3 * PARTS at most
+
+    def fits(c: Column) -> Column:
+        n = F.col("n")
+        sizes = (100 * c["most"] >= PERCENT * n) & (PERCENT * c["least"] <= 100 * n)
+        least = F.greatest(c["least"], F.ceil(n * PERCENT / 100))
+        return sizes & _within_reach(n, F.col("reach"), least, c["reach"]) & ((c["lo"] != F.col("comp")) | (c["hi"] != F.col("comp")))
+
+    return members.join(company, ["key", "band"]).where(F.exists("company", fits)).select("key", "node", "n", "reach", "deg", "comp")
+
+
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, node, n, deg, comp of the tiles that still hold several components."""
+    """key, node, n, reach, deg, comp of the tiles that still hold several components; of large ones only members that may still be linked."""
     known = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     known = stored(known, "known")
-    apart = known.groupBy("key").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).where("__lo <> __hi").select("key")
-    return stored(known.join(stored(apart, "apart"), "key", "left_semi"), "unsettled")
+    tiles = known.groupBy("key").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi"), (F.count(F.lit(1)) > SMALL).alias("large"))
+    left = stored(known.join(stored(tiles.where("__lo <> __hi").select("key", "large"), "apart"), "key"), "mixed")
+    large = stored(left.where("large").drop("large"), "large")
+    return stored(left.where("not large").select("key", "node", "n", "reach", "deg", "comp").unionByName(_with_partners(large)), "unsettled")
 
 
 def _candidates_in_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components, one of each block, that sizes and bitmaps allow."""
+    """Pairs of different components, one of each block, that sizes, reaches and bitmaps allow."""
     left, right = pdf[pdf["left"]], pdf[pdf["right"]]
     out = []
-    for (wl, x), (wr, y) in ((p, q) for p in left.groupby("width") for q in right.groupby("width")):
+    for ((wl, hl), x), ((wr, hr), y) in ((p, q) for p in left.groupby(["width", "home"]) for q in right.groupby(["width", "home"])):
+        if not hl and not hr:  # visitors meet in the tile of their own band
+            continue
         size = min(wl, wr)
         a, b = (folded(np.frombuffer(b"".join(v["bits"]), dtype=np.uint8).reshape(len(v), -1), size).view(np.uint64) for v in (x, y))
         differ = np.zeros((len(a), len(b)), dtype=np.int64)
         for k in range(a.shape[1]):
             differ += np.bitwise_count(a[:, k][:, None] ^ b[:, k][None, :])
-        na, nb, ca, cb, ia, ib = (v[c].to_numpy() for c in ("n", "comp", "node") for v in (x, y))
-        i, j = np.nonzero(_may_link(na[:, None], nb[None, :], differ) & (ca[:, None] != cb[None, :]))
+        na, nb, ra, rb, ca, cb, ia, ib = (v[c].to_numpy() for c in ("n", "reach", "comp", "node") for v in (x, y))
+        near = (100 + PERCENT) * np.minimum(ra.astype(np.int64)[:, None], rb[None, :]) >= PERCENT * (na[:, None] + nb[None, :])
+        i, j = np.nonzero(near & _may_link(na[:, None], nb[None, :], differ) & (ca[:, None] != cb[None, :]))
         out.append(pd.DataFrame({"a": np.minimum(ia[i], ib[j]), "b": np.maximum(ia[i], ib[j])}))
     return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
 
 def _pairs_within(members: DataFrame) -> DataFrame:
-    """All pairs across components that sizes allow; for tiles of at most SMALL members."""
-    other = members.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    across = (F.col("comp") < F.col("cb")) & _similar(F.col("n"), F.col("nb"))
+    """All pairs across components that sizes and reaches allow; for tiles of at most SMALL members."""
+    other = members.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("reach").alias("rb"), F.col("comp").alias("cb"))
+    across = (F.col("comp") < F.col("cb")) & _similar(F.col("n"), F.col("nb")) & _within_reach(F.col("n"), F.col("reach"), F.col("nb"), F.col("rb"))
     return members.join(other, "key").where(across).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
-def _pairs_by_blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different components of a large tile that sizes and bitmaps allow.
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members of large tiles, copied to the pairs of blocks (bl, br) that they are compared in.
 
-    A tile is cut into blocks of about BLOCK nodes; its home nodes (of the tile's
-    band) meet home nodes and visitors (of the next), block by block.
+    A tile's home nodes (of its band) meet home nodes and visitors (of the next). Two nodes of different
+    components are not both of the tile's largest component: the others (minor) are cut into blocks of about BLOCK
+    that meet each other and the blocks of the largest, whose members are copied once a block of the minor.
     """
-    banded = members.select("key", "node", "comp", size_band(F.col("n")).alias("own"))
-    homes = banded.select("key", F.col("own").alias("band"), "node", "comp", F.lit(True).alias("home"))
-    tiles = homes.unionByName(banded.select("key", (F.col("own") - 1).alias("band"), "node", "comp", F.lit(False).alias("home")))
-    sizes = tiles.groupBy("key", "band").agg(F.count(F.lit(1)).alias("m"), F.max("home").alias("any"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    sizes = stored(sizes.where("any and lo <> hi").select("key", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "tiles")
-    placed = tiles.join(sizes, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # A home node is left where the pair's other block is not before its own, and right where it is not behind; a visitor is right of every block.
-    as_left = placed.where("home and block <= other").select("key", "band", "node", "comp", F.col("block").alias("bl"), F.col("other").alias("br"), F.lit(True).alias("left"), (F.col("block") == F.col("other")).alias("right"))
-    as_right = placed.where("home and block > other").select("key", "band", "node", "comp", F.col("other").alias("bl"), F.col("block").alias("br"), F.lit(False).alias("left"), F.lit(True).alias("right"))
-    visitors = placed.where("not home").select("key", "band", "node", "comp", F.col("other").alias("bl"), F.col("block").alias("br"), F.lit(False).alias("left"), F.lit(True).alias("right"))
-    homes_below = placed.where("home and block > other").select("key", "band", "node", "comp", F.col("block").alias("bl"), F.col("other").alias("br"), F.lit(True).alias("left"), F.lit(False).alias("right"))
-    dealt = as_left.unionByName(as_right).unionByName(visitors).unionByName(homes_below)
-    shipped = dealt.join(nodes.select("node", "n", "bits", F.length("bits").alias("width")), "node")
+    banded = members.select("key", "node", "reach", "comp", size_band(F.col("n")).alias("own"))
+    homes = banded.select("key", F.col("own").alias("band"), "node", "reach", "comp", F.lit(True).alias("home"))
+    tiles = homes.unionByName(banded.select("key", (F.col("own") - 1).alias("band"), "node", "reach", "comp", F.lit(False).alias("home")))
+    parts = tiles.groupBy("key", "band", "comp").agg(F.count(F.lit(1)).alias("m"), F.max("home").alias("any"))
+    sizes = parts.groupBy("key", "band").agg(F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("big"), F.max("any").alias("any")).where("any and all > big.m")
+    blocks = lambda m: F.ceil(m / BLOCK).cast("int")
+    sizes = stored(sizes.select("key", "band", F.col("big.comp").alias("largest"), blocks(F.col("all") - F.col("big.m")).alias("few"), blocks(F.col("big.m")).alias("many")), "tiles")
+    placed = tiles.join(sizes, ["key", "band"]).withColumn("minor", F.col("comp") != F.col("largest"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("few")).otherwise(F.col("many"))).cast("int")
+    placed = placed.withColumn("block", F.when(F.col("minor"), own).otherwise(F.col("few") + own))
+    met = F.when(F.col("minor"), F.col("few") + F.col("many")).otherwise(F.col("few"))  # the minor's blocks come first
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
+    left = F.col("block") <= F.col("other")
+    return placed.select("key", "band", "node", "reach", "comp", "home", F.least("block", "other").alias("bl"), F.greatest("block", "other").alias("br"), left.alias("left"), (~left | (F.col("block") == F.col("other"))).alias("right"))
+
+
+def _pairs_by_blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of different components of a large tile that sizes, reaches and bitmaps allow."""
+    shipped = _dealt(members).join(nodes.select("node", "n", "bits", F.length("bits").alias("width")), "node")
     return shipped.groupBy("key", "band", "bl", "br").applyInPandas(_candidates_in_block, "a long, b long").distinct()
 
 
@@ -300,11 +344,11 @@ def _linked(docs: DataFrame) -> DataFrame:
     # Shingles that more than one row may hold, as a bitmap of a fixed size; most are held by one and go no further.
     held = full.select(F.explode("first").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1")
     maybe_shared = _kept_by(key_bitmap(held))
-    full = full.withColumn("first", maybe_shared("first"))
     classes = stored(full.groupBy("fp").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low")), "classes")
     reps = full.join(classes.select("node"), F.col("rid") == F.col("node"), "left_semi")
     nodes = stored(reps.select(F.col("rid").alias("node"), "doc_id", "th", "n", "bits"), "nodes")
-    meets = reps.select(F.col("rid").alias("node"), "n", F.explode("first").alias("key"))
+    kept = reps.select(F.col("rid").alias("node"), "n", maybe_shared("n", "first").alias("m")).select("node", "n", F.col("m.key").alias("key"), F.col("m.reach").alias("reach"))
+    meets = kept.select("node", "n", F.explode(F.arrays_zip("key", "reach")).alias("m")).select("node", "n", "m.key", "m.reach")
     shared = meets.groupBy("key").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1")
     crowded = stored(meets.join(stored(shared, "shared"), "key"), "crowded")
     degree = crowded.groupBy("node").agg(F.sum("__c").alias("deg"))
@@ -312,14 +356,14 @@ def _linked(docs: DataFrame) -> DataFrame:
 
     links, labels = None, None
     for _ in range(PIVOTS):
-        pivot = stored(live.groupBy("key").agg(F.max(F.struct("deg", "node", "n", "comp")).alias("p")), "pivots")
+        pivot = stored(live.groupBy("key").agg(F.max(F.struct("deg", "node", "n", "reach", "comp")).alias("p")), "pivots")
         members = live.join(pivot, "key").where("node <> p.node")
-        apart = (F.col("comp") != F.col("p.comp")) & _similar(F.col("n"), F.col("p.n"))
+        apart = (F.col("comp") != F.col("p.comp")) & _similar(F.col("n"), F.col("p.n")) & _within_reach(F.col("n"), F.col("reach"), F.col("p.n"), F.col("p.reach"))
         pairs = members.where(apart).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
         found = _confirmed(stored(pairs, "pairs"), nodes, docs)
         links = stored(found if links is None else links.union(found), "links")
         labels = components(links)
-        live = _unsettled(members.select("key", "node", "n", "deg"), labels)
+        live = _unsettled(members.select("key", "node", "n", "reach", "deg"), labels)
 
     sizes = live.groupBy("key").agg((F.count(F.lit(1)) <= SMALL).alias("small"))
     rest = stored(live.join(stored(sizes, "sizes"), "key"), "rest")

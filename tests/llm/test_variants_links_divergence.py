@@ -310,3 +310,18 @@ def test_queries_give_the_rows_of_their_sql(spark, sf_dir, name):
 def test_vocabulary_counts_every_document(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert {r["word"]: r["n"] for r in vocabulary(docs).collect()} == brute_words(rows_of(docs))
+
+
+def test_join_of_near_copies_deals_few_rows_to_blocks(spark, monkeypatch):
+    """Copies with many words of their own cannot be linked by what all share, so they leave the tiles of it."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng, seen, by_blocks = random.Random(3), [], ngram_join._pairs_by_blocks
+    monkeypatch.setattr(ngram_join, "_pairs_by_blocks", lambda members, nodes: seen.append(members.count()) or by_blocks(members, nodes))
+    rows = []
+    for d in range(200):
+        w = [f"w{i}" for i in range(120)]
+        for k in range(rng.choice((1, 2, 3, 4, 6))):
+            w[rng.randrange(120)] = f"x{d}y{k}"
+        rows.append((d, " ".join(w), "en", "a"))
+    assert links(linked_documents(spark.createDataFrame(rows, SCHEMA).repartition(3))) == brute_links(rows)
+    assert seen[0] < len(rows)
