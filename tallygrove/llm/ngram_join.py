@@ -36,6 +36,7 @@ component, or null); repeated rows are each returned; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -58,6 +59,8 @@ COUNTERS, CHUNK, SALTS = 1 << 21, 1 << 12, 64
 BATCH = 1_000
 #: Bits (a power of two) by which shingles of one row only are told apart from others before they are shuffled with their node.
 KEY_BITS = 1 << 26
+#: A shingle has two places among them; its bits from the second's last on are not told apart when rows are counted.
+SECOND, TOLD_APART = 14, (1 << 40) - 1
 #: Widths of bitmaps, in bytes.
 LEAST_BITMAP, LARGEST_BITMAP = 8, 8192
 #: Rounds of comparison with one pivot a tile.
@@ -69,6 +72,16 @@ SMALL = 16
 BLOCK = 512
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters of a chunk in the narrowest type that holds them, compressed: most are small."""
+    return zlib.compress(counts.astype(np.min_scalar_type(counts.max())).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    return np.frombuffer(raw, dtype=f"u{len(raw) // CHUNK}").astype(np.int64)
+
+
 def _count_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The task's counters, in rows of CHUNK of them."""
     out = np.zeros(COUNTERS, dtype=np.int32)
@@ -78,22 +91,24 @@ def _count_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows = out.reshape(-1, CHUNK)
     used = np.flatnonzero(rows.any(axis=1))
     if len(used):
-        yield pd.DataFrame({"chunk": used, "salt": TaskContext.get().partitionId() % SALTS, "counts": [rows[k] for k in used]})
+        yield pd.DataFrame({"chunk": used, "salt": TaskContext.get().partitionId() % SALTS, "counts": [_packed(rows[k]) for k in used]})
 
 
 def _sum_counters(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.asarray(c, dtype=np.int64) for c in pdf["counts"]], axis=0)
-    return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [total]})
+    total = np.zeros(CHUNK, dtype=np.int64)
+    for c in pdf["counts"]:
+        total += _unpacked(c)
+    return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "counts": [_packed(total)]})
 
 
 def frequency_levels(docs: DataFrame) -> np.ndarray:
     """Twice the logarithm of each counter: COUNTERS bytes, whatever the table's size."""
-    counted = docs.where("text is not null").select("text").mapInPandas(_count_shingles, "chunk long, salt int, counts array<int>")
-    summed = counted.groupBy("chunk", "salt").applyInPandas(_sum_counters, "chunk long, counts array<long>")
-    found = summed.groupBy("chunk").applyInPandas(_sum_counters, "chunk long, counts array<long>").toArrow()  # COUNTERS longs
+    counted = docs.where("text is not null").select("text").mapInPandas(_count_shingles, "chunk long, salt int, counts binary")
+    summed = counted.groupBy("chunk", "salt").applyInPandas(_sum_counters, "chunk long, counts binary")
+    found = summed.groupBy("chunk").applyInPandas(_sum_counters, "chunk long, counts binary").toArrow()  # COUNTERS numbers
     total = np.zeros((COUNTERS // CHUNK, CHUNK), dtype=np.int64)
-    if len(found):
-        total[found["chunk"].to_numpy()] = found["counts"].combine_chunks().flatten().to_numpy().reshape(-1, CHUNK)
+    for chunk, counts in zip(found["chunk"].to_pylist(), found["counts"].to_pylist(), strict=True):
+        total[chunk] = _unpacked(counts)
     return (2 * np.log2(total.ravel() + 1)).astype(np.uint8)
 
 
@@ -146,8 +161,8 @@ def _describe(levels: np.ndarray):
 
 
 def key_bitmap(keys: DataFrame) -> np.ndarray:
-    """KEY_BITS bits, of which those of the keys are set: at most KEY_BITS / 64 rows come to the driver."""
-    place = keys.select(F.pmod("key", F.lit(KEY_BITS)).alias("p"))
+    """KEY_BITS bits, of which two for each of the keys are set: at most KEY_BITS / 64 rows come to the driver."""
+    place = keys.select(F.explode(F.array("key", F.shiftright("key", SECOND))).alias("k")).select(F.pmod("k", F.lit(KEY_BITS)).alias("p"))
     words = place.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(64)).cast("int"))).alias("bits"))
     found = words.toArrow()
     out = np.zeros(KEY_BITS // 64, dtype=np.int64)
@@ -156,15 +171,18 @@ def key_bitmap(keys: DataFrame) -> np.ndarray:
 
 
 def _kept_by(bits: np.ndarray):
-    """An Arrow function from size and first shingles to those whose bit is set, each with its reach."""
+    """An Arrow function from size and first shingles to those whose two bits are set, each with its reach."""
+
+    def is_set(k: np.ndarray) -> np.ndarray:
+        p = k & (KEY_BITS - 1)
+        return (bits[p >> 6] >> (p & 63).astype(U)) & U(1)
 
     @F.pandas_udf(T.StructType().add("key", T.ArrayType(T.LongType())).add("reach", T.ArrayType(T.IntegerType())))
     def kept(sizes: pd.Series, keys: pd.Series) -> pd.DataFrame:
         out, reach = [], []
         for n, k in zip(sizes, keys, strict=True):
             k = np.asarray(k, dtype=np.int64)
-            p = k & (KEY_BITS - 1)
-            at = np.flatnonzero((bits[p >> 6] >> (p & 63).astype(U)) & U(1))
+            at = np.flatnonzero(is_set(k) & is_set(k >> SECOND))
             out.append(k[at])
             reach.append((n - at).astype(np.int32))
         return pd.DataFrame({"key": pd.Series(out, dtype=object), "reach": pd.Series(reach, dtype=object)})
@@ -213,10 +231,18 @@ def _within_reach(na: Column, a: Column, nb: Column, b: Column) -> Column:
     return (100 + PERCENT) * F.least(a, b) >= PERCENT * (na + nb)
 
 
+def _met(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes without those that are not among the ids (node), so that bitmaps of these stay where they are; all nodes if the ids are many."""
+    ids = stored(ids.distinct(), "met")
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return nodes.join(F.broadcast(ids), "node", "left_semi") if few else nodes
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose bitmaps, and then full sets, reach the similarity."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
+    near = _met(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    left = near.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
+    right = near.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
     passed = pairs.join(right, "b").join(left, "a").where(_bitmaps_allow("na", "ba", "nb", "bb"))
     passed = stored(passed.select("a", "b"), "passed")
     wanted = passed.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -245,17 +271,17 @@ def _with_partners(members: DataFrame) -> DataFrame:
         least = F.greatest(c["least"], F.ceil(n * PERCENT / 100))
         return sizes & _within_reach(n, F.col("reach"), least, c["reach"]) & ((c["lo"] != F.col("comp")) | (c["hi"] != F.col("comp")))
 
-    return members.join(company, ["key", "band"]).where(F.exists("company", fits)).select("key", "node", "n", "reach", "deg", "comp")
+    return members.join(company, ["key", "band"]).where(F.exists("company", fits)).select("key", "node", "n", "reach", "deg", "comp", "m")
 
 
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, node, n, reach, deg, comp of the tiles that still hold several components; of large ones only members that may still be linked."""
+    """key, node, n, reach, deg, comp of the tiles that still hold several components, m members; of large ones only those that may still be linked."""
     known = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     known = stored(known, "known")
-    tiles = known.groupBy("key").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi"), (F.count(F.lit(1)) > SMALL).alias("large"))
-    left = stored(known.join(stored(tiles.where("__lo <> __hi").select("key", "large"), "apart"), "key"), "mixed")
-    large = stored(left.where("large").drop("large"), "large")
-    return stored(left.where("not large").select("key", "node", "n", "reach", "deg", "comp").unionByName(_with_partners(large)), "unsettled")
+    tiles = known.groupBy("key").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi"), F.count(F.lit(1)).alias("m"))
+    left = stored(known.join(stored(tiles.where("__lo <> __hi").select("key", "m"), "apart"), "key"), "mixed")
+    large = stored(left.where(F.col("m") > SMALL), "large")
+    return stored(left.where(F.col("m") <= SMALL).select("key", "node", "n", "reach", "deg", "comp", "m").unionByName(_with_partners(large)), "unsettled")
 
 
 def _candidates_in_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -309,7 +335,7 @@ def _dealt(members: DataFrame) -> DataFrame:
 
 def _pairs_by_blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of different components of a large tile that sizes, reaches and bitmaps allow."""
-    shipped = _dealt(members).join(nodes.select("node", "n", "bits", F.length("bits").alias("width")), "node")
+    shipped = _dealt(members).join(_met(nodes, members.select("node")).select("node", "n", "bits", F.length("bits").alias("width")), "node")
     return shipped.groupBy("key", "band", "bl", "br").applyInPandas(_candidates_in_block, "a long, b long").distinct()
 
 
@@ -342,17 +368,19 @@ def _linked(docs: DataFrame) -> DataFrame:
     )
     full = rows.where("n > 0")
     # Shingles that more than one row may hold, as a bitmap of a fixed size; most are held by one and go no further.
-    held = full.select(F.explode("first").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1")
+    held = full.select(F.explode("first").alias("key")).select(F.col("key").bitwiseAND(F.lit(TOLD_APART)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1")
     maybe_shared = _kept_by(key_bitmap(held))
-    classes = stored(full.groupBy("fp").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low")), "classes")
-    reps = full.join(classes.select("node"), F.col("rid") == F.col("node"), "left_semi")
-    nodes = stored(reps.select(F.col("rid").alias("node"), "doc_id", "th", "n", "bits"), "nodes")
-    kept = reps.select(F.col("rid").alias("node"), "n", maybe_shared("n", "first").alias("m")).select("node", "n", F.col("m.key").alias("key"), F.col("m.reach").alias("reach"))
+    classes = stored(full.groupBy("fp").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("__c")), "classes")
+    repeated = broadcast_if_small(classes.where("__c > 1").select("fp", "node"))
+    copies = stored(full.select("fp", "rid").join(repeated, "fp").where("rid <> node").select(F.col("rid").alias("node")), "copies")
+    nodes = full.select(F.col("rid").alias("node"), "doc_id", "th", "n", "bits")  # only the classes' least rows are ever met
+    kept = full.select(F.col("rid").alias("node"), "n", maybe_shared("n", "first").alias("m")).select("node", "n", F.col("m.key").alias("key"), F.col("m.reach").alias("reach"))
+    kept = stored(kept.where(F.size("key") > 0).join(broadcast_if_small(copies), "node", "left_anti"), "kept")
     meets = kept.select("node", "n", F.explode(F.arrays_zip("key", "reach")).alias("m")).select("node", "n", "m.key", "m.reach")
     shared = meets.groupBy("key").agg(F.count(F.lit(1)).alias("__c")).where("__c > 1")
     crowded = stored(meets.join(stored(shared, "shared"), "key"), "crowded")
     degree = crowded.groupBy("node").agg(F.sum("__c").alias("deg"))
-    live = stored(crowded.drop("__c").join(degree, "node").withColumn("comp", F.col("node")), "live")
+    live = stored(crowded.withColumnRenamed("__c", "m").join(degree, "node").withColumn("comp", F.col("node")), "live")
 
     links, labels = None, None
     for _ in range(PIVOTS):
@@ -363,7 +391,7 @@ def _linked(docs: DataFrame) -> DataFrame:
         found = _confirmed(stored(pairs, "pairs"), nodes, docs)
         links = stored(found if links is None else links.union(found), "links")
         labels = components(links)
-        live = _unsettled(members.select("key", "node", "n", "reach", "deg"), labels)
+        live = _unsettled(members.where("m > 2").select("key", "node", "n", "reach", "deg"), labels)  # of two, one is the pivot
 
     sizes = live.groupBy("key").agg((F.count(F.lit(1)) <= SMALL).alias("small"))
     rest = stored(live.join(stored(sizes, "sizes"), "key"), "rest")

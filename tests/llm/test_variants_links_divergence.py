@@ -325,3 +325,20 @@ def test_join_of_near_copies_deals_few_rows_to_blocks(spark, monkeypatch):
         rows.append((d, " ".join(w), "en", "a"))
     assert links(linked_documents(spark.createDataFrame(rows, SCHEMA).repartition(3))) == brute_links(rows)
     assert seen[0] < len(rows)
+
+
+def test_counters_move_compressed():
+    counts = np.random.default_rng(5).poisson(2, ngram_join.CHUNK).astype(np.int32)
+    counts[7] = 70_000
+    packed = ngram_join._packed(counts)
+    assert (ngram_join._unpacked(packed) == counts).all() and len(ngram_join._packed(np.minimum(counts, 9))) < ngram_join.CHUNK
+
+
+def test_only_shingles_that_may_be_shared_are_joined(spark, monkeypatch):
+    """The rows' first shingles are written once and go through no join, also where classes are not broadcast."""
+    plans, kept = [], ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, label: plans.append((label, df._jdf.queryExecution().optimizedPlan().toString())) or kept(df, label))
+    text = [" ".join(f"t{d}x{k}" for k in range(60)) for d in range(8)]
+    docs = spark.createDataFrame([(d, text[d % 8] + (" end" if d > 15 else "")) for d in range(24)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in linked_documents(docs).collect()} == {d: d % 8 for d in range(24)}
+    assert [label for label, plan in plans if label in ("shared", "crowded") and "first" in plan] == []
