@@ -107,6 +107,21 @@ def test_queries_of_cut_titles_match_their_sql(spark, tmp_path):
         assert sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(SQL[name]).fetchall()), name
 
 
+def test_price_strings_of_a_long_page_fetched_twice_match_the_sql(spark, tmp_path):
+    import duckdb
+
+    from tallygrove.plans.all_queries import QUERIES, SQL
+
+    lines = "".join(f"<p>Item {i} at ${i}.50 / month</p>" for i in range(700))
+    long = f"<html><head><title>x</title><script>var t=1;</script></head><body><!-- ad 0 --><article><h1>x</h1>{lines}</article></body></html>"
+    spark.createDataFrame([(1, "http://a.test/", long), (1, "http://a.test/", long.replace("Item 9 ", "Item X9 ")), (2, "http://a.test/", None)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = sorted(map(tuple, QUERIES["page_price_strings"](spark, str(tmp_path)).collect()))
+    assert len(got) == 703 and got == sorted(con.execute(SQL["page_price_strings"]).fetchall())
+    assert len(P.items(long, "pricing", ["div.none"])) == 500 and len(P.items(long, "pricing", ["div.none"], most=None)) == 702
+
+
 def test_pages_of_a_site_do_not_gather_in_one_task(spark, capsys):
     pages = spark.range(10).select(F.col("id").alias("page_id"), F.lit("http://a.test/x").alias("url"), F.lit(PAGE).alias("html"))
     config = spark.createDataFrame([("a.test", "products", ["h3"])], "site string, kind string, selectors array<string>").repartition(2)
